@@ -1,0 +1,5 @@
+"""No streaming operators: every report is one batch over a finished extract.
+
+There are no event times, watermarks, windows or late rows in this domain, so nothing is
+registered here.
+"""
