@@ -231,7 +231,7 @@ def encoding_fallback(spark, d):
 
 @query("""
 select doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') as text from documents
-""")
+""", name="strip_control_chars")
 def strip_control_characters(spark, d):
     """Control characters injected into whole documents are taken out again."""
     docs = inputs.table(spark, d, "documents")

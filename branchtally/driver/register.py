@@ -9,10 +9,10 @@ def registry() -> tuple[dict[str, Callable], dict[str, str], Callable]:
     queries: dict[str, Callable] = {}
     oracles: dict[str, str] = {}
 
-    def query(sql: str) -> Callable:
+    def query(sql: str, name: str | None = None) -> Callable:
         def add(run: Callable) -> Callable:
-            queries[run.__name__] = run
-            oracles[run.__name__] = sql
+            queries[name or run.__name__] = run
+            oracles[name or run.__name__] = sql
             return run
 
         return add

@@ -9,7 +9,7 @@ from ..functions import as_text, canonical_id, col, money_total, settle
 from .columns import MAIN_CODE
 from .lookup import UNMAPPED, row_order
 from .ordering import UNLISTED, branch_position
-from .summarize import TOTAL_LABEL, number_or_zero
+from .summarize import TOTAL_LABEL, number_or_zero, stack_total
 
 # Category labels and the activity threshold.
 ACTIVE = "AKTIF TRX >=5x"
@@ -74,12 +74,9 @@ def activity_crosstab(
 
 def crosstab_report(crosstab: DataFrame, code: str = MAIN_CODE) -> DataFrame:
     """The crosstab with row totals, a total row, and the dashboard order."""
-    total = F.grouping_id() == 1
     key = col(code)
-    cells = [F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in CATEGORIES]
-    rows = crosstab.groupingSets([[key], []], key).agg(
-        F.when(total, F.lit("total")).otherwise(F.lit("branch")).alias("row_kind"), *cells
-    )
+    totals = [F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in CATEGORIES]
+    rows = stack_total(crosstab, [code], totals)
     is_total = F.col("row_kind") == "total"
     place = F.coalesce(branch_position(key.cast("string")), F.lit(UNLISTED))
     rows = rows.withColumn("position", F.when(is_total, F.lit(UNLISTED + 1)).otherwise(place))

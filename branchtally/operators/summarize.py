@@ -57,18 +57,23 @@ def with_grand_total(
 ) -> DataFrame:
     """Branch rows plus one total row (``row_kind`` = branch / total), no subtotals.
 
-    The total adds up the already rounded branch values. It is computed from the branch
-    rows, never from the input again; an empty summary has a total of 0.
+    The total adds up the already rounded branch values, not the input again: both sides
+    of the union read one shuffle of partial sums. An empty summary has a total of 0.
     """
-    kind = F.when(F.grouping_id() == 0, F.lit("branch")).otherwise(F.lit("total"))
-    groups = [col(c) for c in group_columns]
-    values = []
-    for c in value_columns:
-        if summary.schema[c].dataType.typeName() == "long":
-            values.append(F.coalesce(F.sum(col(c)), F.lit(0)).alias(c))
-        else:
-            values.append(settle(money_total(col(c))).alias(c))
-    return summary.groupingSets([groups, []], *groups).agg(kind.alias("row_kind"), *values)
+    return stack_total(summary, group_columns, [_total(summary, c) for c in value_columns])
+
+
+def stack_total(rows: DataFrame, group_columns: Sequence[str], totals: Sequence[Column]) -> DataFrame:
+    """Rows and one total row under them, told apart by ``row_kind``."""
+    blanks = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in group_columns]
+    total = rows.agg(*totals).select(*blanks, "*", F.lit("total").alias("row_kind"))
+    return rows.withColumn("row_kind", F.lit("branch")).unionByName(total)
+
+
+def _total(summary: DataFrame, name: str) -> Column:
+    if summary.schema[name].dataType.typeName() == "long":
+        return F.coalesce(F.sum(col(name)), F.lit(0)).alias(name)
+    return settle(money_total(col(name))).alias(name)
 
 
 def round_values(df: DataFrame, value_columns: Sequence[str], mode: str = "round") -> DataFrame:
