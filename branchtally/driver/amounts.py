@@ -14,6 +14,7 @@ from ..operators.activity import (
     crosstab_report,
     only_mapped,
     roll_up_ids,
+    roll_up_pairs,
 )
 from ..operators.filters import filter_segment, filter_source
 from ..operators.lookup import lookup_branch
@@ -234,20 +235,25 @@ _CROSSTAB = f"""
 """
 
 
-def _context(spark, d):
-    rows = filter_source(inputs.activity_source(spark, d), exclude=["CMS"])
-    coded = lookup_branch(rows, inputs.event_reference(spark, d))
-    return coded.withColumnsRenamed({"MAIN_CODE": CONTEXT_CODE, "MAIN_BRANCH": "UKER_MAIN_BRANCH"})
+def _kept(spark, d):
+    return filter_source(inputs.activity_source(spark, d), exclude=["CMS"])
+
+
+def _per_id(spark, d):
+    pairs = roll_up_pairs(_kept(spark, d), "KODE_UKER")
+    coded = lookup_branch(pairs, inputs.event_reference(spark, d))
+    return roll_up_ids(coded.withColumnRenamed("MAIN_CODE", CONTEXT_CODE), CONTEXT_CODE)
 
 
 def _activity(spark, d):
-    return activity_rows(_context(spark, d), [("MASTER", inputs.user_master(spark, d))])
+    masters = [("MASTER", inputs.user_master(spark, d))]
+    return activity_rows(_kept(spark, d), inputs.event_reference(spark, d), masters)
 
 
 @query(f'select id as "ID", n as "FREKUENSI", context as "UKER_MAIN_CODE" from {_PER_ID}')
 def per_id_rollup(spark, d):
     """Per id, the summed frequency and the first row's context code."""
-    return roll_up_ids(_context(spark, d), CONTEXT_CODE)
+    return _per_id(spark, d)
 
 
 @query(f"""
@@ -255,8 +261,7 @@ select id as "ID", case when n >= 5 then '{ACTIVE}' else '{INACTIVE}' end as "US
 """)
 def threshold_category(spark, d):
     """Active from five on."""
-    per_id = roll_up_ids(_context(spark, d), CONTEXT_CODE)
-    return per_id.select("ID", activity_category(F.col("FREKUENSI")).alias("USER_AKTIF"))
+    return _per_id(spark, d).select("ID", activity_category(F.col("FREKUENSI")).alias("USER_AKTIF"))
 
 
 @query("""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canonical_branch_code, canonical_id, col
-from ..operators.activity import roll_up_ids
 from ..operators.columns import (
     MAIN_CODE,
     key_aliases,
@@ -406,7 +405,8 @@ def reference_table_pick(spark, d):
 
 
 def _probe(spark, d):
-    return roll_up_ids(inputs.activity_source(spark, d), "KODE_UKER").select("ID")
+    ids = inputs.activity_source(spark, d).select(canonical_id(F.col("ID")).alias("ID"))
+    return ids.distinct()
 
 
 @query("""

@@ -3,6 +3,7 @@
 from .names import col, header_form, unique_headers
 from .numbers import (
     MONEY_TYPE,
+    merge_totals,
     money_total,
     parse_balance,
     parse_number,
@@ -30,6 +31,7 @@ __all__ = [
     "col",
     "fold",
     "header_form",
+    "merge_totals",
     "money_total",
     "parse_balance",
     "parse_number",

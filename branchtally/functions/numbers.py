@@ -8,9 +8,13 @@ from pyspark.sql import types as T
 
 from .text import strip
 
-# Money is summed in fixed point, so that the result does not depend on row order.
-MONEY_TYPE = T.DecimalType(28, 8)
-_FIXED_POINT_LIMIT = 1e20
+# Money is summed in fixed point with six decimals, so that a sum does not depend on the
+# order of its rows. A value is cut into small whole parts; each part is summed as a long,
+# which cannot overflow before 2^41 rows per group, and costs a fraction of a decimal sum.
+_PART_BITS = 22
+_MICRO = 1_000_000
+_FIXED_POINT_LIMIT = float(1 << 62)
+MONEY_TYPE = T.DecimalType(38, 6)
 _PLAIN_NUMBER = r"^[+-]?(\d{1,300}\.?\d*|\.\d+)$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -37,29 +41,48 @@ def parse_number(c: Column, kind: T.DataType | None = None) -> Column:
     return F.coalesce(parse_balance(F.replace(c.cast("string"), F.lit(","), F.lit(""))), F.lit(0.0))
 
 
-def _fits(c: Column) -> Column:
-    return F.abs(c) < F.lit(_FIXED_POINT_LIMIT)
+def money_parts(c: Column) -> dict[str, Column]:
+    """A double as whole parts: ``top * 2^44 + mid * 2^22 + low + micro / 10^6``.
+
+    What is too large for that stays a double in ``huge`` (|value| of 2^62 or more).
+    """
+    fits = F.abs(c) < F.lit(_FIXED_POINT_LIMIT)
+    units = F.floor(c)
+    mask = F.lit((1 << _PART_BITS) - 1)
+    parts = {
+        "micro": F.rint((c - units) * F.lit(float(_MICRO))).cast("long"),
+        "low": units.bitwiseAND(mask),
+        "mid": F.shiftright(units, _PART_BITS).bitwiseAND(mask),
+        "top": F.shiftright(units, 2 * _PART_BITS),
+    }
+    out = {name: F.when(fits, part) for name, part in parts.items()}
+    return {**out, "huge": F.when(~fits, c)}
 
 
 def money_total(c: Column) -> Column:
-    """Aggregate: sum of a double column, exact for every |value| below 1e20.
+    """Aggregate: the sum of a double column, exact for every |value| below 2^62."""
+    return F.struct(*[F.sum(part).alias(name) for name, part in money_parts(c).items()])
 
-    Larger values do not fit the fixed-point type; they are added as doubles instead of
-    being lost or failing the run.
-    """
-    exact = F.sum(F.when(_fits(c), c).cast(MONEY_TYPE)).cast("decimal(38,8)")
-    huge = F.sum(F.when(~_fits(c), c))
-    return F.struct(exact.alias("exact"), huge.alias("huge"))
+
+def merge_totals(totals: Column) -> Column:
+    """Aggregate: the sum of several ``money_total`` values."""
+    names = ("micro", "low", "mid", "top", "huge")
+    return F.struct(*[F.sum(totals.getField(n)).alias(n) for n in names])
 
 
 def settle(total: Column, scale: int | None = 2) -> Column:
     """The double value of a ``money_total``, rounded half-even to ``scale`` decimals."""
-    exact = total.getField("exact")
+    part = lambda name: F.coalesce(total.getField(name), F.lit(0)).cast(MONEY_TYPE)
+    power = lambda n: F.lit(1 << n).cast("decimal(15,0)")
+    exact = (
+        (part("top") * power(2 * _PART_BITS)).cast(MONEY_TYPE)
+        + (part("mid") * power(_PART_BITS)).cast(MONEY_TYPE)
+        + part("low")
+        + (part("micro") / F.lit(_MICRO).cast("decimal(7,0)")).cast(MONEY_TYPE)
+    )
     if scale is not None:
         exact = F.bround(exact, scale)
-    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(
-        total.getField("huge"), F.lit(0.0)
-    )
+    return exact.cast("double") + F.coalesce(total.getField("huge"), F.lit(0.0))
 
 
 def whole_units(c: Column, mode: str = "round") -> Column:

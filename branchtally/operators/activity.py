@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_text, canonical_id, col, money_total, settle
+from ..functions import as_text, canonical_id, col, merge_totals, money_total, settle
 from .columns import MAIN_CODE
 from .lookup import UNMAPPED, row_order
 from .ordering import UNLISTED, branch_position
@@ -23,35 +23,36 @@ CONTEXT_CODE = "UKER_MAIN_CODE"
 DETAIL_COLUMNS = ("ID", CONTEXT_CODE, MAIN_CODE, "FREKUENSI", "USER_AKTIF")
 
 
-def roll_up_ids(
+def roll_up_pairs(
     rows: DataFrame,
     carry: str,
     id_column: str = "ID",
     measure: str = "FREKUENSI",
     order_by: str | None = None,
 ) -> DataFrame:
-    """Per canonical id: the summed measure, and ``carry`` of its first row that has one.
+    """Per (canonical id, carried value): summed measure ``_t`` and first row ``_o``.
 
-    First per (id, carry), where both aggregates have fixed-width state and combine in
-    the map tasks; then per id over what is left.
+    Its state is of fixed width, so it combines in the map tasks by hash. What a lookup
+    or the per-id step then handles is one row per pair, however hot an id is.
     """
-    carried = as_text(rows, carry)
     base = rows.select(
         F.coalesce(canonical_id(as_text(rows, id_column)), F.lit("")).alias(id_column),
-        carried.alias(carry),
+        as_text(rows, carry).alias(carry),
         number_or_zero(rows, measure).alias("_m"),
         row_order(rows, order_by).alias("_o"),
     )
-    partial = base.groupBy(col(id_column), col(carry)).agg(
+    return base.groupBy(col(id_column), col(carry)).agg(
         money_total(F.col("_m")).alias("_t"), F.min("_o").alias("_o")
     )
-    merged = F.struct(
-        F.sum("_t.exact").alias("exact"),
-        F.sum("_t.huge").alias("huge"),
-    )
+
+
+def roll_up_ids(
+    pairs: DataFrame, carry: str, id_column: str = "ID", measure: str = "FREKUENSI"
+) -> DataFrame:
+    """Per id: the summed measure, and ``carry`` of its first row that has one."""
     first = F.min_by(col(carry), F.when(col(carry).isNotNull(), F.col("_o")))
-    return partial.groupBy(col(id_column)).agg(
-        settle(merged, None).alias(measure), first.alias(carry)
+    return pairs.groupBy(col(id_column)).agg(
+        settle(merge_totals(F.col("_t")), None).alias(measure), first.alias(carry)
     )
 
 

@@ -65,7 +65,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate, or None where it cannot be asked."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(stats.sizeInBytes())
     except Exception:  # a client without access to the plan
         return None
 

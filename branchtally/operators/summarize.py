@@ -8,7 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ReportValidationError
-from ..functions import as_text, col, money_total, parse_balance, settle, strip, whole_units
+from ..functions import (
+    as_text,
+    col,
+    merge_totals,
+    money_total,
+    parse_balance,
+    settle,
+    strip,
+    whole_units,
+)
 from .columns import MAIN_BRANCH, MAIN_CODE
 from .ordering import UNLISTED, branch_position
 
@@ -21,13 +30,6 @@ def non_blank(df: DataFrame, name: str) -> Column:
     return F.coalesce(strip(as_text(df, name)) != "", F.lit(False))
 
 
-def _value(df: DataFrame, name: str, how: str) -> Column:
-    if how == "count":
-        return F.count_if(non_blank(df, name)).alias(name)
-    amount = number_or_zero(df, name)
-    return settle(money_total(amount)).alias(name)
-
-
 def number_or_zero(df: DataFrame, name: str) -> Column:
     """A value column as double. Text that is no plain number is 0, also with commas."""
     return F.coalesce(parse_balance(col(name), df.schema[name].dataType), F.lit(0.0))
@@ -44,12 +46,36 @@ def summarize(
     Sums are exact and then rounded half-even to two decimals; counts are of non-blank
     cells. Missing group values form a group of their own.
     """
+    sums = partial_sums(df, group_columns, value_columns, how)
+    values = [(col(c) if how == "count" else settle(col(c))).alias(c) for c in value_columns]
+    return sums.select(*map(col, group_columns), *values)
+
+
+def partial_sums(
+    df: DataFrame, keys: Sequence[str], value_columns: Sequence[str], how: str = "sum"
+) -> DataFrame:
+    """Per key: the unrounded total or the count of each value column, and ``_rows``."""
     if how not in ("sum", "count"):
         raise ValueError(f"unknown aggregate {how!r}; use 'sum' or 'count'")
     missing = [c for c in value_columns if c not in df.columns]
     if missing:
         raise ReportValidationError(f"value column(s) {missing} are absent from the input")
-    return df.groupBy(*map(col, group_columns)).agg(*[_value(df, c, how) for c in value_columns])
+    values = [
+        (F.count_if(non_blank(df, c)) if how == "count" else money_total(number_or_zero(df, c))).alias(c)
+        for c in value_columns
+    ]
+    return df.groupBy(*map(col, keys)).agg(*values, F.count(F.lit(1)).alias("_rows"))
+
+
+def finish_sums(
+    partial: DataFrame, group_columns: Sequence[str], value_columns: Sequence[str], how: str = "sum"
+) -> DataFrame:
+    """Rounded values per group from partial sums; equal keys are merged on the way."""
+    values = [
+        (F.sum(col(c)) if how == "count" else settle(merge_totals(col(c)))).alias(c)
+        for c in value_columns
+    ]
+    return partial.groupBy(*map(col, group_columns)).agg(*values)
 
 
 def with_grand_total(

@@ -20,20 +20,22 @@ from ..operators.activity import (
     activity_crosstab,
     crosstab_report,
     roll_up_ids,
+    roll_up_pairs,
 )
 from ..operators.columns import (
     LOOKUP_KEY,
     MAIN_BRANCH,
     MAIN_CODE,
+    header_form,
     hide_helpers,
     normalise_key,
     require_columns,
     text_columns,
 )
-from ..operators.lookup import JoinPolicy, attach_branch, fill_unmapped
+from ..operators.lookup import JoinPolicy, attach_branch, fill_unmapped, lookup_branch
 from ..operators.mapping import best_mapping, lookup_id, pick_reference
 from ..operators.reconcile import pick_balances, write_back
-from ..operators.summarize import headline, report_rows, summarize
+from ..operators.summarize import finish_sums, headline, partial_sums, report_rows, summarize
 from .spec import FilterChoice, ReportSpec, resolve_filters
 
 Table = DataFrame | Sequence[tuple[str, DataFrame]]
@@ -109,18 +111,46 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(col(c)).alias(c) for c in stacked.columns])
 
 
+def branch_sums(
+    kept: DataFrame,
+    reference: DataFrame,
+    spec: ReportSpec,
+    key: str,
+    order_by: str | None,
+    policy: JoinPolicy,
+) -> DataFrame:
+    """Partial sums per lookup key, with the key's branch (null where there is none).
+
+    The rows are aggregated before the lookup, not after it: the join sees one row per
+    key, so neither a hot key nor a large reference moves the raw rows.
+    """
+    require_columns(kept, [header_form(key)], spec.label)
+    own = [c for c in spec.group_columns if c not in (MAIN_CODE, MAIN_BRANCH)]
+    sums = partial_sums(kept, [header_form(key), *own], spec.value_columns, spec.how)
+    return attach_branch(sums, reference, key, order_by, policy)
+
+
 def _summary_report(spec, raw, reference, filters, key, order_by, policy) -> ReportResult:
     kept = filters.apply(raw)
     if spec.needs_reference:
         _, table = pick_reference(_need(spec, reference, "reference table"), key)
-        attached = attach_branch(normalise_key(kept, key), table, key, order_by, policy)
-        rows, missed = fill_unmapped(attached), F.count_if(col(MAIN_CODE).isNull())
+        kept = normalise_key(kept, key)
+        rows = lookup_branch(kept, table, key, order_by, policy)
+        per_key = branch_sums(kept, table, spec, key, order_by, policy)
+        branches = finish_sums(
+            fill_unmapped(per_key), spec.group_columns, spec.value_columns, spec.how
+        )
+        missed = F.sum(F.when(col(MAIN_CODE).isNull(), F.col("_rows")))
+        kept_counts = per_key.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("records"),
+            F.coalesce(missed, F.lit(0)).alias("unmapped"),
+        )
     else:
-        attached, rows, missed = kept, kept, F.lit(0)
-    branches = summarize(rows, spec.group_columns, spec.value_columns, spec.how)
-    kept_counts = attached.agg(
-        F.count(F.lit(1)).alias("records"), missed.cast("long").alias("unmapped")
-    )
+        rows = kept
+        branches = summarize(rows, spec.group_columns, spec.value_columns, spec.how)
+        kept_counts = kept.agg(
+            F.count(F.lit(1)).alias("records"), F.lit(0).cast("long").alias("unmapped")
+        )
     metrics = one_row(
         raw.agg(F.count(F.lit(1)).alias("processed_rows")),
         kept_counts.withColumnsRenamed({"records": "kept_rows", "unmapped": "unmapped_rows"}),
@@ -140,11 +170,22 @@ def _summary_report(spec, raw, reference, filters, key, order_by, policy) -> Rep
 
 
 def activity_rows(
-    rows: DataFrame, master: Table, order_by: str | None = None, policy: JoinPolicy = JoinPolicy()
+    kept: DataFrame,
+    reference: DataFrame,
+    master: Table,
+    key: str = LOOKUP_KEY,
+    order_by: str | None = None,
+    policy: JoinPolicy = JoinPolicy(),
 ) -> DataFrame:
-    """Per id: context code, master code, summed frequency, category."""
-    per_id = roll_up_ids(rows, CONTEXT_CODE, order_by=order_by)
-    _, mapping = best_mapping(_tables(master), per_id, "ID")
+    """Per id: context code, master code, summed frequency, category.
+
+    The context code belongs to an id's first row. It is looked up per (id, key) pair.
+    """
+    key = header_form(key)
+    pairs = roll_up_pairs(normalise_key(kept, key), key, order_by=order_by)
+    coded = fill_unmapped(attach_branch(pairs, reference, key, order_by, policy))
+    per_id = roll_up_ids(coded.withColumnRenamed(MAIN_CODE, CONTEXT_CODE), CONTEXT_CODE)
+    _, mapping = best_mapping(_tables(master), kept, "ID", order_by)
     coded = lookup_id(per_id, mapping, policy)
     return coded.withColumn("USER_AKTIF", activity_category(F.col("FREKUENSI"))).select(
         *map(col, DETAIL_COLUMNS)
@@ -154,11 +195,8 @@ def activity_rows(
 def _activity_report(spec, raw, reference, master, filters, key, order_by, policy) -> ReportResult:
     tables = _need(spec, reference, "reference table")
     masters = _need(spec, master, "master table")
-    kept = normalise_key(filters.apply(raw), key)
     _, table = pick_reference(tables, key)
-    coded = fill_unmapped(attach_branch(kept, table, key, order_by, policy))
-    context = coded.withColumnsRenamed({MAIN_CODE: CONTEXT_CODE, MAIN_BRANCH: "UKER_MAIN_BRANCH"})
-    per_id = activity_rows(context, masters, order_by, policy)
+    per_id = activity_rows(filters.apply(raw), table, masters, key, order_by, policy)
     crosstab = activity_crosstab(per_id)
     unmapped = F.count_if(col(MAIN_CODE) == "UNMAPPED")
     ids = per_id.agg(F.count(F.lit(1)).alias("ids"), unmapped.alias("unmapped"))
