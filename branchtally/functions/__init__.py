@@ -1,8 +1,7 @@
 """Column expressions. Everything here is built from Spark's own functions."""
 
-from .names import col, header_form, unique_headers
+from .names import col, header_form, quoted, text_list, unique_headers
 from .numbers import (
-    MONEY_TYPE,
     merge_totals,
     money_total,
     parse_balance,
@@ -22,7 +21,6 @@ from .text import (
 )
 
 __all__ = [
-    "MONEY_TYPE",
     "as_text",
     "blank_missing",
     "canonical_branch_code",
@@ -35,9 +33,11 @@ __all__ = [
     "money_total",
     "parse_balance",
     "parse_number",
+    "quoted",
     "settle",
     "strip",
     "strip_control_chars",
+    "text_list",
     "unique_headers",
     "whole_units",
 ]

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import quoted
 from .text import strip
 
 # Money is summed in fixed point with six decimals, so that a sum does not depend on the
@@ -14,7 +15,6 @@ from .text import strip
 _PART_BITS = 22
 _MICRO = 1_000_000
 _FIXED_POINT_LIMIT = float(1 << 62)
-MONEY_TYPE = T.DecimalType(38, 6)
 _PLAIN_NUMBER = r"^[+-]?(\d{1,300}\.?\d*|\.\d+)$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -41,48 +41,52 @@ def parse_number(c: Column, kind: T.DataType | None = None) -> Column:
     return F.coalesce(parse_balance(F.replace(c.cast("string"), F.lit(","), F.lit(""))), F.lit(0.0))
 
 
-def money_parts(c: Column) -> dict[str, Column]:
-    """A double as whole parts: ``top * 2^44 + mid * 2^22 + low + micro / 10^6``.
+_PARTS = ("micro", "low", "mid", "top", "huge")
 
-    What is too large for that stays a double in ``huge`` (|value| of 2^62 or more).
-    """
-    fits = F.abs(c) < F.lit(_FIXED_POINT_LIMIT)
-    units = F.floor(c)
-    mask = F.lit((1 << _PART_BITS) - 1)
-    parts = {
-        "micro": F.rint((c - units) * F.lit(float(_MICRO))).cast("long"),
-        "low": units.bitwiseAND(mask),
-        "mid": F.shiftright(units, _PART_BITS).bitwiseAND(mask),
-        "top": F.shiftright(units, 2 * _PART_BITS),
+
+def _money_parts(name: str) -> dict[str, str]:
+    # value = top * 2^44 + mid * 2^22 + low + micro / 10^6; what is too large for a long
+    # stays a double in huge.
+    c, mask = quoted(name), (1 << _PART_BITS) - 1
+    fits = f"abs({c}) < {_FIXED_POINT_LIMIT!r}D"
+    return {
+        "micro": f"if({fits}, cast(rint(({c} - floor({c})) * {_MICRO}.0D) as bigint), null)",
+        "low": f"if({fits}, floor({c}) & {mask}L, null)",
+        "mid": f"if({fits}, shiftright(floor({c}), {_PART_BITS}) & {mask}L, null)",
+        "top": f"if({fits}, shiftright(floor({c}), {2 * _PART_BITS}), null)",
+        "huge": f"if({fits}, null, {c})",
     }
-    out = {name: F.when(fits, part) for name, part in parts.items()}
-    return {**out, "huge": F.when(~fits, c)}
 
 
-def money_total(c: Column) -> Column:
+def money_total(name: str) -> Column:
     """Aggregate: the sum of a double column, exact for every |value| below 2^62."""
-    return F.struct(*[F.sum(part).alias(name) for name, part in money_parts(c).items()])
+    sums = ", ".join(f"'{part}', sum({sql})" for part, sql in _money_parts(name).items())
+    return F.expr(f"named_struct({sums})")
 
 
-def merge_totals(totals: Column) -> Column:
+def merge_totals(name: str) -> Column:
     """Aggregate: the sum of several ``money_total`` values."""
-    names = ("micro", "low", "mid", "top", "huge")
-    return F.struct(*[F.sum(totals.getField(n)).alias(n) for n in names])
-
-
-def settle(total: Column, scale: int | None = 2) -> Column:
-    """The double value of a ``money_total``, rounded half-even to ``scale`` decimals."""
-    part = lambda name: F.coalesce(total.getField(name), F.lit(0)).cast(MONEY_TYPE)
-    power = lambda n: F.lit(1 << n).cast("decimal(15,0)")
-    exact = (
-        (part("top") * power(2 * _PART_BITS)).cast(MONEY_TYPE)
-        + (part("mid") * power(_PART_BITS)).cast(MONEY_TYPE)
-        + part("low")
-        + (part("micro") / F.lit(_MICRO).cast("decimal(7,0)")).cast(MONEY_TYPE)
+    c = quoted(name)
+    return F.expr("named_struct(" + ", ".join(f"'{p}', sum({c}.{p})" for p in _PARTS) + ")")
+
+
+def settle(name: str, scale: int | None = 2) -> Column:
+    """The double value of a ``money_total`` column, rounded half-even to ``scale``."""
+    c, wide = quoted(name), "decimal(38,6)"
+
+    def part(p: str, factor: str = "") -> str:
+        return f"cast(cast(coalesce({c}.{p}, 0) as {wide}){factor} as {wide})"
+
+    exact = " + ".join(
+        (
+            part("top", f" * cast({1 << 2 * _PART_BITS} as decimal(14,0))"),
+            part("mid", f" * cast({1 << _PART_BITS} as decimal(7,0))"),
+            part("low"),
+            part("micro", f" / cast({_MICRO} as decimal(7,0))"),
+        )
     )
-    if scale is not None:
-        exact = F.bround(exact, scale)
-    return exact.cast("double") + F.coalesce(total.getField("huge"), F.lit(0.0))
+    rounded = exact if scale is None else f"bround({exact}, {scale})"
+    return F.expr(f"cast({rounded} as double) + coalesce({c}.huge, 0.0D)")
 
 
 def whole_units(c: Column, mode: str = "round") -> Column:

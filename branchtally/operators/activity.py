@@ -9,7 +9,7 @@ from ..functions import as_text, canonical_id, col, merge_totals, money_total, s
 from .columns import MAIN_CODE
 from .lookup import UNMAPPED, row_order
 from .ordering import UNLISTED, branch_position
-from .summarize import TOTAL_LABEL, number_or_zero, stack_total
+from .summarize import TOTAL_LABEL, number_or_zero, stack_total, totals
 
 # Category labels and the activity threshold.
 ACTIVE = "AKTIF TRX >=5x"
@@ -42,7 +42,7 @@ def roll_up_pairs(
         row_order(rows, order_by).alias("_o"),
     )
     return base.groupBy(col(id_column), col(carry)).agg(
-        money_total(F.col("_m")).alias("_t"), F.min("_o").alias("_o")
+        money_total("_m").alias("_t"), F.min("_o").alias("_o")
     )
 
 
@@ -51,9 +51,8 @@ def roll_up_ids(
 ) -> DataFrame:
     """Per id: the summed measure, and ``carry`` of its first row that has one."""
     first = F.min_by(col(carry), F.when(col(carry).isNotNull(), F.col("_o")))
-    return pairs.groupBy(col(id_column)).agg(
-        settle(merge_totals(F.col("_t")), None).alias(measure), first.alias(carry)
-    )
+    merged = pairs.groupBy(col(id_column)).agg(merge_totals("_t").alias("_t"), first.alias(carry))
+    return merged.select(col(id_column), settle("_t", None).alias(measure), col(carry))
 
 
 def activity_category(measure: Column, threshold: float = ACTIVE_FROM) -> Column:
@@ -76,8 +75,7 @@ def activity_crosstab(
 def crosstab_report(crosstab: DataFrame, code: str = MAIN_CODE) -> DataFrame:
     """The crosstab with row totals, a total row, and the dashboard order."""
     key = col(code)
-    totals = [F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in CATEGORIES]
-    rows = stack_total(crosstab, [code], totals)
+    rows = stack_total(crosstab, [code], totals(crosstab, CATEGORIES))
     is_total = F.col("row_kind") == "total"
     place = F.coalesce(branch_position(key.cast("string")), F.lit(UNLISTED))
     rows = rows.withColumn("position", F.when(is_total, F.lit(UNLISTED + 1)).otherwise(place))

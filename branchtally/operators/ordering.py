@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_text, canonical_branch_code, col
+from ..functions import as_text, canonical_branch_code, col, text_list
 
 # Branch codes in the order the receiving dashboard lists them.
 BRANCH_ORDER = (
@@ -19,7 +19,7 @@ UNLISTED = len(BRANCH_ORDER)
 
 def branch_position(code: Column) -> Column:
     """0-based place of a branch code in the dashboard; unlisted codes share the last."""
-    listed = F.array_position(F.array(*map(F.lit, BRANCH_ORDER)), canonical_branch_code(code))
+    listed = F.array_position(F.expr(f"array({text_list(BRANCH_ORDER)})"), canonical_branch_code(code))
     return F.when(listed > 0, (listed - 1).cast("int")).otherwise(F.lit(UNLISTED))
 
 

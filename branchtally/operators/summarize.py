@@ -47,8 +47,7 @@ def summarize(
     cells. Missing group values form a group of their own.
     """
     sums = partial_sums(df, group_columns, value_columns, how)
-    values = [(col(c) if how == "count" else settle(col(c))).alias(c) for c in value_columns]
-    return sums.select(*map(col, group_columns), *values)
+    return _settled(sums, group_columns, value_columns, how)
 
 
 def partial_sums(
@@ -60,22 +59,30 @@ def partial_sums(
     missing = [c for c in value_columns if c not in df.columns]
     if missing:
         raise ReportValidationError(f"value column(s) {missing} are absent from the input")
-    values = [
-        (F.count_if(non_blank(df, c)) if how == "count" else money_total(number_or_zero(df, c))).alias(c)
-        for c in value_columns
-    ]
-    return df.groupBy(*map(col, keys)).agg(*values, F.count(F.lit(1)).alias("_rows"))
+    if how == "count":
+        cells = [non_blank(df, c).alias(c) for c in value_columns]
+        values = [F.count_if(col(c)).alias(c) for c in value_columns]
+    else:
+        cells = [number_or_zero(df, c).alias(c) for c in value_columns]
+        values = [money_total(c).alias(c) for c in value_columns]
+    rows = df.select(*map(col, keys), *cells)
+    return rows.groupBy(*map(col, keys)).agg(*values, F.count(F.lit(1)).alias("_rows"))
 
 
 def finish_sums(
     partial: DataFrame, group_columns: Sequence[str], value_columns: Sequence[str], how: str = "sum"
 ) -> DataFrame:
     """Rounded values per group from partial sums; equal keys are merged on the way."""
-    values = [
-        (F.sum(col(c)) if how == "count" else settle(merge_totals(col(c)))).alias(c)
-        for c in value_columns
-    ]
-    return partial.groupBy(*map(col, group_columns)).agg(*values)
+    merge = (lambda c: F.sum(col(c))) if how == "count" else merge_totals
+    merged = partial.groupBy(*map(col, group_columns)).agg(
+        *[merge(c).alias(c) for c in value_columns]
+    )
+    return _settled(merged, group_columns, value_columns, how)
+
+
+def _settled(sums: DataFrame, group_columns, value_columns, how: str) -> DataFrame:
+    value = col if how == "count" else settle
+    return sums.select(*map(col, group_columns), *[value(c).alias(c) for c in value_columns])
 
 
 def with_grand_total(
@@ -86,20 +93,26 @@ def with_grand_total(
     The total adds up the already rounded branch values, not the input again: both sides
     of the union read one shuffle of partial sums. An empty summary has a total of 0.
     """
-    return stack_total(summary, group_columns, [_total(summary, c) for c in value_columns])
+    return stack_total(summary, group_columns, totals(summary, value_columns))
 
 
-def stack_total(rows: DataFrame, group_columns: Sequence[str], totals: Sequence[Column]) -> DataFrame:
-    """Rows and one total row under them, told apart by ``row_kind``."""
-    blanks = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in group_columns]
-    total = rows.agg(*totals).select(*blanks, "*", F.lit("total").alias("row_kind"))
-    return rows.withColumn("row_kind", F.lit("branch")).unionByName(total)
+def totals(summary: DataFrame, value_columns: Sequence[str]) -> DataFrame:
+    """One row: the total of each value column, 0 over no rows."""
+    counts = {f.name for f in summary.schema if f.dataType.typeName() == "long"}
+    sums = summary.agg(
+        *[
+            (F.coalesce(F.sum(col(c)), F.lit(0)) if c in counts else money_total(c)).alias(c)
+            for c in value_columns
+        ]
+    )
+    return sums.select(*[(col(c) if c in counts else settle(c)).alias(c) for c in value_columns])
 
 
-def _total(summary: DataFrame, name: str) -> Column:
-    if summary.schema[name].dataType.typeName() == "long":
-        return F.coalesce(F.sum(col(name)), F.lit(0)).alias(name)
-    return settle(money_total(col(name))).alias(name)
+def stack_total(rows: DataFrame, group_columns: Sequence[str], total: DataFrame) -> DataFrame:
+    """Rows and one total row under them, told apart by ``row_kind``."""
+    blanks = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in group_columns]
+    labelled = total.select(*blanks, "*", F.lit("total").alias("row_kind"))
+    return rows.withColumn("row_kind", F.lit("branch")).unionByName(labelled)
 
 
 def round_values(df: DataFrame, value_columns: Sequence[str], mode: str = "round") -> DataFrame:
@@ -109,10 +122,9 @@ def round_values(df: DataFrame, value_columns: Sequence[str], mode: str = "round
 
 def headline(summary: DataFrame, value_column: str) -> DataFrame:
     """One row: the total of the primary value column and the number of branches."""
-    total = settle(money_total(col(value_column).cast("double")))
-    return summary.agg(
-        total.alias("total_value"), F.count(F.lit(1)).alias("branch_count")
-    )
+    values = summary.select(col(value_column).cast("double").alias("v"))
+    sums = values.agg(money_total("v").alias("t"), F.count(F.lit(1)).alias("branch_count"))
+    return sums.select(settle("t").alias("total_value"), "branch_count")
 
 
 def report_rows(

@@ -3,9 +3,9 @@ but for the size check of a lookup side and the choice of a master mapping."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from ..operators.columns import (
     require_columns,
     text_columns,
 )
-from ..operators.lookup import JoinPolicy, attach_branch, fill_unmapped, lookup_branch
+from ..operators.lookup import UNMAPPED, JoinPolicy, attach_branch, fill_unmapped, lookup_branch
 from ..operators.mapping import best_mapping, lookup_id, pick_reference
 from ..operators.reconcile import pick_balances, write_back
 from ..operators.summarize import finish_sums, headline, partial_sums, report_rows, summarize
@@ -43,7 +43,7 @@ Table = DataFrame | Sequence[tuple[str, DataFrame]]
 
 @dataclass(frozen=True)
 class ReportResult:
-    """The lazy outputs of a report run.
+    """The outputs of a report run, each planned when it is first asked for.
 
     ``summary`` is what is reported (the updated register for a balance report),
     ``detail`` every surviving row, ``metadata`` the head of the report, ``metrics`` one
@@ -51,11 +51,27 @@ class ReportResult:
     """
 
     spec: ReportSpec
-    summary: DataFrame
-    detail: DataFrame
-    metadata: DataFrame
-    metrics: DataFrame
-    branches: DataFrame | None = None
+    plans: dict[str, Callable[[], DataFrame]]
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self.plans["summary"]()
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        return self.plans["detail"]()
+
+    @cached_property
+    def metadata(self) -> DataFrame:
+        return self.plans["metadata"]()
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return self.plans["metrics"]()
+
+    @cached_property
+    def branches(self) -> DataFrame:
+        return self.plans["branches"]()
 
 
 def _tables(table: Table | None) -> list[tuple[str, DataFrame]]:
@@ -132,40 +148,49 @@ def branch_sums(
 
 def _summary_report(spec, raw, reference, filters, key, order_by, policy) -> ReportResult:
     kept = filters.apply(raw)
+    groups, values, mode = spec.group_columns, spec.value_columns, spec.rounding
     if spec.needs_reference:
         _, table = pick_reference(_need(spec, reference, "reference table"), key)
         kept = normalise_key(kept, key)
-        rows = lookup_branch(kept, table, key, order_by, policy)
-        per_key = branch_sums(kept, table, spec, key, order_by, policy)
-        branches = finish_sums(
-            fill_unmapped(per_key), spec.group_columns, spec.value_columns, spec.how
-        )
-        missed = F.sum(F.when(col(MAIN_CODE).isNull(), F.col("_rows")))
-        kept_counts = per_key.agg(
-            F.coalesce(F.sum("_rows"), F.lit(0)).alias("records"),
-            F.coalesce(missed, F.lit(0)).alias("unmapped"),
-        )
+        per_key = cache(lambda: branch_sums(kept, table, spec, key, order_by, policy))
+        branches = cache(lambda: finish_sums(fill_unmapped(per_key()), groups, values, spec.how))
+
+        def rows() -> DataFrame:
+            return lookup_branch(kept, table, key, order_by, policy)
+
+        def counts() -> DataFrame:
+            missed = F.sum(F.when(col(MAIN_CODE).isNull(), F.col("_rows")))
+            return per_key().agg(
+                F.coalesce(F.sum("_rows"), F.lit(0)).alias("records"),
+                F.coalesce(missed, F.lit(0)).alias("unmapped"),
+            )
+
     else:
-        rows = kept
-        branches = summarize(rows, spec.group_columns, spec.value_columns, spec.how)
-        kept_counts = kept.agg(
-            F.count(F.lit(1)).alias("records"), F.lit(0).cast("long").alias("unmapped")
+        branches = cache(lambda: summarize(kept, groups, values, spec.how))
+
+        def rows() -> DataFrame:
+            return kept
+
+        def counts() -> DataFrame:
+            none = F.lit(0).cast("long").alias("unmapped")
+            return kept.agg(F.count(F.lit(1)).alias("records"), none)
+
+    def metrics() -> DataFrame:
+        return one_row(
+            raw.agg(F.count(F.lit(1)).alias("processed_rows")),
+            counts().withColumnsRenamed({"records": "kept_rows", "unmapped": "unmapped_rows"}),
+            headline(branches(), spec.primary),
         )
-    metrics = one_row(
-        raw.agg(F.count(F.lit(1)).alias("processed_rows")),
-        kept_counts.withColumnsRenamed({"records": "kept_rows", "unmapped": "unmapped_rows"}),
-        headline(branches, spec.primary),
-    )
-    mode = spec.rounding
+
     return ReportResult(
-        spec=spec,
-        summary=report_rows(
-            branches, spec.group_columns, spec.value_columns, mode, dict(spec.display)
-        ),
-        detail=detail_rows(rows, spec.value_columns if spec.how == "sum" else (), mode),
-        metadata=_metadata(spec.title, kept_counts, filters.label, "None (All Segments)"),
-        metrics=metrics,
-        branches=branches,
+        spec,
+        {
+            "summary": lambda: report_rows(branches(), groups, values, mode, dict(spec.display)),
+            "detail": lambda: detail_rows(rows(), values if spec.how == "sum" else (), mode),
+            "metadata": lambda: _metadata(spec.title, counts(), filters.label, "None (All Segments)"),
+            "metrics": metrics,
+            "branches": branches,
+        },
     )
 
 
@@ -196,21 +221,25 @@ def _activity_report(spec, raw, reference, master, filters, key, order_by, polic
     tables = _need(spec, reference, "reference table")
     masters = _need(spec, master, "master table")
     _, table = pick_reference(tables, key)
-    per_id = activity_rows(filters.apply(raw), table, masters, key, order_by, policy)
-    crosstab = activity_crosstab(per_id)
-    unmapped = F.count_if(col(MAIN_CODE) == "UNMAPPED")
-    ids = per_id.agg(F.count(F.lit(1)).alias("ids"), unmapped.alias("unmapped"))
-    records = raw.agg(F.count(F.lit(1)).alias("records"))
+    kept = filters.apply(raw)
+    per_id = cache(lambda: activity_rows(kept, table, masters, key, order_by, policy))
+    crosstab = cache(lambda: activity_crosstab(per_id()))
+
+    def counts() -> DataFrame:
+        unmapped = F.count_if(col(MAIN_CODE) == UNMAPPED).alias("unmapped")
+        ids = per_id().agg(F.count(F.lit(1)).alias("ids"), unmapped)
+        return one_row(raw.agg(F.count(F.lit(1)).alias("records")), ids)
+
+    names = {"records": "processed_rows", "unmapped": "unmapped_ids"}
     return ReportResult(
-        spec=spec,
-        summary=crosstab_report(crosstab),
-        detail=detail_rows(per_id, ("FREKUENSI",)),
-        metadata=_metadata(spec.title, one_row(records, ids), filters.label, "None", True),
-        metrics=one_row(
-            records.withColumnRenamed("records", "processed_rows"),
-            ids.withColumnRenamed("unmapped", "unmapped_ids"),
-        ),
-        branches=crosstab,
+        spec,
+        {
+            "summary": lambda: crosstab_report(crosstab()),
+            "detail": lambda: detail_rows(per_id(), ("FREKUENSI",)),
+            "metadata": lambda: _metadata(spec.title, counts(), filters.label, "None", True),
+            "metrics": lambda: counts().withColumnsRenamed(names),
+            "branches": crosstab,
+        },
     )
 
 
@@ -218,18 +247,27 @@ def _balance_report(spec, raw, master, order_by, policy) -> ReportResult:
     register = _need(spec, master, "register to update")
     _, monthly = pick_balances(_tables(raw))
     done = write_back(register[0][1], monthly, order_by, policy)
-    counts = done.counts()
-    head = counts.select(F.col("scanned_rows").alias("records"))
+
+    def register_rows() -> DataFrame:
+        return hide_helpers(done.register)
+
+    def metrics() -> DataFrame:
+        names = {"scanned_rows": "processed_rows", "unmatched_rows": "unmapped_rows"}
+        return done.counts().withColumnsRenamed(names)
+
+    def metadata() -> DataFrame:
+        head = done.counts().select(F.col("scanned_rows").alias("records"))
+        return _metadata(spec.title, head, None, "None")
+
     return ReportResult(
-        spec=spec,
-        summary=hide_helpers(done.register),
-        detail=hide_helpers(done.register),
-        metadata=_metadata(spec.title, head, None, "None"),
-        metrics=counts.select(
-            F.col("scanned_rows").alias("processed_rows"),
-            F.col("unmatched_rows").alias("unmapped_rows"),
-            "updated_rows",
-        ),
+        spec,
+        {
+            "summary": register_rows,
+            "detail": register_rows,
+            "branches": register_rows,
+            "metadata": metadata,
+            "metrics": metrics,
+        },
     )
 
 

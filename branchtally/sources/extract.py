@@ -18,7 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import EmptyInputError, ExtractError
-from ..functions import blank_missing, col, header_form, parse_number, strip, unique_headers
+from ..functions import (
+    blank_missing,
+    col,
+    header_form,
+    parse_number,
+    quoted,
+    strip,
+    text_list,
+    unique_headers,
+)
 from ..session import ensure_checkpoint_dir
 from .local import local_frame
 from .lines import decode_line, file_encoding, line_traits, read_lines
@@ -110,7 +119,7 @@ def hint_set(extra: Sequence[str] = ()) -> list[str]:
 
 def title_score(cells: Column, hints: Sequence[str]) -> Column:
     """How many cells of a row are exactly a known title."""
-    known = F.lit(list(hints))
+    known = F.expr(f"array({text_list(hints)})")
     return F.size(F.filter(cells, lambda c: F.array_contains(known, F.upper(strip(c)))))
 
 
@@ -370,9 +379,8 @@ def _value_of(name: str, headers: list[list[str]]) -> Column:
 
 def _count_cells(columns: Sequence[str], condition: str, values: Sequence[str]) -> Column:
     """How many cells, in upper case, are (not) among ``values``."""
-    listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
-    return F.expr(" + ".join(f"int(upper({c}) {condition} ({listed}))" for c in quoted))
+    listed = text_list(values)
+    return F.expr(" + ".join(f"int(upper({quoted(c)}) {condition} ({listed}))" for c in columns))
 
 
 def _banner(columns: Sequence[str], hints: Sequence[str]) -> Column:
