@@ -16,6 +16,7 @@ from .text import (
     canonical_id,
     clean_cell,
     fold,
+    only_spaces,
     strip,
     strip_control_chars,
 )
@@ -31,6 +32,7 @@ __all__ = [
     "header_form",
     "merge_totals",
     "money_total",
+    "only_spaces",
     "parse_balance",
     "parse_number",
     "quoted",

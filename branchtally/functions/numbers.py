@@ -15,7 +15,7 @@ from .text import strip
 _PART_BITS = 22
 _MICRO = 1_000_000
 _FIXED_POINT_LIMIT = float(1 << 62)
-_PLAIN_NUMBER = r"^[+-]?(\d{1,300}\.?\d*|\.\d+)$"
+_NUMBER = r"^[+-]?(\d{1,300}\.?\d*|\.\d+)$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -27,11 +27,19 @@ def parse_balance(c: Column, kind: T.DataType | None = None) -> Column:
     """A cell as double, or null when it is not a plain number (``1,250`` is not one)."""
     if kind is not None and isinstance(kind, T.NumericType):
         return _finite(c.cast("double"))
-    s = strip(c.cast("string"))
-    # Spark's cast accepts '1d' and 'NaN'; the patterns do not. Plain numbers, nearly all
-    # cells, take one match and one cast; only exponents can overflow to infinity.
-    number = s.try_cast("double")
-    return F.when(s.rlike(_PLAIN_NUMBER), number).when(s.rlike(_NUMBER), _finite(number))
+    text = c.cast("string")
+    # Spark's cast also takes '1d', 'NaN' and hexadecimal. A cell that ends in a digit and
+    # has no x or e is either a plain number or fails the cast; the rest, few cells,
+    # goes through a pattern. Only exponents can overflow to infinity.
+    last = F.right(text, F.lit(1))
+    plain = (last >= "0") & (last <= "9") & (F.length(text) <= 300)
+    for letter in "xXeE":
+        plain = plain & ~F.contains(text, F.lit(letter))
+    s = strip(text)
+    return F.coalesce(
+        F.when(plain, text.try_cast("double")),
+        F.when(s.rlike(_NUMBER), _finite(s.try_cast("double"))),
+    )
 
 
 def parse_number(c: Column, kind: T.DataType | None = None) -> Column:

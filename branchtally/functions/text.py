@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def only_spaces(line: Column) -> Column:
+    """The line's only white space is U+0020, so a plain trim does for all its cells."""
+    ascii_only = F.octet_length(line) == F.length(line)
+    others = [w for w in WHITESPACE if w.isascii() and w != " "]
+    return reduce(lambda ok, w: ok & ~F.contains(line, F.lit(w)), others, ascii_only)
+
+
 def fold(c: Column) -> Column:
     """Comparison form of a filter value; a missing cell compares as blank."""
     return F.coalesce(F.lower(strip(c)), F.lit(""))

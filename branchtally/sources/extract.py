@@ -22,6 +22,7 @@ from ..functions import (
     blank_missing,
     col,
     header_form,
+    only_spaces,
     parse_number,
     quoted,
     strip,
@@ -123,6 +124,17 @@ def title_score(cells: Column, hints: Sequence[str]) -> Column:
     return F.size(F.filter(cells, lambda c: F.array_contains(known, F.upper(strip(c)))))
 
 
+def _may_be_title(line: Column, delimiter: str, hints: Sequence[str]) -> Column:
+    """Cheap and never wrong in saying no: some cell of the line is a known title.
+
+    Counting cells one by one costs five times as much and is left for the few lines
+    that pass.
+    """
+    blank = r"[\s\p{Z}\x1c-\x1f\x85]*"
+    cells = F.split(F.upper(strip(line)), blank + re.escape(delimiter) + blank)
+    return F.arrays_overlap(cells, F.expr(f"array({text_list(hints)})"))
+
+
 def _split(line: Column, delimiter: str) -> Column:
     return F.split(line, re.escape(delimiter), -1)
 
@@ -135,23 +147,22 @@ def discover_titles(
     The title row is the first whose cells hit two known titles, however deep; without
     one it is the first line that is not blank. ``hints`` extend the known titles.
     """
-    line = F.col("line")
+    line, known = F.col("line"), hint_set(hints)
+    is_title = title_score(_split(line, delimiter), known) >= TITLE_SCORE
     found = _discover(
         lines,
         payload=line,
-        cells=_split(line, delimiter),
+        scored=F.when(_may_be_title(line, delimiter, known), is_title).otherwise(F.lit(False)),
         filled=strip(line) != "",
-        hints=hint_set(hints),
         traits=F.lit("ascii") if encoding else line_traits(line),
         encoding=encoding,
     )
     return found.withColumn("title", decode_line(F.col("title"), F.col("encoding")))
 
 
-def _discover(frame, payload, cells, filled, hints, traits, encoding=None) -> DataFrame:
+def _discover(frame, payload, scored, filled, traits, encoding=None) -> DataFrame:
     place = F.struct("blk", "row")
     here = F.struct("blk", "row", "payload")
-    scored, filled_ = F.col("scored"), F.col("filled")
     # A level of its own: each of these is computed once per line.
     facts = frame.select(
         "src",
@@ -160,14 +171,14 @@ def _discover(frame, payload, cells, filled, hints, traits, encoding=None) -> Da
         payload.alias("payload"),
         filled.alias("filled"),
         traits.alias("traits"),
-        (title_score(cells, hints) >= TITLE_SCORE).alias("scored"),
+        scored.alias("scored"),
     )
     # collect_set sees at most five values; it also makes this an object-hash aggregate,
     # so lines are not sorted by source to find the first one.
     found = facts.groupBy("src").agg(
         F.collect_set("traits").alias("traits"),
-        F.min_by(here, F.when(scored, place)).alias("matched"),
-        F.min_by(here, F.when(filled_, place)).alias("first_filled"),
+        F.min_by(here, F.when(F.col("scored"), place)).alias("matched"),
+        F.min_by(here, F.when(F.col("filled"), place)).alias("first_filled"),
         F.min(place).alias("first"),
     )
     title = F.coalesce("matched", "first_filled")
@@ -247,9 +258,8 @@ def parse_table(
     titles = _discover(
         rows,
         payload=F.col("line"),
-        cells=F.col("line"),
+        scored=title_score(F.col("line"), hint_set(title_hints)) >= TITLE_SCORE,
         filled=F.lit(True),
-        hints=hint_set(title_hints),
         traits=F.lit("ascii"),
         encoding="utf-8",
     ).withColumn("promoted", F.lit(True))
@@ -353,7 +363,12 @@ def _assemble(lines, titles, delimiter, numeric_columns, hints) -> Extract:
 
     raw = decode_line(F.col("line"), F.col("_encoding")) if delimiter else F.col("line")
     cells = _parse_cells(F.col("_raw"), delimiter, width) if delimiter else F.col("_raw")
-    fields = _with_titles(lines, settled).withColumn("_raw", raw).withColumn("_cells", cells)
+    plain = only_spaces(F.col("_raw")) if delimiter else F.lit(False)
+    fields = (
+        _with_titles(lines, settled)
+        .withColumn("_raw", raw)
+        .withColumns({"_cells": cells, "_plain": plain})
+    )
     meta = ["src", "blk", "row", "_raw", "_title_blk", "_title_row", "_promoted"]
     values = [_value_of(name, headers).alias(name) for name in columns]
     trimmed = fields.select(*meta, (F.size("_cells") > F.col("_width")).alias("_long"), *values)
@@ -370,11 +385,15 @@ def _value_of(name: str, headers: list[list[str]]) -> Column:
     """The trimmed cell of a column, whatever position the row's layout has it at."""
     spots = [(i, h.index(name)) for i, h in enumerate(headers) if name in h]
     if len({p for _, p in spots}) == 1 and len(spots) == len(headers):
-        return strip(F.get("_cells", F.lit(spots[0][1])))
+        return _trimmed(F.get("_cells", F.lit(spots[0][1])))
     value = F.lit("")
     for i, p in spots:
         value = F.when(F.col("_layout") == i, F.get("_cells", F.lit(p))).otherwise(value)
-    return strip(value)
+    return _trimmed(value)
+
+
+def _trimmed(cell: Column) -> Column:
+    return F.when(F.col("_plain"), F.trim(cell)).otherwise(strip(cell))
 
 
 def _count_cells(columns: Sequence[str], condition: str, values: Sequence[str]) -> Column:
