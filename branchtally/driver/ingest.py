@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..errors import EmptyInputError
 from ..functions import clean_cell, parse_number, strip_control_chars
 from ..sources import discover_titles, parse_lines, parse_table, pick_source
-from ..sources.lines import decode_line, detect_encodings
+from ..sources.lines import decode_lines
 from ..sources.local import local_frame
 from . import inputs
 from .register import registry
@@ -219,14 +219,8 @@ from documents d, lateral (select unnest(generate_series(1, len(string_split(d.t
 """)
 def encoding_fallback(spark, d):
     """Each file in the one encoding that reads all of it; text comes out unharmed."""
-    lines = inputs.document_lines(spark, d)
-    encodings = detect_encodings(lines)
-    joined = lines.join(encodings, "src")
-    return joined.select(
-        F.col("src").cast("long").alias("doc_id"),
-        "row",
-        decode_line(F.col("line"), F.col("encoding")).alias("line"),
-    )
+    lines = decode_lines(inputs.document_lines(spark, d))
+    return lines.select(F.col("src").cast("long").alias("doc_id"), "row", "line")
 
 
 @query("""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.extract import ORD
+from ..functions import ORD
 from ..sources.lines import lines_from_table
 from ..sources.local import local_frame
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import canonical_branch_code, canonical_id, col
+from ..functions import ORD, canonical_branch_code, canonical_id, col
 from ..operators.columns import (
     MAIN_CODE,
     key_aliases,
@@ -22,8 +22,8 @@ from ..operators.filters import (
     filter_segment,
     fold_dimensions,
 )
+from ..operators.joins import JoinPolicy
 from ..operators.lookup import (
-    JoinPolicy,
     attach_branch,
     lookup_branch,
     unmapped_counts,
@@ -40,7 +40,6 @@ from ..operators.mapping import (
 from ..operators.ordering import BRANCH_ORDER, sort_for_dashboard, with_position
 from ..plans import FilterChoice, get_report
 from ..plans.spec import resolve_filters
-from ..sources.extract import ORD
 from . import inputs
 from .register import registry
 

@@ -1,6 +1,6 @@
 """Column expressions. Everything here is built from Spark's own functions."""
 
-from .names import col, header_form, quoted, text_list, unique_headers
+from .names import ORD, col, header_form, quoted, text_list, unique_headers
 from .numbers import (
     merge_totals,
     money_total,
@@ -22,6 +22,7 @@ from .text import (
 )
 
 __all__ = [
+    "ORD",
     "as_text",
     "blank_missing",
     "canonical_branch_code",

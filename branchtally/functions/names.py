@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Row order, where a frame carries one: any orderable type, unique per row.
+ORD = "_ord"
+
 
 def quoted(name: str) -> str:
     """A column name for SQL text."""

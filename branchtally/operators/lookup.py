@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ReportValidationError
-from ..functions import as_text, col, strip
-from ..sources.extract import ORD
+from ..functions import ORD, as_text, col, strip
 from .columns import (
     LOOKUP_KEY,
     MAIN_BRANCH,
@@ -21,18 +19,11 @@ from .columns import (
     rename_alias,
     rename_reference,
 )
+from .joins import JoinPolicy, left_lookup
 
 UNMAPPED = "UNMAPPED"
 
 
-@dataclass(frozen=True)
-class JoinPolicy:
-    """When a lookup side is broadcast, and what counts as a hot key beyond that."""
-
-    broadcast_bytes: int = 64 << 20
-    hot_share: float = 0.005
-
-
 def row_order(df: DataFrame, order_by: str | None) -> Column:
     """The column that says which row comes first. There is no default order."""
     name = order_by or ORD
@@ -61,69 +52,6 @@ def first_hit(
     return best.select(*map(col, keys), *[F.col("_first")[v].alias(v) for v in values])
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None where it cannot be asked."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes())
-    except Exception:  # a client without access to the plan
-        return None
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """The size a table would have as a broadcast, measured by one aggregate."""
-    width = 16
-    for f in df.schema:
-        if isinstance(f.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
-        else:
-            width = width + 16
-    row = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width)).alias("b")).first()
-    return int(row["b"] or 0)
-
-
-def _auto_broadcast_bytes(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    digits = text.lower().removesuffix("b")
-    scale = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
-    return int(digits[:-1] if scale else digits) << scale
-
-
-def fits_broadcast(df: DataFrame, policy: JoinPolicy = JoinPolicy()) -> bool:
-    """Whether a lookup side may be broadcast: by estimate if small, else by measure."""
-    estimate = estimated_bytes(df)
-    if estimate is not None and estimate <= min(policy.broadcast_bytes, _auto_broadcast_bytes(df)):
-        return True
-    return measured_bytes(df) <= policy.broadcast_bytes
-
-
-def left_lookup(
-    left: DataFrame, right: DataFrame, key: str, policy: JoinPolicy = JoinPolicy()
-) -> DataFrame:
-    """Left join to a side with unique keys; every left row stays, once.
-
-    A small right side is broadcast and the left side is not shuffled. With a large one,
-    rows of hot keys are joined to the few right rows they can meet, by broadcast, and
-    only the remaining rows are shuffled.
-    """
-    if fits_broadcast(right, policy):
-        return left.join(F.broadcast(right), key, "left")
-    hot = hot_keys(left, key, policy.hot_share)
-    is_hot = F.coalesce(col(key), F.lit("")).isin(*hot) if hot else F.lit(False)
-    heavy = left.where(is_hot).join(F.broadcast(right.where(col(key).isin(*hot))), key, "left")
-    return heavy.unionByName(left.where(~is_hot).join(right, key, "left"))
-
-
-def hot_keys(df: DataFrame, key: str, share: float) -> list[str]:
-    """Every key that may hold more than ``share`` of the rows (and blank).
-
-    One pass with bounded memory; it can name a key too many but never misses one, and
-    at most ``1/share`` come back.
-    """
-    found = df.select(F.coalesce(col(key), F.lit("")).alias("k")).freqItems(["k"], share).first()
-    return sorted({*(found["k_freqItems"] or []), ""})
-
-
 def keep_raw_names(df: DataFrame, names: Sequence[str] = (MAIN_CODE, MAIN_BRANCH)) -> DataFrame:
     """Raw columns that share a looked-up name move aside as ``RAW_<name>``."""
     return df.withColumnsRenamed({n: f"RAW_{n}" for n in names if n in df.columns})

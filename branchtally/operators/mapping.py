@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ColumnResolutionError
-from ..functions import as_text, canonical_id, col, header_form, strip
-from ..sources.extract import ORD
+from ..functions import ORD, as_text, canonical_id, col, header_form, strip
 from .columns import (
     ID_ALIASES,
     LOOKUP_KEY,
@@ -22,7 +21,8 @@ from .columns import (
     reference_names,
     unresolved_reference,
 )
-from .lookup import UNMAPPED, JoinPolicy, first_hit, left_lookup, row_order
+from .joins import JoinPolicy, left_lookup
+from .lookup import UNMAPPED, first_hit, row_order
 
 Tables = Sequence[tuple[str, DataFrame]]
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ColumnResolutionError
-from ..functions import as_text, canonical_id, col, parse_balance, strip, whole_units
-from ..sources.extract import ORD
+from ..functions import ORD, as_text, canonical_id, col, parse_balance, strip, whole_units
 from .columns import (
     ACCOUNT_ALIASES,
     BALANCE_ALIASES,
@@ -19,7 +18,8 @@ from .columns import (
     resolve_alias,
     target_column,
 )
-from .lookup import JoinPolicy, first_hit, left_lookup, row_order
+from .joins import JoinPolicy, left_lookup
+from .lookup import first_hit, row_order
 
 # Fixed value: accounts of this type are never updated.
 SKIPPED_TYPE = "deposito"

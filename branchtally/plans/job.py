@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import unique_headers
+from ..functions import ORD, unique_headers
 from ..operators.columns import ACCOUNT_ALIASES, BALANCE_ALIASES, ID_ALIASES, key_aliases
 from ..operators.columns import LOOKUP_KEY, MAIN_CODE, resolve_alias
 from ..operators.diagnostics import key_sample, miss_message
 from ..sources import Extract, read_extract, read_reference_csv, write_table
-from ..sources.extract import ORD, header_note
+from ..sources.extract import header_note
 from .registry import get_report
 from .reports import Table, run_report
 from .spec import FilterChoice

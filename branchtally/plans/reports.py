@@ -32,7 +32,8 @@ from ..operators.columns import (
     require_columns,
     text_columns,
 )
-from ..operators.lookup import UNMAPPED, JoinPolicy, attach_branch, fill_unmapped, lookup_branch
+from ..operators.joins import JoinPolicy
+from ..operators.lookup import UNMAPPED, attach_branch, fill_unmapped, lookup_branch
 from ..operators.mapping import best_mapping, lookup_id, pick_reference
 from ..operators.reconcile import pick_balances, write_back
 from ..operators.summarize import finish_sums, headline, partial_sums, report_rows, summarize

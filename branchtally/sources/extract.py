@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import EmptyInputError, ExtractError
 from ..functions import (
+    ORD,
     blank_missing,
     col,
     header_form,
@@ -29,6 +30,7 @@ from ..functions import (
     text_list,
     unique_headers,
 )
+from ..operators.joins import left_lookup
 from ..session import ensure_checkpoint_dir
 from .local import local_frame
 from .lines import decode_line, file_encoding, line_traits, read_lines
@@ -51,10 +53,11 @@ EMPTY_LOOKALIKES = ("", "NAN", "NONE", "NAT", "<NA>", "NATYPE")
 
 # Up to this many files, per-file facts are held on the driver (one small row each).
 MAX_LOCAL_FILES = 10_000
+# Lines looked at before a pass over a whole file is worth it.
+HEAD_LINES = 1_000
 # Different column layouts in one read; more than this is not one extract.
 MAX_LAYOUTS = 500
 
-ORD = "_ord"
 _END = "\x01"
 
 
@@ -146,7 +149,17 @@ def discover_titles(
 
     The title row is the first whose cells hit two known titles, however deep; without
     one it is the first line that is not blank. ``hints`` extend the known titles.
+
+    With a declared ``encoding`` a single file whose titles are near its top costs no pass
+    over the text.
     """
+    files = lines.inputFiles() if encoding else []
+    if len(files) == 1:
+        head = _head(lines, files[0])
+        if head is not None:
+            found = discover_titles(head, delimiter, hints, encoding)
+            if found.where("matched").limit(1).count():
+                return found
     line, known = F.col("line"), hint_set(hints)
     is_title = title_score(_split(line, delimiter), known) >= TITLE_SCORE
     found = _discover(
@@ -160,6 +173,16 @@ def discover_titles(
     return found.withColumn("title", decode_line(F.col("title"), F.col("encoding")))
 
 
+def _head(lines: DataFrame, path: str) -> DataFrame | None:
+    """The first lines of a single text file, or None where these are no such lines."""
+    raw = lines.withColumn("line", F.col("line").cast("binary"))
+    rows = raw.take(HEAD_LINES)
+    if [(r["src"], r["blk"], r["row"]) for r in rows] != [(path, 0, n) for n in range(len(rows))]:
+        return None
+    local = local_frame(lines.sparkSession, rows, raw.schema)
+    return local.withColumn("line", F.col("line").cast("string"))
+
+
 def _discover(frame, payload, scored, filled, traits, encoding=None) -> DataFrame:
     place = F.struct("blk", "row")
     here = F.struct("blk", "row", "payload")
@@ -334,11 +357,11 @@ def _with_titles(lines: DataFrame, titles: _Titles) -> DataFrame:
     """Put each source's title facts next to its lines.
 
     One source (the usual run) needs no join: its facts are literals. Many sources join
-    on the source name, by broadcast when the facts were few enough for the driver;
-    beyond that adaptive execution splits a source that holds most of the lines.
+    on the source name, by broadcast when the facts were few enough for the driver. Beyond
+    that the lookup decides, which keeps a source with a large share of the lines in place.
     """
     if titles.rows is None:
-        return lines.join(titles.frame, "src")
+        return left_lookup(lines, titles.frame, "src")
     if len(titles.rows) > 1:
         return lines.join(F.broadcast(titles.frame), "src")
     kinds = titles.frame.schema

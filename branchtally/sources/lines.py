@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import left_lookup
+
 LINE_COLUMNS = ("src", "blk", "row", "line")
 
 # The byte-to-character pairs in which Windows-1252 differs from
@@ -90,3 +92,13 @@ def detect_encodings(lines: DataFrame) -> DataFrame:
     return lines.groupBy("src").agg(
         file_encoding(F.collect_set(line_traits(F.col("line")))).alias("encoding")
     )
+
+
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """Lines as text, each file in its own encoding; ``encoding`` says which.
+
+    The encodings are one row per file. Beyond the broadcast bound the lookup keeps the
+    lines of a dominant file where they are.
+    """
+    known = left_lookup(lines, detect_encodings(lines), "src")
+    return known.withColumn("line", decode_line(F.col("line"), F.col("encoding")))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import unique_headers
-from .extract import ORD
+from ..functions import ORD, unique_headers
 
 
 def read_reference_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from branchtally.functions import ORD
 from branchtally.session import local_session
-from branchtally.sources.extract import ORD
 from branchtally.sources.local import local_frame
 
 

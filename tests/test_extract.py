@@ -179,3 +179,16 @@ def test_plan_has_no_python_and_no_shuffle(spark, text_file):
     e = read_extract(spark, text_file("KODE_UKER|SEGMEN\n1|a\n"))
     plan = e.data._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_declared_encoding_reads_titles_from_the_top(spark, text_file):
+    path = text_file("caf\u00e9\nKODE_UKER|SEGMEN\n1|\u00e9\n", encoding="cp1252")
+    e = read_extract(spark, path, encoding="cp1252")
+    assert rows(e) == [("1", "\u00e9")] and one_metrics(e)["header_row"] == 2
+    assert "LocalTableScan" in e.titles._jdf.queryExecution().executedPlan().toString()
+
+
+def test_declared_encoding_with_deep_titles(spark, text_file):
+    body = "".join(f"{n}|x\n" for n in range(1500))
+    e = read_extract(spark, text_file(body + "KODE_UKER|SEGMEN\n"), encoding="utf-8")
+    assert e.columns == ("KODE_UKER", "SEGMEN") and e.data.count() == 1500

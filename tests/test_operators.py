@@ -14,11 +14,10 @@ from branchtally.operators.filters import (
     filter_values,
     fold_dimensions,
 )
+from branchtally.operators.joins import JoinPolicy, hot_keys
 from branchtally.operators.lookup import (
-    JoinPolicy,
     attach_branch,
     first_hit,
-    hot_keys,
     lookup_branch,
     unmapped_counts,
     unmapped_keys,
