@@ -33,7 +33,7 @@ from ..functions import (
 from ..operators.joins import left_lookup
 from ..session import ensure_checkpoint_dir
 from .local import local_frame
-from .lines import decode_line, file_encoding, line_traits, read_lines
+from .lines import decode_line, file_encoding, from_latin, line_traits, read_lines
 
 # Cells that mark a row as column titles (two exact hits are enough).
 TITLE_HINTS = (
@@ -177,7 +177,9 @@ def _head(lines: DataFrame, path: str) -> DataFrame | None:
     """The first lines of a single text file, or None where these are no such lines."""
     raw = lines.withColumn("line", F.col("line").cast("binary"))
     rows = raw.take(HEAD_LINES)
-    if [(r["src"], r["blk"], r["row"]) for r in rows] != [(path, 0, n) for n in range(len(rows))]:
+    plain = lambda p: re.sub("^file:/+", "/", p)
+    found = [(plain(r["src"]), r["blk"], r["row"]) for r in rows]
+    if found != [(plain(path), 0, n) for n in range(len(rows))]:
         return None
     local = local_frame(lines.sparkSession, rows, raw.schema)
     return local.withColumn("line", F.col("line").cast("string"))
@@ -454,10 +456,18 @@ def read_extract(
     numeric_columns: Sequence[str] = (),
     title_hints: Sequence[str] = (),
     encoding: str | None = None,
+    multiline: bool = False,
 ) -> Extract:
-    """Read delimited text files; each file's own title row is found and removed."""
+    """Read delimited text files; each file's own title row is found and removed.
+
+    ``multiline`` lets quoted cells hold line breaks. Such a file cannot be split, so one
+    task reads it whole; leave it off unless the cells need it.
+    """
+    lines = read_lines(spark, paths)
+    if multiline:
+        return _parse_records(spark, paths, lines, delimiter, numeric_columns, title_hints, encoding)
     return parse_lines(
-        read_lines(spark, paths),
+        lines,
         delimiter=delimiter,
         numeric_columns=numeric_columns,
         title_hints=title_hints,
@@ -465,6 +475,50 @@ def read_extract(
     )
 
 
+def _parse_records(
+    spark, paths, lines, delimiter, numeric_columns, title_hints, encoding
+) -> Extract:
+    titles = discover_titles(lines, delimiter, title_hints, encoding)
+    widest = F.max(F.size(_split(F.col("title"), delimiter))).alias("width")
+    facts = titles.agg(widest, F.collect_set("encoding").alias("encodings")).first()
+    if not facts["encodings"]:
+        raise EmptyInputError()
+    if len(facts["encodings"]) > 1:
+        raise ExtractError(f"files in different encodings {facts['encodings']}: read them one by one")
+    charset = facts["encodings"][0]
+    names = [f"c{i}" for i in range(facts["width"] + 1)]
+    records = spark.read.csv(
+        paths,
+        schema=", ".join(f"{n} string" for n in names),
+        sep=delimiter,
+        quote='"',
+        escape='"',
+        multiLine=True,
+        encoding="UTF-8" if charset == "utf-8" else "ISO-8859-1",
+    )
+    # Cells up to the last one that is there; a row longer than its titles keeps one extra.
+    used = F.coalesce(
+        F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), i + 1) for i, n in enumerate(names)]),
+        F.lit(0),
+    )
+    text = [from_latin(F.col(n), charset) for n in names]
+    rows = records.select(
+        F.col("_metadata.file_path").alias("src"),
+        F.lit(0).cast("long").alias("blk"),
+        F.monotonically_increasing_id().alias("row"),
+        F.slice(F.array(*text), F.lit(1), used).alias("line"),
+    )
+    found = _discover(
+        rows,
+        payload=F.col("line"),
+        scored=title_score(F.col("line"), hint_set(title_hints)) >= TITLE_SCORE,
+        filled=F.size("line") > 0,
+        traits=F.lit("ascii"),
+        encoding="utf-8",
+    )
+    return _assemble(rows, found, None, numeric_columns, hint_set(title_hints))
+
+
 def pick_source(
     candidates: Sequence[tuple[str, DataFrame]],
     *,

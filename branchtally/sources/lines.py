@@ -72,10 +72,17 @@ def file_encoding(seen: Column) -> Column:
     )
 
 
+def from_latin(text: Column, encoding: str) -> Column:
+    """Text that was read as ISO-8859-1, under the encoding it is really in."""
+    if encoding != "cp1252":
+        return text
+    return F.translate(text, "".join(_CP1252), "".join(_CP1252.values()))
+
+
 def decode_line(line: Column, encoding: Column | str) -> Column:
     """The line's text under a file encoding. UTF-8 lines pass through untouched."""
     as_latin = F.decode(line.cast("binary"), "ISO-8859-1")
-    as_cp1252 = F.translate(as_latin, "".join(_CP1252), "".join(_CP1252.values()))
+    as_cp1252 = from_latin(as_latin, "cp1252")
     if isinstance(encoding, str):
         if encoding not in ("utf-8", "cp1252", "latin-1"):
             raise ValueError(f"unknown encoding {encoding!r}")

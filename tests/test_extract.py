@@ -192,3 +192,13 @@ def test_declared_encoding_with_deep_titles(spark, text_file):
     body = "".join(f"{n}|x\n" for n in range(1500))
     e = read_extract(spark, text_file(body + "KODE_UKER|SEGMEN\n"), encoding="utf-8")
     assert e.columns == ("KODE_UKER", "SEGMEN") and e.data.count() == 1500
+
+
+@pytest.mark.parametrize("encoding, mark", [("utf-8", "\u00e9"), ("cp1252", "\u20ac")])
+def test_quoted_line_breaks(spark, text_file, encoding, mark):
+    path = text_file(
+        f'top\nKODE_UKER|SEGMEN|VOL\n1|"two\nlines {mark}"|5\n2|b\n3|c|d|e\n4|"x|y"|6\n', encoding=encoding
+    )
+    e = read_extract(spark, path, numeric_columns=["VOL"], multiline=True)
+    assert rows(e) == [("1", f"two\nlines {mark}", 5.0), ("2", "b", 0.0), ("4", "x|y", 6.0)]
+    assert one_metrics(e) == {"total_rows": 3, "malformed_rows": 1, "header_row": 2}
