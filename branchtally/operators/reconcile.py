@@ -19,7 +19,7 @@ from .columns import (
     target_column,
 )
 from .joins import JoinPolicy, left_lookup
-from .lookup import first_hit, row_order
+from .lookup import row_order
 
 # Fixed value: accounts of this type are never updated.
 SKIPPED_TYPE = "deposito"
@@ -44,8 +44,9 @@ def pick_balances(tables: Sequence[tuple[str, DataFrame]]) -> tuple[str, DataFra
 def monthly_balances(monthly: DataFrame, order_by: str | None = None) -> DataFrame:
     """``account, balance``: the first *numeric* balance of each canonical account.
 
-    Blank accounts and cells that are no plain number are out before the first hit is
-    chosen. State per account is two numbers, so it aggregates by hash.
+    Cells that are no plain number have no place in the order, so they are never first;
+    a filter on them would be pushed down and parse each cell again. State per account is
+    two numbers, so it aggregates by hash.
     """
     _, monthly = pick_balances([("monthly", monthly)])
     account = resolve_alias(monthly.columns, ACCOUNT_ALIASES)
@@ -55,13 +56,14 @@ def monthly_balances(monthly: DataFrame, order_by: str | None = None) -> DataFra
         parse_balance(col(balance), monthly.schema[balance].dataType).alias("balance"),
         row_order(monthly, order_by).alias(ORD),
     )
-    usable = (
-        F.col("account").isNotNull()
-        & (F.col("account") != "")
-        & (F.lower("account") != "nan")
-        & F.col("balance").isNotNull()
+    account_ok = (
+        F.col("account").isNotNull() & (F.col("account") != "") & (F.lower("account") != "nan")
     )
-    return first_hit(pairs.where(usable), ["account"], ["balance"])
+    numeric_order = F.when(F.col("balance").isNotNull(), F.col(ORD))
+    first = pairs.where(account_ok).groupBy("account").agg(
+        F.min_by("balance", numeric_order).alias("balance")
+    )
+    return first.where(F.col("balance").isNotNull())
 
 
 @dataclass(frozen=True)
