@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
-from branchtally.driver import inputs
+from branchtally.driver import QUERIES, inputs
 from branchtally.plans import get_report, run_report
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
 FORBIDDEN = ("EvalPython", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin", "Window ")
 
 
