@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, secrets, sharding, topk
+from . import ngram_join, pii, quality, secrets, sharding, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding")
 
 
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
@@ -53,3 +58,17 @@ scored as (select q.vec_id as query_id, r.vec_id,
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
+
+ORACLES["op6_ngram_join"] = """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 4
+    then list_transform(range(1, len(w) - 2), i -> array_to_string(list_slice(w, i, i + 3), ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 85 * (x.n + y.n - o)),
+r as (select doc_id as node, doc_id as seen from documents union select r.node, l.b from r join l on l.a = r.seen)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents d left join n on n.doc_id = d.doc_id
+join (select node, min(seen) as component_id from r group by node) m on m.node = d.doc_id
+"""
