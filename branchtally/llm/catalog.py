@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, ngram_join, pii, quality, secrets, sharding, topk, toxicity
+from . import bpe, licenses, mixing, ngram_join, pii, quality, secrets, sharding, topk, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -27,6 +27,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")

@@ -19,7 +19,7 @@ GROUP = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP = np.uint64(0x1000000000000B3)
 
 #: Bytes that belong to words: all but white space; or lower-cased ASCII letters, digits and non-ASCII.
 NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
@@ -66,7 +66,7 @@ def hash_words(data: bytes, keep: np.ndarray, prefixes: tuple[int, ...] = ()) ->
             hashes.append(mix((sums[end] - at) * back + (end - begin).astype(np.uint64) * _STEP))
             for p, out in zip(prefixes, heads, strict=True):
                 stop = np.minimum(begin + p, end)
-                out.append(mix((sums[stop] - at) * back + np.uint64(p) * _BASE))
+                out.append(mix((sums[stop] - at) * back + np.uint64(p) * _STEP))
         low = high
     return np.concatenate(starts), np.concatenate(hashes), [np.concatenate(h) for h in heads]
 

@@ -266,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(**model.value)
         for batch in batches:
             scores = []
             # Unicode case; done before grouping because it may change a text's length
@@ -283,7 +283,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The kept columns of ``docs`` plus ``score``, from ``text`` alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS x DIM numbers
     read = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes)
     return read.mapInArrow(_scorer(sent), f"{schema}, score double")
