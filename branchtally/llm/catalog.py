@@ -70,10 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_topk"] = """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (select q.vec_id as query_id, r.vec_id,
-    cast(list_sum(list_transform(list_zip(q.v, r.v), p -> p[1] * p[2])) as bigint) as score
+    cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v r on q.vec_id % 100 = 0 and r.vec_id <> q.vec_id),
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 10
@@ -81,9 +81,9 @@ select query_id, rank, vec_id, score from ranked where rank <= 10
 
 ORACLES["op6_ngram_join"] = """
 with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select distinct doc_id, unnest(case when len(w) >= 4
-    then list_transform(range(1, len(w) - 2), i -> array_to_string(list_slice(w, i, i + 3), ' '))
+    then list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))
     when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
@@ -92,3 +92,19 @@ r as (select doc_id as node, doc_id as seen from documents union select r.node,
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents d left join n on n.doc_id = d.doc_id
 join (select node, min(seen) as component_id from r group by node) m on m.node = d.doc_id
 """
+
+ORACLES["op5_mixing"] = """
+with s as (select source, cast(sum(coalesce(length(text), 0)) as double) as size from documents group by source),
+w as (select source, size, case when size > 0 then pow(size, 0.7) else 0 end as weight from s),
+r as (select source, case when size > 0 then weight / (select sum(weight) from w) * (select sum(size) from w) / size else 1.0 end as rate from w),
+p as (select source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) as p from r, (select unnest(range(0, 300)) as k) where k <= ceil(rate + 12 * sqrt(rate) + 40)),
+c as (select source, k, sum(p) over (partition by source order by k) as upto from p),
+d as (select *, cast(cast('0x' || substr(md5('20265|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 13) as ubigint) as double)
+  / 4503599627370496.0 as u from documents),
+n as (select d.doc_id, d.text, d.lang, d.source, d.n_chars,
+  (select count(*) from c where c.source is not distinct from d.source and c.upto <= d.u) as n from d),
+e as (select * exclude n, unnest(range(0, n)) as c from n)
+select doc_id, text, lang, source, n_chars, cast(c as integer) as copy,
+  cast(cast('0x' || substr(md5('20266|' || coalesce(cast(doc_id as varchar), '') || '|' || c || '|' || coalesce(length(text), 0)), 1, 13) as ubigint) as bigint) as mix_order
+from e
+"""

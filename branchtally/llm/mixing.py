@@ -33,11 +33,16 @@ TEMPERATURE = 0.7
 EPOCHS = 1.0
 
 
-def uniform(seed: int, *cols: Column) -> Column:
-    """A number in [0, 1) from 52 bits of an MD5 over the columns' text."""
+def hashed(seed: int, *cols: Column) -> Column:
+    """52 bits of an MD5 over the columns' text."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
+def uniform(seed: int, *cols: Column) -> Column:
+    """A number in [0, 1) that the seed and the columns decide."""
+    return hashed(seed, *cols).cast("double") / F.lit(2.0**52)
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, epochs: float = EPOCHS, temperature: float = TEMPERATURE) -> DataFrame:
@@ -86,7 +91,7 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, epochs: float
     # sequence would count down from 0 to -1, so rows without copies go first
     repeated = met.withColumn("_n", copies).where("_n > 0").drop("_source", "_table", "_u")
     exploded = repeated.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    ordered = exploded.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"), F.length("text")))
+    ordered = exploded.withColumn("mix_order", hashed(seed + 1, F.col("doc_id"), F.col("copy"), F.coalesce(F.length("text"), F.lit(0))))
     return ordered.repartition("mix_order").sortWithinPartitions("mix_order")
 
 

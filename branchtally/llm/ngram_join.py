@@ -425,3 +425,26 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
     return keyed.join(small_side(named), "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` without all but one document of each group; documents without words stay.
+
+    The document with the group's smallest id stays, and of rows with that id one. Rows of a
+    group without any id keep one as well.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = groups(docs.select("doc_id", "text"), k, num, den)
+    # one row for each id: what it stands for, and whether it is first of its group
+    first = cut(found.where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
+    gone = cut(first.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    left = docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = cut(left.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    if again.isEmpty():
+        return left
+    repeated = small_side(again)
+    single = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    several = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    worded = text.rlike("[^\\x20\\x09-\\x0D]")
+    one = several.where(worded).withColumn("_t", text).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return single.unionAll(one).unionAll(several.where(~worded))
