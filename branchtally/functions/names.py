@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_CONTROL = re.compile("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]")
+
 # Row order, where a frame carries one: any orderable type, unique per row.
 ORD = "_ord"
 
@@ -32,11 +35,14 @@ def header_form(name: object) -> str:
 
 
 def unique_headers(names: Iterable[object]) -> list[str]:
-    """Comparison forms made unique: blanks get a position name, repeats a numeric tail."""
+    """Comparison forms made unique: blanks get a position name, repeats a numeric tail.
+
+    Control characters are left out, as in the cells of every output.
+    """
     taken: set[str] = set()
     out: list[str] = []
     for position, raw in enumerate(names):
-        base = header_form(raw) or f"UNNAMED: {position}"
+        base = header_form(_CONTROL.sub("", str(raw))) or f"UNNAMED: {position}"
         name, n = base, 0
         while name in taken:
             n += 1

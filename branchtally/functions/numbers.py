@@ -9,13 +9,17 @@ from pyspark.sql import types as T
 from .names import quoted
 from .text import strip
 
-# Money is summed in fixed point with six decimals, so that a sum does not depend on the
-# order of its rows. A value is cut into small whole parts; each part is summed as a long,
-# which cannot overflow before 2^41 rows per group, and costs a fraction of a decimal sum.
+# Money is summed in fixed point, so that a sum does not depend on the order of its rows. A
+# value is cut into small whole parts; each part is summed as a long, which cannot overflow
+# before 2^41 rows per group, and costs a fraction of a decimal sum. Six decimals hold what
+# money has; what a value has beyond them goes into a finer part, twelve decimals in all.
 _PART_BITS = 22
 _MICRO = 1_000_000
+_FINE = 1_000_000_000_000
+# A rest within half a unit in the last place of the value is how a double writes the sixth
+# decimal, not a digit of its own.
+_HALF_ULP = 2.0**-52
 _FIXED_POINT_LIMIT = float(1 << 62)
-_NUMBER = r"^[+-]?(\d{1,300}\.?\d*|\.\d+)$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -49,16 +53,20 @@ def parse_number(c: Column, kind: T.DataType | None = None) -> Column:
     return F.coalesce(parse_balance(F.replace(c.cast("string"), F.lit(","), F.lit(""))), F.lit(0.0))
 
 
-_PARTS = ("micro", "low", "mid", "top", "huge")
+_PARTS = ("fine", "micro", "low", "mid", "top", "huge")
 
 
 def _money_parts(name: str) -> dict[str, str]:
-    # value = top * 2^44 + mid * 2^22 + low + micro / 10^6; what is too large for a long
-    # stays a double in huge.
+    # value = top * 2^44 + mid * 2^22 + low + micro / 10^6 + fine / 10^12; what is too large
+    # for a long stays a double in huge.
     c, mask = quoted(name), (1 << _PART_BITS) - 1
     fits = f"abs({c}) < {_FIXED_POINT_LIMIT!r}D"
+    micro = f"rint(({c} - floor({c})) * {_MICRO}.0D)"
+    rest = f"({c} - floor({c}) - {micro} / {_MICRO}.0D)"
+    own = f"abs({rest}) > abs({c}) * {_HALF_ULP!r}D"
     return {
-        "micro": f"if({fits}, cast(rint(({c} - floor({c})) * {_MICRO}.0D) as bigint), null)",
+        "fine": f"if({fits}, if({own}, cast(rint({rest} * {_FINE}.0D) as bigint), 0L), null)",
+        "micro": f"if({fits}, cast({micro} as bigint), null)",
         "low": f"if({fits}, floor({c}) & {mask}L, null)",
         "mid": f"if({fits}, shiftright(floor({c}), {_PART_BITS}) & {mask}L, null)",
         "top": f"if({fits}, shiftright(floor({c}), {2 * _PART_BITS}), null)",
@@ -91,6 +99,7 @@ def settle(name: str, scale: int | None = 2) -> Column:
             part("mid", f" * cast({1 << _PART_BITS} as decimal(7,0))"),
             part("low"),
             part("micro", f" / cast({_MICRO} as decimal(7,0))"),
+            part("fine", f" / cast({_FINE} as decimal(13,0))"),
         )
     )
     rounded = exact if scale is None else f"bround({exact}, {scale})"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_text, canonical_id, col, merge_totals, money_total, settle
+from ..functions.text import strip_control_chars
 from .columns import MAIN_CODE
 from .lookup import UNMAPPED, row_order
 from .ordering import UNLISTED, branch_position
@@ -83,7 +84,7 @@ def crosstab_report(crosstab: DataFrame, code: str = MAIN_CODE) -> DataFrame:
     return rows.orderBy("position", key).select(
         "position",
         "row_kind",
-        F.when(is_total, F.lit(TOTAL_LABEL)).otherwise(key.cast("string")).alias(code),
+        F.when(is_total, F.lit(TOTAL_LABEL)).otherwise(strip_control_chars(key.cast("string"))).alias(code),
         *map(col, CATEGORIES),
         row_total.alias(TOTAL_LABEL),
     )

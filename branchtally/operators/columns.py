@@ -42,10 +42,11 @@ BALANCE_ALIASES = ("SALDO IDR", "SALDO_IDR", "SALDO IN IDR", "SALDO_IN_IDR", "SA
 TARGET_ALIASES = ("SALDO UPDATE", "SALDO_UPDATE")
 TARGET_COLUMN = "SALDO UPDATE"
 # Month names a balance column can carry.
-MONTHS = frozenset(
-    "JANUARI FEBRUARI MARET APRIL MEI JUNI JULI AGUSTUS SEPTEMBER OKTOBER NOVEMBER DESEMBER "
-    "JANUARY FEBRUARY MARCH MAY JUNE JULY AUGUST OCTOBER DECEMBER".split()
-)
+MONTHS = (
+    "JANUARI", "FEBRUARI", "MARET", "APRIL", "MEI", "JUNI",
+    "JULI", "AGUSTUS", "SEPTEMBER", "OKTOBER", "NOVEMBER", "DESEMBER",
+    "JANUARY", "FEBRUARY", "MARCH", "MAY", "JUNE", "JULY", "AUGUST", "OCTOBER", "DECEMBER",
+)
 _MONTH_COLUMN = re.compile(r"SALDO[_\s]+([A-Z]+)")
 
 

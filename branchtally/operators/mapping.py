@@ -31,6 +31,7 @@ _REFERENCE_NAME_POINTS = (("UKER", 100), ("UNIT KERJA", -10))
 _REFERENCE_KEY_POINTS = {
     "KODE_UNIT": 40, "KODE UNIT": 40, "KODE SUB KANCA": 30, "KANCA": 20, "KODE KANCA": 10,
 }
+_MASTER_NAME_POINTS = ((("MASTER", "STATIS"), 100), (("DATA",), 50), (("COVER", "SUMMARY"), -20))
 _ID_POINTS = {
     "ID": 40, "ID PRODUCT": 38, "ID_PRODUCT": 38, "ID USER": 35,
     "USER ID": 30, "USERID": 25, "ID QLOLA": 20, "CIF": 5,
@@ -69,12 +70,11 @@ class MappingCandidate:
 
     @property
     def preference(self) -> int:
+        """The points of the table's name and of both headers, from the tables of fixed values."""
         name = self.table.upper()
-        points = 100 if "MASTER" in name or "STATIS" in name else 0
-        points += 50 if "DATA" in name else 0
-        points -= 20 if "COVER" in name or "SUMMARY" in name else 0
-        points += _ID_POINTS.get(header_form(self.id_column), 0)
-        return points + _CODE_POINTS.get(header_form(self.code_column), 0)
+        named = sum(p for words, p in _MASTER_NAME_POINTS if any(word in name for word in words))
+        headers = (_ID_POINTS, self.id_column), (_CODE_POINTS, self.code_column)
+        return named + sum(points.get(header_form(header), 0) for points, header in headers)
 
     @property
     def label(self) -> str:

@@ -18,6 +18,7 @@ from ..functions import (
     strip,
     whole_units,
 )
+from ..functions.text import strip_control_chars
 from .columns import MAIN_BRANCH, MAIN_CODE
 from .ordering import UNLISTED, branch_position
 
@@ -145,7 +146,9 @@ def report_rows(
     place = F.coalesce(branch_position(col(first).cast("string")), F.lit(UNLISTED))
     rows = rows.withColumn("position", F.when(total, F.lit(UNLISTED + 1)).otherwise(place))
     rows = rows.orderBy("position", *map(col, group_columns))
-    labelled = rows.withColumn(
+    texts = [c for c in group_columns if rows.schema[c].dataType.typeName() == "string"]
+    clean = rows.withColumns({c: strip_control_chars(col(c)) for c in texts}) if texts else rows
+    labelled = clean.withColumn(
         first, F.when(total, F.lit(TOTAL_LABEL)).otherwise(col(first).cast("string"))
     )
     out = labelled.select("position", "row_kind", *map(col, group_columns), *map(col, value_columns))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import ORD, unique_headers
 from ..operators.columns import ACCOUNT_ALIASES, BALANCE_ALIASES, ID_ALIASES, key_aliases
@@ -21,7 +20,7 @@ from .spec import FilterChoice
 
 @dataclass(frozen=True)
 class RunReport:
-    """What a run tells its caller. A failed run has written nothing."""
+    """What a run tells its caller. Columns are checked before anything is written."""
 
     success: bool
     output_path: str
@@ -54,28 +53,31 @@ def run_job(
     reference: str | Table | None = None,
     master: str | Table | None = None,
     choice: FilterChoice | None = None,
-    delimiter: str = "|",
+    delimiter: str | None = None,
     key: str = LOOKUP_KEY,
     encoding: str | None = None,
     fmt: str = "parquet",
     staging_path: str | None = None,
+    multiline: bool = False,
 ) -> RunReport:
     """Run one report from text files and write summary, detail and metadata.
 
-    With ``staging_path`` the cleaned rows are stored there once and every output reads
-    the columns it needs from that table, instead of parsing the text again.
+    Without a ``delimiter`` the report's own is used: a comma for balances, else a bar. With
+    ``staging_path`` the cleaned rows are stored there once and every output reads the columns
+    it needs from that table, instead of parsing the text again; all columns are checked
+    before. ``multiline`` lets quoted cells hold line breaks.
     """
     try:
         return _run(
             spark, report_id, raw, output_path, reference, master, choice, delimiter, key,
-            encoding, fmt, staging_path,
+            encoding, fmt, staging_path, multiline,
         )
     except Exception as exc:  # the boundary: a run ends in a report, never in a trace
         return RunReport(False, output_path, error=f"{type(exc).__name__}: {exc}")
 
 
 def _run(spark, report_id, raw, output_path, reference, master, choice, delimiter, key,
-         encoding, fmt, staging_path) -> RunReport:
+         encoding, fmt, staging_path, multiline) -> RunReport:
     spec = get_report(report_id)
     balances = spec.kind == "balances"
     hints: Sequence[str] = (
@@ -84,22 +86,22 @@ def _run(spark, report_id, raw, output_path, reference, master, choice, delimite
     extract: Extract = read_extract(
         spark,
         raw,
-        delimiter="," if balances and delimiter == "|" else delimiter,
+        delimiter=delimiter or ("," if balances else "|"),
         numeric_columns=spec.numeric_columns,
         title_hints=hints,
         encoding=encoding,
+        multiline=multiline,
     ).require_rows()
+    malformed, header_row = extract.ingest()
     rows = extract.data
-    if staging_path:
-        rows = spark.read.parquet(write_table(rows, staging_path))
-
     references, masters = load_table(spark, reference), load_table(spark, master)
     result = run_report(spec, rows, references, masters, choice, key=key)
+    if staging_path:  # only after a plan over the same columns has been accepted
+        _ = result.summary.schema, result.detail.schema
+        rows = spark.read.parquet(write_table(rows, staging_path))
+        result = run_report(spec, rows, references, masters, choice, key=key)
 
     measured = result.metrics.first().asDict()
-    ingest = extract.metrics().agg(
-        F.sum("malformed_rows").alias("malformed"), F.max("header_row").alias("header_row")
-    ).first()
     unmapped = measured.get("unmapped_rows", measured.get("unmapped_ids", 0))
     write_table(result.summary, f"{output_path}/summary", fmt)
     if not balances:
@@ -110,31 +112,34 @@ def _run(spark, report_id, raw, output_path, reference, master, choice, delimite
         output_path=output_path,
         processed_rows=measured["processed_rows"],
         unmapped_rows=unmapped,
-        malformed_rows=ingest["malformed"] or 0,
-        miss_diagnostic=_diagnostic(spec, rows, references, masters, measured, unmapped, key),
-        note=header_note(ingest["header_row"] or 1),
+        malformed_rows=malformed,
+        miss_diagnostic=_diagnostic(spec, result, measured, unmapped, key),
+        note=header_note(header_row),
     )
 
 
-def _diagnostic(spec, rows, references, masters, measured, unmapped, key) -> str | None:
+def _diagnostic(spec, result, measured, unmapped, key) -> str | None:
+    """Advice from the rows that were looked up and the table that was picked for them."""
     total = measured.get("ids", measured.get("kept_rows", 0))
     if spec.kind == "balances" or miss_message("", unmapped, total, (), (), ()) is None:
         return None
     if spec.kind == "activity":
-        aliases, side, context = ID_ALIASES, masters, f"id lookup of {MAIN_CODE}"
+        aliases, context = ID_ALIASES, f"id lookup of {MAIN_CODE}"
     else:
-        aliases, side, context = key_aliases(key), references, f"reference lookup on {key}"
+        aliases, context = key_aliases(key), f"reference lookup on {key}"
     return miss_message(
         context,
         unmapped,
         total,
-        _sample(rows, aliases),
-        _sample(side if isinstance(side, DataFrame) else side[0][1], aliases),
+        _sample(result.kept, aliases),
+        _sample(result.side() if result.side else None, aliases),
         aliases,
     )
 
 
-def _sample(df: DataFrame, aliases: Sequence[str]) -> list[str]:
+def _sample(df: DataFrame | None, aliases: Sequence[str]) -> list[str]:
+    if df is None:
+        return []
     name = resolve_alias(df.columns, aliases)
     if name is None or ORD not in df.columns:
         return []

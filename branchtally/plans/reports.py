@@ -48,11 +48,14 @@ class ReportResult:
 
     ``summary`` is what is reported (the updated register for a balance report),
     ``detail`` every surviving row, ``metadata`` the head of the report, ``metrics`` one
-    row of counts. ``branches`` are the unrounded branch values.
+    row of counts. ``branches`` are the unrounded branch values. ``kept`` are the rows after
+    the filters and ``side`` gives the table that was picked to look them up in.
     """
 
     spec: ReportSpec
     plans: dict[str, Callable[[], DataFrame]]
+    kept: DataFrame | None = None
+    side: Callable[[], DataFrame] | None = None
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -149,10 +152,11 @@ def branch_sums(
 
 def _summary_report(spec, raw, reference, filters, key, order_by, policy) -> ReportResult:
     kept = filters.apply(raw)
+    side = None
     groups, values, mode = spec.group_columns, spec.value_columns, spec.rounding
     if spec.needs_reference:
         _, table = pick_reference(_need(spec, reference, "reference table"), key)
-        kept = normalise_key(kept, key)
+        kept, side = normalise_key(kept, key), lambda: table
         per_key = cache(lambda: branch_sums(kept, table, spec, key, order_by, policy))
         branches = cache(lambda: finish_sums(fill_unmapped(per_key()), groups, values, spec.how))
 
@@ -192,6 +196,8 @@ def _summary_report(spec, raw, reference, filters, key, order_by, policy) -> Rep
             "metrics": metrics,
             "branches": branches,
         },
+        kept,
+        side,
     )
 
 
@@ -241,6 +247,8 @@ def _activity_report(spec, raw, reference, master, filters, key, order_by, polic
             "metrics": lambda: counts().withColumnsRenamed(names),
             "branches": crosstab,
         },
+        kept,
+        lambda: best_mapping(masters, kept, "ID", order_by)[0].frame,
     )
 
 

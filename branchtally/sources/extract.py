@@ -100,6 +100,19 @@ class Extract:
             header_row.alias("header_row"),
         )
 
+    def ingest(self) -> tuple[int, int]:
+        """(malformed rows, largest title row); refuses sources whose title row was not met again.
+
+        Titles are found in one pass and met in the next. Should a source's lines have changed
+        or been numbered otherwise in between, this fails instead of reading titles as data.
+        """
+        titled = self.tagged.groupBy("src").agg(F.count_if(F.col("_verdict") == "title").alias("titles"))
+        lost = titled.where("titles = 0").agg(F.count("*")).first()[0]
+        if lost:
+            raise ExtractError(f"the title rows of {lost} sources were not met again")
+        found = self.metrics().agg(F.sum("malformed_rows").alias("m"), F.max("header_row").alias("h")).first()
+        return found["m"] or 0, found["h"] or 1
+
     def require_rows(self) -> "Extract":
         """Refuse an extract without data rows, before anything is written."""
         if self.tagged.where(F.col("_verdict") == "data").isEmpty():
@@ -108,13 +121,8 @@ class Extract:
 
 
 def header_note(header_row: int) -> str | None:
-    """A sentence for the operator when titles were not on the first row."""
-    if header_row <= 1:
-        return None
-    return (
-        f"Column titles were found on row {header_row} instead of the first row. "
-        "Values above and below that row were kept as data."
-    )
+    """What to tell the operator when a file did not begin with its titles."""
+    return None if header_row <= 1 else f"Titles on row {header_row}; the rows around it are in the output."
 
 
 def hint_set(extra: Sequence[str] = ()) -> list[str]:
@@ -304,7 +312,20 @@ class _Titles:
         return self.rows is None or any(r[4] for r in self.rows)
 
 
-_FACTS = "src string, _encoding string, _title_blk long, _title_row long, _promoted boolean, _width int, _layout int"
+_FACTS = (
+    "src string, _encoding string, _title_blk long, _title_row long, _promoted boolean, "
+    "_width int, _layout int, _title string"
+)
+
+
+def _one_text(title) -> str:
+    """A title row as one text: a line as it is, cells with a separator between."""
+    return title if isinstance(title, str) else _END.join(c for c in title if c is not None)
+
+
+def _line_text(line: Column, delimiter: str | None) -> Column:
+    """``_one_text`` of a line in a frame."""
+    return line if delimiter else F.concat_ws(_END, line)
 
 
 def _title_fields(title, delimiter: str | None) -> list[str]:
@@ -326,7 +347,7 @@ def _settle_titles(titles: DataFrame, delimiter: str | None) -> _Titles:
         layouts = list(dict.fromkeys(tuple(n) for _, n in sorted(zip((r["src"] for r in found), names))))
         facts = [
             (r["src"], r["encoding"], r["title_blk"], r["title_row"], r["promoted"],
-             len(n), layouts.index(tuple(n)))
+             len(n), layouts.index(tuple(n)), _one_text(r["title"]))
             for r, n in zip(found, names)
         ]
         return _Titles(local_frame(spark, facts, _FACTS), facts, [list(n) for n in layouts])
@@ -351,6 +372,7 @@ def _settle_titles(titles: DataFrame, delimiter: str | None) -> _Titles:
         F.col("promoted").alias("_promoted"),
         F.size("names").alias("_width"),
         "_layout",
+        _line_text(F.col("title"), delimiter).alias("_title"),
     )
     return _Titles(facts, None, layouts)
 
@@ -394,7 +416,8 @@ def _assemble(lines, titles, delimiter, numeric_columns, hints) -> Extract:
         .withColumn("_raw", raw)
         .withColumns({"_cells": cells, "_plain": plain})
     )
-    meta = ["src", "blk", "row", "_raw", "_title_blk", "_title_row", "_promoted"]
+    same = (_line_text(F.col("_raw"), delimiter) == F.col("_title")).alias("_same")
+    meta = ["src", "blk", "row", "_raw", "_title_blk", "_title_row", "_promoted", same]
     values = [_value_of(name, headers).alias(name) for name in columns]
     trimmed = fields.select(*meta, (F.size("_cells") > F.col("_width")).alias("_long"), *values)
     clean = trimmed.withColumns({name: blank_missing(col(name)) for name in columns})
@@ -435,7 +458,11 @@ def _banner(columns: Sequence[str], hints: Sequence[str]) -> Column:
 
 def _verdict(columns: list[str], hints: Sequence[str], banners: bool) -> Column:
     blank = reduce(lambda a, b: a & b, [col(c) == "" for c in columns])
-    is_title = (F.col("blk") == F.col("_title_blk")) & (F.col("row") == F.col("_title_row"))
+    # A title below other lines is known by its text, wherever the file was split this time;
+    # its exact repeats go with it. A title on the first line may be repeated as data, and
+    # only there is the place asked as well.
+    place = (F.col("blk") == F.col("_title_blk")) & (F.col("row") == F.col("_title_row"))
+    is_title = F.col("_same") & (F.col("_promoted") | place)
     # A partition id is never negative. Naming it keeps the optimizer from copying the
     # whole parse into every filter on the verdict; cells are computed once per line.
     verdict = (

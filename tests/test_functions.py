@@ -109,3 +109,10 @@ def test_money_total_matches_decimal(spark, values):
     want = sum(decimal.Decimal(repr(v)) for v in values)
     got = df.agg(money_total("v").alias("t")).select(settle("t")).first()[0]
     assert got == float(want)
+
+
+def test_sums_keep_digits_beyond_six(spark):
+    df = spark.range(300_000).select((F.lit(1.0) / 3).alias("v"))
+    assert df.agg(money_total("v").alias("t")).select(settle("t")).first()[0] == 100_000.0
+    odd = spark.createDataFrame([(123456789.12,), (0.1,), (0.2,), (-1e-7,)], "v double")
+    assert odd.agg(money_total("v").alias("t")).select(settle("t", None)).first()[0] == 123456789.42
