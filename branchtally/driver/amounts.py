@@ -59,6 +59,17 @@ def pivot_sum(spark, d):
     return summarize(_branched(spark, d))
 
 
+@query(f"""
+select code as "MAIN_CODE", branch as "MAIN_BRANCH",
+       cast(round_even(sum(cast(l_extendedprice / 3 as decimal(38,12))), 2) as double) as "VOLUME_IN_IDR"
+from {_BRANCHED} group by 1, 2
+""")
+def pivot_sum_fractions(spark, d):
+    """A1: values with more digits than money has; the digits beyond six decimals count too."""
+    thirds = F.col("VOLUME_IN_IDR").cast("double") / 3
+    return summarize(_branched(spark, d).withColumn("VOLUME_IN_IDR", thirds))
+
+
 @query(f'select code as "MAIN_CODE", branch as "MAIN_BRANCH", fbi as "FBI", volume as "VOLUME_IN_IDR" from {_SUMS}')
 def pivot_multi_sum(spark, d):
     """A2: several value columns in one pass."""
@@ -135,6 +146,20 @@ def summary_table(spark, d):
     return report_rows(sums, groups, values, display={"FBI": "Sum of FBI"})
 
 
+@query(f"""
+select {place('code')} as position, 'branch' as row_kind, code as "MAIN_CODE", branch as "MAIN_BRANCH",
+       {whole('volume')} as "VOLUME_IN_IDR" from {_SUMS}
+union all
+select 26, 'total', 'Grand Total', null, {whole(money('volume'))} from {_SUMS}
+""")
+def summary_control_chars(spark, d):
+    """K7: control characters in group columns do not reach the summary."""
+    groups, values = ("MAIN_CODE", "MAIN_BRANCH"), ("VOLUME_IN_IDR",)
+    noisy = F.concat(F.lit("\x07"), "MAIN_BRANCH", F.lit("\x00\x1f"))
+    sums = summarize(_branched(spark, d).withColumn("MAIN_BRANCH", noisy), groups, values)
+    return report_rows(sums, groups, values)
+
+
 @query("""
 select o_orderkey, cast(o_custkey as varchar) as "KODE_UKER", o_orderpriority as note,
        cast(round_even(o_totalprice, 0) as bigint) as "VOLUME_IN_IDR",

@@ -202,3 +202,22 @@ def test_quoted_line_breaks(spark, text_file, encoding, mark):
     e = read_extract(spark, path, numeric_columns=["VOL"], multiline=True)
     assert rows(e) == [("1", f"two\nlines {mark}", 5.0), ("2", "b", 0.0), ("4", "x|y", 6.0)]
     assert one_metrics(e) == {"total_rows": 3, "malformed_rows": 1, "header_row": 2}
+
+
+def test_titles_below_other_lines_survive_other_splits(spark, tmp_path):
+    """A cluster may split the files differently for the second pass; titles are known by their text."""
+    for n in range(3):
+        rows = "\n".join(f"{n}{i:05d}|K{i % 7}|{i}" for i in range(3000))
+        (tmp_path / f"f{n}.txt").write_text(f"report of the day\n\nID|KODE_UKER|VOLUME\n{rows}\nID|KODE_UKER|VOLUME\n9|K1|1\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    extract = read_extract(spark, str(tmp_path), numeric_columns=["VOLUME"])
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        rows = extract.data.select("ID", "VOLUME").collect()
+        assert extract.ingest()[0] == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 9003 and not [r for r in rows if r["ID"] == "ID"]
+    assert sum(r["VOLUME"] for r in rows) == 3 * (2999 * 1500 + 1)
