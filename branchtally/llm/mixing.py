@@ -60,7 +60,8 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, epochs: floa
         weight = F.when(F.col("size") > 0, weight).otherwise(F.lit(0.0))
     weighed = cut(sizes.withColumn("weight", weight))
     whole = weighed.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
-    rate = F.col("weight") / F.col("all_weight") * F.col("all_size") * F.lit(float(epochs)) / F.col("size")
+    share = F.try_divide("weight", "all_weight")
+    rate = F.try_divide(share * F.col("all_size") * F.lit(float(epochs)), F.col("size"))
     return weighed.join(F.broadcast(whole)).select(
         "source", "size", F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(F.lit(1.0)).alias("rate")
     )

@@ -71,8 +71,10 @@ def test_signatures_lose_no_pair():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 40) if i != 17] + [(100, 101), (5, 5)]
-    got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    name = [int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, 102)]
+    back = {x: i for i, x in enumerate(name)}
+    edges = [(name[i], name[j]) for i, j in [(i, i + 1) for i in range(0, 40) if i != 17] + [(100, 101), (5, 5)]]
+    got = {back[r["node"]]: r["root"] for r in ngram_join.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert len({got[i] for i in range(0, 18)}) == len({got[i] for i in range(18, 41)}) == 1
     assert got[0] != got[18] and got[100] == got[101] != got[0]
     assert ngram_join.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

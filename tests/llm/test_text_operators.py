@@ -132,6 +132,19 @@ def test_bpe_joins_at_any_place():
         assert bpe.assemble(t, s, shared) == t.encode(s, add_special_tokens=False).ids
 
 
+def test_both_libraries_agree_on_common_characters():
+    t, fast, rng = bpe.tokenizer(None), bpe.fast_tokenizer(None), np.random.default_rng(12)
+    common = [chr(c) for c in range(0x180) if not bpe.COMMON.search(chr(c))]
+    assert len(common) > 300
+    for c in common:
+        for text in (c, f"a{c}b", f" {c} {c}{c}1", f"{c}'s\n {c}\n\n{c}", f"  {c}  x"):
+            assert fast.encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(2000):
+        text = "".join(rng.choice(common, rng.integers(1, 40)))
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert fast.encode_ordinary(text) == ids and fast.decode(ids) == t.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_round_trip_and_shared_chunks(documents):
     some = documents.where("doc_id < 60")
     back = rows(bpe.decode(bpe.encode(some)), "text")
