@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import small_side, store
 from .textnp import NOT_SPACE, mix, shingles, whole, words_by_text
 
 #: Shingles of a block that one task joins.
@@ -196,12 +196,11 @@ class Trie:
         node.group = found.pop() if found else -1
         return node.group
 
-    def search(self, me: int, items: np.ndarray) -> list[tuple[int, int]]:
-        """Links of set ``me`` to stored sets of other groups; groups are joined on the way."""
+    def search(self, me: int, items: np.ndarray) -> None:
+        """Links set ``me`` to the stored sets of other groups and joins these groups."""
         n, num, den = len(items), self.num, self.den
         least, most = -(-n * num // den), n * den // num
         self.inside[items] = True
-        links = []
         stack = [(self.root, 0, 0)]
         while stack:
             node, depth, overlap = stack.pop()
@@ -218,13 +217,11 @@ class Trie:
                 continue
             for other in node.ends:
                 if den * overlap >= num * (n + self.sizes[other] - overlap) and self.find(other) != self.find(me):
-                    links.append((me, other))
                     self.union(me, other)
             likely = [c for t, c in node.children.items() if self.inside[t]]
             stack += [(c, depth, overlap) for t, c in node.children.items() if not self.inside[t]]
             stack += [(c, depth, overlap) for c in likely]
         self.inside[items] = False
-        return links
 
     def insert(self, me: int, items: np.ndarray) -> None:
         self.sizes[me] = len(items)
@@ -259,8 +256,8 @@ class Trie:
             node.group = -1
 
 
-def trie_links(keys: list[int], sets: list[np.ndarray], known: list[int], stored: list[bool], asking: list[bool], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets of different groups: each asking set meets the stored ones.
+def trie_groups(keys: list[int], sets: list[np.ndarray], known: list[int], stored: list[bool], asking: list[bool], num: int, den: int) -> list[tuple[int, int]]:
+    """(key, key of its group's first set) of a block: each asking set meets the stored ones.
 
     ``known`` names the group that a set is already in. Sets are ordered by how many of the
     block's sets hold a shingle, most first, so that common runs are shared near the root.
@@ -276,13 +273,12 @@ def trie_links(keys: list[int], sets: list[np.ndarray], known: list[int], stored
     first: dict[int, int] = {}
     for i, group in enumerate(known):
         trie.union(i, first.setdefault(group, i))
-    links = []
     for i in sorted(range(len(keys)), key=lambda i: not stored[i]):  # those that only ask come last
         if asking[i]:
-            links += trie.search(i, ranked[i])
+            trie.search(i, ranked[i])
         if stored[i]:
             trie.insert(i, ranked[i])
-    return [(keys[a], keys[b]) for a, b in links]
+    return [(keys[i], keys[trie.find(i)]) for i in range(len(keys)) if trie.find(i) != i]
 
 
 def _block_links(num: int, den: int):
@@ -292,7 +288,7 @@ def _block_links(num: int, den: int):
         sets = [np.frombuffer(b, np.uint64) for b in block.column("items").to_pylist()]
         role = block.column("role").to_pylist()
         # role 2: stored and asking; 1: only stored; 0: only asking
-        links = trie_links(keys, sets, block.column("known").to_pylist(), [r > 0 for r in role], [r != 1 for r in role], num, den)
+        links = trie_groups(keys, sets, block.column("known").to_pylist(), [r > 0 for r in role], [r != 1 for r in role], num, den)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
@@ -316,32 +312,33 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for all ends of the edges ``a, b``; the root is the same in a component.
 
     Each round sends every node to its smallest neighbour and contracts the edges; the rounds'
-    maps are followed in turn. Minima are combined before the exchange; lineage is cut.
+    maps are followed in turn. Minima are combined before the exchange; lineage is cut. Nodes
+    are hashes, so their order along a path is random and a path shrinks by a share each round.
     """
-    live = cut(edges.select("a", "b").where("a <> b").distinct())
+    live = store(edges.select("a", "b").where("a <> b").distinct())
     maps = []
     while not live.isEmpty():
         both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        nearest = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         maps.append(nearest)
         side = small_side(nearest)
         left = live.join(side.withColumnRenamed("to", "ra"), "a")
         moved = left.join(side.select(F.col("a").alias("b"), F.col("to").alias("rb")), "b")
-        live = cut(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
+        live = store(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = maps[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
     for step in maps[1:]:
         after = small_side(step.select(F.col("a").alias("root"), F.col("to").alias("next")))
         found = found.join(after, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return cut(found)
+    return store(found)
 
 
 def _first_round(members: DataFrame) -> DataFrame:
     """``key, block`` rows: small clusters whole, large ones split with the leaders in each block."""
     clusters = members.groupBy("root").agg(F.sum("n").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK_SHINGLES)
-    sized = cut(clusters.select("root", blocks.alias("blocks")))
+    sized = store(clusters.select("root", blocks.alias("blocks")))
     placed = members.join(small_side(sized), "root").withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
     # a thin slice by hash holds the leaders, so they are found without gathering a cluster
     lead_order = Window.partitionBy("root").orderBy(F.xxhash64("key", F.lit(11)), "key")
@@ -352,34 +349,34 @@ def _first_round(members: DataFrame) -> DataFrame:
         .where(F.col("nth") <= LEADERS)
         .select("root", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     )
-    return cut(placed.select("root", "key", "block").unionAll(leaders).distinct())
+    return store(placed.select("root", "key", "block").unionAll(leaders).distinct())
 
 
 def _links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links that the blocks' tries find; ``placed`` has root, block, key, known, role."""
+    """The groups that the blocks' tries find, as edges; ``placed`` has root, block, key, known, role."""
     rows = placed.join(sets, "key").select("root", "block", "key", "known", "role", "items")
-    return cut(rows.groupBy("root", "block").applyInArrow(_block_links(num, den), "a bigint, b bigint"))
+    return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den), "a bigint, b bigint"))
 
 
 def _second_round(first: DataFrame, groups: DataFrame) -> DataFrame | None:
     """What is outside the largest group of a split cluster meets all blocks of the cluster."""
-    split = cut(first.groupBy("root").agg(F.max("block").alias("last")).where("last > 0"))
+    split = store(first.groupBy("root").agg(F.max("block").alias("last")).where("last > 0"))
     if split.isEmpty():
         return None
     home = first.join(small_side(split), "root").join(groups, first["key"] == groups["node"], "left").select(
         first["root"], first["key"], "block", F.coalesce(groups["root"], first["key"]).alias("known")
     )
-    home = cut(home)
+    home = store(home)
     sizes = home.groupBy("root", "known").agg(F.count_distinct("key").alias("c"))
-    largest = cut(sizes.groupBy("root").agg(F.max_by("known", F.struct("c", "known")).alias("main")))
+    largest = store(sizes.groupBy("root").agg(F.max_by("known", F.struct("c", "known")).alias("main")))
     marked = home.join(small_side(largest), "root")
-    outside = cut(marked.where("known <> main").select("root", "key", "known").distinct())
+    outside = store(marked.where("known <> main").select("root", "key", "known").distinct())
     if outside.isEmpty():
         return None
     # outsiders in pieces of bounded number; every piece meets every block
-    count = cut(outside.groupBy("root").agg(F.ceil(F.count("*") / OUTSIDERS).alias("pieces")))
+    count = store(outside.groupBy("root").agg(F.ceil(F.count("*") / OUTSIDERS).alias("pieces")))
     pieces = outside.join(small_side(count), "root").withColumn("piece", F.pmod(F.xxhash64("key", F.lit(13)), F.col("pieces")))
-    blocks = cut(home.select("root", "block").distinct())
+    blocks = store(home.select("root", "block").distinct())
     asking = pieces.join(blocks, "root").select("root", "block", "piece", "key", "known", F.lit(0).alias("role"))
     stored = home.join(small_side(count), "root").select(
         "root", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), "key", "known", F.lit(1).alias("role")
@@ -394,7 +391,7 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
     """``doc_id, n_shingles, component_id``: one row per document of ``doc_id, text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    keyed = cut(read.mapInArrow(_keys(k), "doc_id bigint, th bigint, key bigint, n bigint"))
+    keyed = store(read.mapInArrow(_keys(k), "doc_id bigint, th bigint, key bigint, n bigint"))
 
     rows = read.select("text").mapInArrow(_signature_rows(k, num, den), "sig bigint, key bigint, other bigint")
     same = Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -402,12 +399,12 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
     clusters = components(pairs.select(F.col("key").alias("a"), "b"))
 
     found = clusters.join(keyed, clusters["node"] == keyed["key"])
-    members = cut(
+    members = store(
         found.groupBy("key").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"))
     )
-    wanted = small_side(cut(members.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.th").alias("w_th"))))
+    wanted = small_side(store(members.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.th").alias("w_th"))))
     chosen = read.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    sets = cut(chosen.select("text").mapInArrow(_sets(k), "key bigint, items binary").dropDuplicates(["key"]))
+    sets = store(chosen.select("text").mapInArrow(_sets(k), "key bigint, items binary").dropDuplicates(["key"]))
 
     first = _first_round(members)
     links = _links(first.select("root", "block", "key", F.col("key").alias("known"), F.lit(2).alias("role")), sets, num, den)
@@ -419,9 +416,9 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
     # smallest document of each set, then of each group of sets
     least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     by_set = least.join(linked, least["key"] == linked["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    by_set = cut(by_set)
-    by_group = cut(by_set.groupBy("root").agg(F.min("least").alias("component")))
-    named = cut(by_set.join(small_side(by_group), "root").select("key", "component"))
+    by_set = store(by_set)
+    by_group = store(by_set.groupBy("root").agg(F.min("least").alias("component")))
+    named = store(by_set.join(small_side(by_group), "root").select("key", "component"))
     return keyed.join(small_side(named), "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -436,10 +433,10 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     text = F.coalesce(F.col("text"), F.lit(""))
     found = groups(docs.select("doc_id", "text"), k, num, den)
     # one row for each id: what it stands for, and whether it is first of its group
-    first = cut(found.where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
-    gone = cut(first.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
+    first = store(found.where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
+    gone = store(first.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
     left = docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = cut(left.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    again = store(left.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
     if again.isEmpty():
         return left
     repeated = small_side(again)
