@@ -11,7 +11,7 @@ The model is one array of 128 x 128 ratios, a constant of the scoring projection
 scored by array lookups in the engine. No Python code runs on the executors.
 
 Defined cases: null texts count as empty and have no spans; empty tables give an empty result;
-without labelled values both models are uniform and nothing is added; characters beyond ASCII
+without labelled values the ratios are 0 and nothing is added; characters beyond ASCII
 never belong to a candidate token; repeated rows are scanned one by one; other columns pass
 through ``scan`` unchanged, and columns named like the added ones are replaced.
 """
@@ -38,10 +38,10 @@ TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WORD = "[A-Za-z0-9+/_=-]{4,}+"
 #: Texts of the training sample, and of these the random values and ordinary words used.
 SAMPLE_ROWS = 4_000
-#: Log-likelihood ratio a character from which a token is reported.
-THRESHOLD = 0.7
-#: Pseudo-count of every pair of characters.
-PRIOR = 0.2
+#: Log-likelihood ratio a character from which a token is reported; 20 characters make 5 nats.
+THRESHOLD = 0.25
+#: Pairs of characters for which a model's frequency of single characters stands.
+BACKOFF = 30.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -73,9 +73,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
         docs.select(text.alias("t"))
         .where(_sieve(text) | F.contains(text, F.lit("AKIA")) | text.rlike("[0-9a-f]{24}"))
         .select("t", F.xxhash64("t").alias("h"))
-        .orderBy("h", "t")
-        .limit(sample_rows)
     )
+    # the hashes alone are ordered; the texts under the last of them stay where they are
+    last = labelled.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    labelled = labelled.where(F.col("h") <= F.lit(last).cast("bigint")).dropDuplicates(["h"])
     found = base_spans(F.col("t"))
     value = lambda m: F.coalesce(F.nullif(F.regexp_extract(m["hit"], ASSIGN_VALUE, 1), F.lit("")), m["hit"])
     hits = F.concat(found["assign"], found["access"], found["hex"])
@@ -94,11 +95,17 @@ def _ratios(counts: dict[tuple[bool, int], int]) -> list[float]:
     table = [0.0] * (128 * 128)
     if not any(random for random, _ in counts):
         return table
+    models = {}
+    for random in (True, False):
+        seen = {b: sum(counts.get((random, a * 128 + b), 0) for a in codes) for b in codes}
+        single = {b: (n + 0.5) / (sum(seen.values()) + 0.5 * len(codes)) for b, n in seen.items()}
+        for a in codes:
+            after = sum(counts.get((random, a * 128 + b), 0) for b in codes)
+            for b in codes:
+                models[random, a, b] = (counts.get((random, a * 128 + b), 0) + BACKOFF * single[b]) / (after + BACKOFF)
     for a in codes:
-        total = {r: sum(counts.get((r, a * 128 + b), 0) for b in codes) + PRIOR * len(codes) for r in (True, False)}
         for b in codes:
-            p = {r: (counts.get((r, a * 128 + b), 0) + PRIOR) / total[r] for r in (True, False)}
-            table[a * 128 + b] = round(math.log(p[True] / p[False]), 6)
+            table[a * 128 + b] = round(math.log(models[True, a, b] / models[False, a, b]), 6)
     return table
 
 
