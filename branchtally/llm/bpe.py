@@ -14,7 +14,7 @@ never trusted, and a chunk without agreement is encoded again as a whole.
 Texts that hold a special token's string, and texts without shared chunks, are encoded whole.
 Whole texts of common Latin characters go through a second library that reads the same
 vocabulary several times as fast (the tests hold its ids against the first one's, character by
-character); all other texts, and everything at joins, go through the tokenizer itself.
+character), at joins as well; all other texts, and the shared chunks, go through the tokenizer itself.
 
 Defined cases: null texts are empty and have no tokens; repeated rows come out repeated; empty
 tables give an empty result; further columns are not read; very long texts are cut like others.
@@ -26,7 +26,7 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +65,10 @@ def tokenizer(path: str | None):
     return t
 
 
-def fast_tokenizer(path: str | None):
-    """The same vocabulary, from its rank file beside the tokenizer; None if there is none."""
+def fast_tokenizer(path: str | None) -> tuple | None:
+    """The same vocabulary from the rank file beside the tokenizer, and its pattern; None without one."""
     import public_tokenizers
+    import regex
     import tiktoken
 
     ranks = re.sub(r"\.json$", ".tiktoken", path or default_path())
@@ -75,7 +76,8 @@ def fast_tokenizer(path: str | None):
         return None
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    return encoding, regex.compile(public_tokenizers.PATTERN)
 
 
 def cuts(data: bytes) -> np.ndarray:
@@ -118,10 +120,22 @@ def pieces(encoding) -> tuple[np.ndarray, np.ndarray]:
     return np.array([encoding.offsets[i][0] for i in new], np.int32), new.astype(np.int32)
 
 
-def assemble(t, text: str, shared: list[tuple]) -> list[int]:
+def _read_stretch(t, fast, text: str) -> tuple[np.ndarray, Callable[[int], list[int]]]:
+    """(piece starts of a stretch, a function that gives the ids of the pieces before one of them)."""
+    if fast is None:
+        e = t.encode(text, add_special_tokens=False)
+        here, tokens = pieces(e)
+        return here, lambda q: e.ids[: int(tokens[np.searchsorted(here, q)])]
+    starts = [m.start() for m in fast[1].finditer(text)]
+    # cut behind white space, the last piece could be read otherwise than in the whole
+    return np.array([q for q in starts if q == 0 or not text[q - 1].isspace()], np.int64), lambda q: fast[0].encode_ordinary(text[:q])
+
+
+def assemble(t, text: str, shared: list[tuple], fast: tuple | None = None) -> list[int]:
     """The ids of ``text``, with the tokens of ``shared`` chunks taken over where they agree.
 
-    ``shared`` holds (first character, end character, ids, piece characters, piece tokens).
+    ``shared`` holds (first character, end character, ids, piece characters, piece tokens);
+    ``fast`` is the second library's encoding and its pattern, for texts of common characters.
     """
     out: list[int] = []
     done = 0  # everything before is final, and a piece begins here
@@ -134,13 +148,12 @@ def assemble(t, text: str, shared: list[tuple]) -> list[int]:
         else:
             for tried in TRIES:
                 stop = begin + int(at[tried]) if tried < len(at) - UNSURE else end
-                e = t.encode(text[done:stop], add_special_tokens=False)
-                here, tokens = pieces(e)
+                here, before = _read_stretch(t, fast, text[done:stop])
                 trusted = slice(0, len(here) if stop == len(text) else max(0, len(here) - UNSURE))
                 both = np.intersect1d(here[trusted] + done, at[: len(at) - UNSURE] + begin)
                 if len(both):
                     agreed = int(np.searchsorted(at, both[0] - begin))
-                    head = e.ids[: int(tokens[np.searchsorted(here, both[0] - done)])]
+                    head = before(int(both[0]) - done)
                     break
                 if stop == end:
                     break
@@ -150,7 +163,8 @@ def assemble(t, text: str, shared: list[tuple]) -> list[int]:
         out += head
         out += ids[int(first[agreed]) : int(first[last])]
         done = begin + int(at[last])
-    return out + t.encode(text[done:], add_special_tokens=False).ids
+    rest = text[done:]
+    return out + (fast[0].encode_ordinary(rest) if fast else t.encode(rest, add_special_tokens=False).ids)
 
 
 # ---------------------------------------------------------------- Arrow functions
@@ -206,8 +220,8 @@ def _encode_texts(path: str | None, digest: bool):
             """The ids of a text, and what they decode to."""
             whole = not plan or any(s in text for s in special)
             if fast and not COMMON.search(text) and not any(s in text for s in special):
-                ids = fast.encode_ordinary(text) if whole else assemble(t, text, [_taken(s) for s in plan])
-                return ids, fast.decode(ids) if digest else None
+                ids = fast[0].encode_ordinary(text) if whole else assemble(t, text, [_taken(s) for s in plan], fast)
+                return ids, fast[0].decode(ids) if digest else None
             ids = t.encode(text, add_special_tokens=False).ids if whole else assemble(t, text, [_taken(s) for s in plan])
             return ids, t.decode(ids, skip_special_tokens=False) if digest else None
 
