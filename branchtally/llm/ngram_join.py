@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from .common import small_side, store
 from .textnp import NOT_SPACE, mix, shingles, whole, words_by_text
 
-#: Shingles of a block that one task joins.
-BLOCK_SHINGLES = 400_000
+#: Shingles of a block that one task joins (some 100 MB while it does).
+BLOCK_SHINGLES = 1_500_000
 #: Sets of a split cluster that every block holds.
 LEADERS = 8
 #: Sets outside the largest group that meet a block at once.
-OUTSIDERS = 512
+OUTSIDERS = 4_096
 #: Signature rows that a map task combines at once.
 COMBINE = 2_000_000
 
