@@ -1,12 +1,18 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Every text is measured once. The labelled documents are the holdout: for each stratum (language)
-and rule a grid of cutoffs is tried, and a cutoff is admitted only if the exact binomial test
-rejects "more than ``RISK / rules`` of the good documents fall to it": with k of n good holdout
-documents rejected, P(Binomial(n, risk) <= k) must be at most ``LEVEL / (rules * cutoffs *
-strata)``, which holds for all choices at once (Bonferroni). The strictest admitted cutoff is
-used; a stratum without one keeps everything. Then good documents of a stratum are rejected by
-all rules together with probability ``RISK`` at most, except with probability ``LEVEL``.
+Every text is measured once. The labelled documents are the holdout. For each stratum (language)
+fixed paths of rejections are tested, each from the loosest cutoff to the strictest: for every set
+of rules the path "any rule of the set is over its i-th cutoff", tested against ``RISK``, and for
+each rule its own path, tested against ``RISK / rules``. A step is admitted if the exact binomial
+test rejects "more good documents than that fall to it": with k of n good holdout documents
+rejected, P(Binomial(n, risk) <= k) must be at most the path's part of ``LEVEL``. A stricter step
+rejects whatever a looser one does, so the steps of a path are a fixed sequence and cost no part
+of the level; the paths (``SHARES``) and the strata share it. So, except with probability
+``LEVEL``, good documents of a stratum are rejected by all rules together with probability
+``RISK`` at most whichever admitted step is used. Of the last admitted steps, and the rules' own
+steps taken together, the one that rejects most labelled bad documents is used; ties go to the
+larger set of rules. A stratum without one keeps everything: ``least_good`` says how many good
+documents a stratum needs.
 
 Everything is DataFrame functions; repeats are found inside a row, so nothing is exchanged but
 narrow rows of measures.
@@ -20,6 +26,7 @@ give an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +42,10 @@ RULES = {
     "repeat_share": ("n_repeat_words / greatest(n_words, 1)", [i / 64 for i in range(1, 33)]),
     "word_length": ("word_chars / greatest(n_words, 1)", [5 + i / 2 for i in range(32)]),
 }
+#: Sets of rules that are tested together, the largest first; then each rule by itself.
+SETS = [names for n in range(len(RULES), 0, -1) for names in combinations(RULES, n)]
+#: Parts of ``LEVEL``: all rules together, the other sets, and the rules by themselves.
+SHARES = (1 / 2, 15 / 32, 1 / 32)
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -115,36 +126,64 @@ def _log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return ns * F.lit(math.log(1 - p)) + climb + F.log(tail)
 
 
+def _paths(risk: float, level: float) -> list[tuple[tuple[str, ...], float, float]]:
+    """(rules, risk, level) of each path: the sets, then each rule by itself."""
+    alone = [((rule,), risk / len(RULES), level * SHARES[2] / len(RULES)) for rule in RULES]
+    return [(names, risk, level * (SHARES[0] if i == 0 else SHARES[1] / (len(SETS) - 1))) for i, names in enumerate(SETS)] + alone
+
+
+def least_good(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
+    """Good holdout documents from which a stratum can have cutoffs of all rules together."""
+    return math.ceil(math.log(level * SHARES[0] / max(strata, 1)) / math.log(1 - risk))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """``lang, rule, cutoff``: the strictest admitted cutoff of each stratum and rule."""
+    """``lang, rule, cutoff``: the chosen admitted cutoffs of each stratum."""
     agreed = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
-        .where("low = 1 and high = 1")
-        .select("doc_id")
+        .where("low = high and low in (0, 1)")
+        .select("doc_id", F.col("low").cast("bigint").alias("good"))
     )
-    good = measured.where(~base_failed()).join(agreed, "doc_id", "left_semi")
-    # how many of the grid's cutoffs a value exceeds: 0 to 32, so a stratum has few rows
+    # how many of the grid's cutoffs a value exceeds: 0 to 32, so equal rows are many
     above = lambda value, grid: F.size(F.filter(F.lit(grid), lambda c: c < F.expr(value)))
-    steps = [F.struct(F.lit(rule).alias("rule"), above(*RULES[rule]).alias("above")) for rule in RULES]
-    levels = good.select("lang", F.explode(F.array(*steps)).alias("s")).groupBy("lang", "s.rule", "s.above").count()
-    grids = F.create_map(*[x for rule, (_, grid) in RULES.items() for x in (F.lit(rule), F.lit(grid))])
-    by_rule = levels.groupBy("lang", "rule").agg(
-        F.sum("count").alias("n"), F.collect_list(F.struct("above", "count")).alias("hist")  # at most 33 entries
+    judged = measured.where(~base_failed()).select("doc_id", "lang", *[above(*RULES[rule]).alias(rule) for rule in RULES]).join(agreed, "doc_id")
+    held = cut(judged.groupBy("lang", *RULES).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
+
+    paths = _paths(risk, level)
+    steps = [F.struct(F.lit(i).alias("path"), F.array_max(F.array(*names)).alias("above")) for i, (names, _, _) in enumerate(paths)]
+    levels = held.select("lang", "good", F.explode(F.array(*steps)).alias("s")).groupBy("lang", "s.path", "s.above").agg(F.sum("good").alias("count"))
+    by_path = (
+        levels.groupBy("lang", "path")
+        .agg(F.sum("count").alias("n"), F.collect_list(F.struct("above", "count")).alias("hist"))  # at most 33 entries
+        .where("n > 0")
     )
-    tried = by_rule.select("lang", "rule", "n", "hist", F.posexplode(grids[F.col("rule")]).alias("at", "cutoff")).select(
-        "lang", "rule", "n", "cutoff",
-        F.aggregate("hist", F.lit(0).cast("bigint"), lambda acc, h: acc + F.when(h["above"] > F.col("at"), h["count"]).otherwise(F.lit(0).cast("bigint"))).alias("k"),
+    most = max(len(grid) for _, grid in RULES.values())
+    none = F.lit(0).cast("bigint")
+    tried = by_path.select("lang", "path", "n", "hist", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("at")).select(
+        "lang", "path", "n", "at",
+        F.aggregate("hist", none, lambda acc, h: acc + F.when(h["above"] > F.col("at"), h["count"]).otherwise(none)).alias("k"),
     )
-    strata = by_rule.agg(F.count_distinct(F.coalesce("lang", F.lit(""))).alias("strata"))  # one row
-    share = risk / len(RULES)
-    tests = len(RULES) * max(len(grid) for _, grid in RULES.values())
-    bound = F.log(F.lit(level / tests) / F.greatest("strata", F.lit(1)))
-    admitted = tried.crossJoin(F.broadcast(strata)).where(
-        (F.col("k") <= F.col("n") * share) & (_log_binomial_cdf(F.col("n"), F.col("k"), share) <= bound)
-    )
-    return admitted.groupBy("lang", "rule").agg(F.min("cutoff").alias("cutoff"))
+    strata = by_path.agg(F.count_distinct(F.struct("lang")).alias("strata"))  # one row
+    bound = F.log(F.get(F.lit([part for _, _, part in paths]), F.col("path")) / F.greatest("strata", F.lit(1)))
+    own = F.col("path") >= len(SETS)
+    limit = F.when(own, F.lit(risk / len(RULES))).otherwise(F.lit(risk))
+    tail = F.when(own, _log_binomial_cdf(F.col("n"), F.col("k"), risk / len(RULES))).otherwise(_log_binomial_cdf(F.col("n"), F.col("k"), risk))
+    admitted = tried.crossJoin(F.broadcast(strata)).where((F.col("k") <= F.col("n") * limit) & (tail <= bound))
+    last = admitted.groupBy("lang", "path").agg(F.min("at").alias("at"))
+
+    # a plan is the last step of a set, or those of all rules by themselves: per rule a step, 32 is none
+    plan = F.least(F.col("path"), F.lit(len(SETS)))
+    reach = F.create_map(*[x for i, (names, _, _) in enumerate(paths) for x in (F.lit(i), F.lit(list(names)))])
+    at = [F.min(F.when(F.array_contains(F.element_at(reach, F.col("path")), rule), F.col("at"))).alias(f"_{rule}") for rule in RULES]
+    plans = cut(last.groupBy(F.col("lang").alias("_lang"), plan.alias("plan")).agg(*at).fillna(most, [f"_{rule}" for rule in RULES]))
+    rejected = F.array_max(F.array(*[(F.col(rule) > F.col(f"_{rule}")).cast("int") for rule in RULES]))
+    gain = held.join(small_side(plans), F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "plan", *[f"_{rule}" for rule in RULES])
+    gained = gain.agg(F.sum(rejected * F.col("bad")).alias("bad"))
+    best = gained.groupBy("_lang").agg(F.max_by(F.struct(*[F.col(f"_{rule}").alias(rule) for rule in RULES]), F.struct("bad", -F.col("plan"))).alias("at"))
+    chosen = [F.struct(F.lit(rule).alias("rule"), F.get(F.lit(grid), F.col(f"at.{rule}")).cast("double").alias("cutoff")) for rule, (_, grid) in RULES.items()]
+    return best.select(F.col("_lang").alias("lang"), F.explode(F.array(*chosen)).alias("c")).select("lang", "c.*").where("cutoff is not null")
 
 
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -94,6 +94,23 @@ def test_quality_cutoffs_keep_good_and_reject_bad(spark):
     assert few.where("kept").count() == 2530
 
 
+def test_quality_cutoffs_of_small_languages(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    n = quality.least_good(3) + 5
+    rows_ = []
+    for lang, size in (("fr", n), ("de", quality.least_good(3) - 5), ("zz", 2 * n)):
+        long = "x" * 40 if lang == "zz" else ""  # a language whose words are always long
+        rows_ += [(" ".join(word() + long for _ in range(60)), lang, 1) for _ in range(size)]
+        rows_ += [(" ".join(word() + long + "%" * (60 if long else 3) for _ in range(60)), lang, 0) for _ in range(10)]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g, _) in enumerate(rows_)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows_)], "doc_id bigint, quality int")
+    got = rows(quality.assess(df, labels), "kept")
+    kept = {(lang, q): [got[i][0] for i, r in enumerate(rows_) if r[1:] == (lang, q)] for lang in ("fr", "de", "zz") for q in (0, 1)}
+    assert not any(kept["fr", 0]) and not any(kept["zz", 0]) and all(kept["de", 0])
+    assert all(kept["fr", 1]) and all(kept["de", 1]) and np.mean(kept["zz", 1]) >= 0.98
+
+
 def test_license_phrases(pairs):
     want, df = pairs
     got = rows(licenses.scan(df), "n_words", "n_base", "first_word", "last_word", "base_labels")
