@@ -7,8 +7,10 @@ them lies a window of words. For a term t and a kind c the corpus gives
 
 with p(c) the share of all words that lie in windows of kind c, p(t) the term's share of all
 words, and p(t, c) its share inside those windows. PMI / IC is the part of the entity's
-information that the term discloses: 1 if the term occurs nowhere else. A term counts from
-``SUPPORT`` different entities on; copies of a text repeat its entities and add no support.
+information that the term discloses: 1 if the term occurs nowhere else. The same is scored with
+a single entity e, a value of its kind, in the place of c, so a name that goes with one address
+is found too. A term counts for a kind from ``SUPPORT`` different entities on, and for an entity
+from ``SUPPORT`` different texts on; copies of a text add no support.
 From ``GENERALISE`` on a term is replaced by a general form (its first letters, or its number of
 digits), and from ``REMOVE`` on it is removed. All counts cover the whole corpus.
 
@@ -39,7 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: Words before and after an entity that make its window, and the characters searched for them.
 WINDOW_WORDS, WINDOW_CHARS = 8, 200
-#: Different entities that a term must accompany before it can disclose their kind.
+#: Different entities that a term must accompany before it can disclose their kind, and different
+#: texts in which it must accompany one entity before it can disclose that.
 SUPPORT = 5
 #: Parts of the entity's information from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.75, 0.9
@@ -60,44 +63,56 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"email": matches_if(text, F.contains(text, F.lit("@")), EMAIL), "ip": ip, "card": card, "phone": phone}
 
 
+def _lowered(text: Column) -> Column:
+    """Lower case with as many characters: the capital dotted I is the only one that becomes two."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(_lowered(text), F.lit(TERM), F.lit(0))
 
 
 def _windows(found: DataFrame) -> DataFrame:
-    """One row per entity: kind, a hash of its value, and the terms around it."""
+    """One row per entity: kind, hashes of its value and its text, and the terms around it."""
     named = lambda kind: F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
     each = F.concat(*map(named, KINDS))
     rows = found.where(F.size(F.concat(*KINDS)) > 0).select(F.explode(each).alias("e"), "_text").select("e.*", "_text")
+    hashes = [F.xxhash64("m.hit").alias("entity"), F.xxhash64("_text").alias("of")]
     before = F.substring(F.col("_text"), F.greatest(F.col("m.start") - WINDOW_CHARS, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(WINDOW_CHARS)))
     after = F.substring(F.col("_text"), F.col("m.end") + 1, F.lit(WINDOW_CHARS))
     left = F.reverse(F.slice(F.reverse(_terms(before)), 1, WINDOW_WORDS))
-    return rows.select("kind", F.xxhash64("m.hit").alias("entity"), F.concat(left, F.slice(_terms(after), 1, WINDOW_WORDS)).alias("terms"))
+    return rows.select("kind", *hashes, F.concat(left, F.slice(_terms(after), 1, WINDOW_WORDS)).alias("terms"))
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
-    """``term, kind, disclosure``: the terms of the corpus that reveal protected entities.
+    """``term, kind, disclosure``: the terms of the corpus that reveal protected entities or their kind.
 
     ``found`` has ``_text`` and the base matches. Two passes: the windows, then the frequency of
     the candidate terms among all words of all texts.
     """
     windows = cut(_windows(found))
-    near = windows.select("kind", "entity", F.explode("terms").alias("term"))
-    # one row for an entity and term first, so that a hot term or a copied entity is small
-    pairs = near.groupBy("term", "kind", "entity").agg(F.count("*").alias("n"))
-    candidates = cut(
-        pairs.groupBy("term", "kind").agg(F.sum("n").alias("n_tc"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    )
-    names = candidates.select("term").distinct()
+    near = windows.select("kind", "entity", "of", F.explode("terms").alias("term"))
+    # one row for an entity, term and text first, so that a hot term or a copied text is small
+    by_text = near.groupBy("term", "kind", "entity", "of").agg(F.count("*").alias("n"))
+    pairs = cut(by_text.groupBy("term", "kind", "entity").agg(F.sum("n").alias("n"), F.count("*").alias("texts")))
+    counts = pairs.groupBy("term", "kind").agg(F.sum("n").alias("n_tc"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    window_words = windows.groupBy("kind").agg(F.sum(F.size("terms")).alias("n_c"))  # four rows
+    of_kinds = counts.join(F.broadcast(window_words), "kind").select("term", "kind", "n_tc", "n_c")
+    often = pairs.where(F.col("texts") >= SUPPORT)
+    entities = cut(often.select("kind", "entity").distinct())
+    entity_words = windows.join(small_side(entities), ["kind", "entity"], "left_semi").groupBy("kind", "entity").agg(F.sum(F.size("terms")).alias("n_c"))
+    of_entities = often.join(small_side(cut(entity_words)), ["kind", "entity"]).select("term", "kind", F.col("n").alias("n_tc"), "n_c")
+    candidates = cut(of_kinds.unionAll(of_entities))
+    names = cut(candidates.select("term").distinct())
     words = found.select(F.explode(_terms(F.col("_text"))).alias("term"))
     all_words = found.select(F.sum(F.size(_terms(F.col("_text")))).alias("n_all"))
     totals = words.join(small_side(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    window_words = windows.groupBy("kind").agg(F.sum(F.size("terms")).alias("n_c"))  # four rows
-    scored = candidates.join(totals, "term").join(F.broadcast(window_words), "kind").join(F.broadcast(all_words))
+    scored = candidates.join(totals, "term").join(F.broadcast(all_words))
     share = F.col("n_c") / F.col("n_all")
     pmi = F.log2(F.col("n_tc") * F.col("n_all") / (F.col("n_t") * F.col("n_c")))
     part = F.when(share < 1, F.least(pmi / -F.log2(share), F.lit(1.0)))
-    return cut(scored.select("term", "kind", part.alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
+    strong = scored.select("term", "kind", part.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return cut(strong.groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure")))
 
 
 def _general(term: Column) -> Column:
@@ -135,11 +150,11 @@ def _term_matches() -> Column:
     """Places of a text's own disclosing terms, outside of its base matches."""
     own = F.array_sort(F.transform("_terms", lambda t: t["term"]))
     pattern = F.concat(F.lit("(?<![\\p{L}\\p{N}])(?:"), F.array_join(own, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
-    lowered = F.lower("_text")
+    lowered = _lowered(F.col("_text"))
     base = F.concat(*KINDS)
     inside = lambda m: F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     part = lambda m: F.filter("_terms", lambda t: t["term"] == m["hit"])[0]["disclosure"]
-    # lower-casing may change the number of characters; such texts are searched as they are
+    # only a text of invalid bytes can still change its number of characters; it is searched as it is
     where = F.when(F.length(lowered) == F.length("_text"), lowered).otherwise(F.col("_text"))
     free = F.filter(matches(where, pattern), lambda m: ~inside(m))
     return F.transform(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from branchtally.llm import bpe, licenses, mixing, pii, quality, secrets, textnp, toxicity
 
@@ -44,6 +45,26 @@ def test_terms_that_give_an_entity_away_are_found_and_replaced(spark):
     assert clean[20] == texts[20]
 
 
+def test_terms_that_go_with_a_single_entity_are_found(spark):
+    rng = np.random.default_rng(5)
+    filler = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 2)) + " the lazy dog waits" for _ in range(25))
+    texts = [f"{filler()} write to Agentsmith at only.one@mail.example.com now {filler()}" for _ in range(6)]
+    copied = f"{filler()} write to Agentjones at other.one@mail.example.com now {filler()}"
+    texts += [copied] * 20 + [filler() for _ in range(40)] + ["AGENTSMITH was in \u0130zmir"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    scanned = pii.scan(df)
+    clean = {r[0]: r[1] for r in scanned.select("doc_id", pii.sanitised(scanned).alias("t")).collect()}
+    assert not any("Agentsmith" in clean[i] or "only.one" in clean[i] for i in range(6))
+    assert "Agentjones" in clean[10]  # copies of one text are no support
+    assert clean[66].strip() == "was in \u0130zmir" and clean[40] == texts[40]
+
+
+def test_lower_case_keeps_the_places_of_all_characters(spark):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    blocks = spark.createDataFrame([("a ".join(points[i : i + 997]),) for i in range(0, len(points), 997)], "t string")
+    assert blocks.where(F.length(pii._lowered(F.col("t"))) != F.length("t")).count() == 0
+
+
 def test_secrets(pairs):
     want, df = pairs
     got = rows(secrets.report(secrets.scan(df, secrets.train(df))), "n_assign", "n_access", "n_hex", "base_sha256")
