@@ -8,7 +8,7 @@ of its bucket. A third of the sample is kept out of training: it calibrates the
 sets a threshold for each language.
 
 Labels are read from a bounded sample (``SAMPLE_ROWS`` labelled rows by hash of the id, and of
-those at most ``SAMPLE_CHARS`` characters); the model is of fixed size and is broadcast. Every
+those the shortest of each language and label in ``SAMPLE_CHARS`` characters); the model is of fixed size and is broadcast. Every
 text is scored whole, inside Arrow batches, from its words alone.
 
 Defined cases: null and empty texts score what no word scores; without labels, or with one label
@@ -239,6 +239,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def _within(rows: list, most: int) -> list:
+    """The rows whose ``n`` fit into ``most`` characters, so that only the longest texts are left out.
+
+    Each language and label has its share of the characters by its rows and takes its shortest
+    texts first; what shares leave over goes to the shortest of the rest.
+    """
+    order = sorted(rows, key=lambda r: (r["n"], r["doc_id"]))
+    strata = [(r["lang"], r["toxic"] > 0) for r in order]
+    share = {s: most * strata.count(s) // len(order) for s in set(strata)}
+    chosen, rest = [], []
+    for row, stratum in zip(order, strata, strict=True):
+        fits = row["n"] <= share[stratum]
+        share[stratum] -= row["n"] if fits else 0
+        (chosen if fits else rest).append(row)
+    left = most - sum(r["n"] for r in chosen)
+    for row in rest:
+        if row["n"] > left:
+            break  # the rest is longer
+        left -= row["n"]
+        chosen.append(row)
+    return chosen
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the sample of labelled rows that are not held out."""
     known = (
@@ -251,13 +274,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     )
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))  # bounded rows
     text = F.coalesce(F.col("text"), F.lit(""))
-    lengths = docs.join(sample, "doc_id").groupBy("doc_id").agg(F.max(F.length(text)).alias("n"), F.first("toxic").alias("toxic"))
-    chosen, used = [], 0
-    for row in lengths.orderBy(F.xxhash64("doc_id")).collect():  # SAMPLE_ROWS rows at most
-        used += row["n"]
-        if used > SAMPLE_CHARS:
-            break
-        chosen.append((row["doc_id"], int(row["toxic"])))
+    length = F.max(F.length(text)).alias("n")
+    lengths = docs.join(sample, "doc_id").groupBy("doc_id").agg(length, F.first("toxic").alias("toxic"), F.min("lang").alias("lang"))
+    chosen = [(row["doc_id"], int(row["toxic"])) for row in _within(lengths.collect(), SAMPLE_CHARS)]  # SAMPLE_ROWS rows at most
     picked = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, toxic int")
     rows = docs.select("doc_id", text.alias("text"), "lang").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     found = sorted(rows.select(F.xxhash64("doc_id"), "text", "toxic", "lang").toArrow().to_pylist(), key=lambda r: list(r.values())[0])

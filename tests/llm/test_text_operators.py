@@ -220,6 +220,17 @@ def test_toxicity_learns_and_ignores_ids_and_languages(spark, documents):
     assert all(abs(by_id[r["doc_id"]] - r["score"]) < 1e-9 for r in got)
 
 
+def test_long_texts_do_not_end_the_toxicity_sample(spark, monkeypatch):
+    texts = ["long " * 9_000 if i % 10 == 0 else f"short text {i}" for i in range(200)]
+    df = spark.createDataFrame([(i, t, "en", i % 2) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20_000)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, langs: seen.extend(texts))
+    toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
+    known = df.where(~toxicity.held_out(F.col("doc_id")) & (F.length("text") < 100))
+    assert sorted(seen) == sorted(r["text"] for r in known.collect())
+
+
 def test_mixing_follows_the_law(spark):
     df = spark.createDataFrame([(i, "x" * 10, "big" if i % 3 else "small") for i in range(6000)], "doc_id bigint, text string, source string")
     mixed = mixing.mix(df, targets={"big": 0.5, "small": 0.5})
