@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from branchtally.llm import bpe, licenses, mixing, ngram_join, pii, quality, secrets, sharding, toxicity
+from branchtally.llm import bpe, infill, licenses, mixing, ngram_join, pieces, pii, quality, secrets, sharding, toxicity
 from branchtally.llm.catalog import ORACLES, QUERIES
 from tests.oracle import connect, difference
 
@@ -18,13 +18,15 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 RUNS = {
     "toxicity": lambda d, labels: toxicity.assess(d, labels),
     "pii": lambda d, labels: pii.report(pii.scan(d)),
     "bpe": lambda d, labels: bpe.digests(d),
+    "infill": lambda d, labels: infill.digests(d),
+    "pieces": lambda d, labels: pieces.digests(d),
     "mixing": lambda d, labels: mixing.mix(d),
     "ngram": lambda d, labels: ngram_join.groups(d),
     "licenses": lambda d, labels: licenses.scan(d),
