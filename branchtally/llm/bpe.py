@@ -34,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, small_side
+from .common import BROADCAST_ROWS, cut, small_side, store
 from .textnp import _Powers, mix
 
 #: Bytes of the rolling window, the mask whose zero cuts (2 KB on average), the least chunk shared.
 WINDOW, MASK, LEAST = 32, 2047, 96
 #: Pieces at the end of a reading that are not trusted, and pieces of a chunk tried for agreement.
 UNSURE, TRIES = 3, (8, 32, 128)
-#: Texts that are given back in one batch.
-TOGETHER = 256
+#: Texts that are given back in one batch, and shared chunks that one task encodes.
+TOGETHER, CHUNKS_A_TASK = 256, 1_000
 
 _SLICE = 1 << 18
 #: Characters for which both libraries are known to split alike: no controls, Latin letters and marks.
@@ -117,7 +117,8 @@ def pieces(encoding) -> tuple[np.ndarray, np.ndarray]:
     """(first character, first token) of each piece of an encoding."""
     words = np.array(encoding.word_ids, dtype=np.int64)
     new = np.flatnonzero(np.diff(words, prepend=-1))
-    return np.array([encoding.offsets[i][0] for i in new], np.int32), new.astype(np.int32)
+    offsets = encoding.offsets  # a new list each time it is asked for
+    return np.array([offsets[i][0] for i in new], np.int32), new.astype(np.int32)
 
 
 def _read_stretch(t, fast, text: str) -> tuple[np.ndarray, Callable[[int], list[int]]]:
@@ -170,12 +171,6 @@ def assemble(t, text: str, shared: list[tuple], fast: tuple | None = None) -> li
 # ---------------------------------------------------------------- Arrow functions
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [h for text in batch.column("text").to_pylist() for *_, h in chunks(text)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary())], names=["h"])
-
-
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(h, body) for text in batch.column("text").to_pylist() for _, _, body, h in chunks(text)]
@@ -225,24 +220,23 @@ def _encode_texts(path: str | None, digest: bool):
             ids = t.encode(text, add_special_tokens=False).ids if whole else assemble(t, text, [_taken(s) for s in plan])
             return ids, t.decode(ids, skip_special_tokens=False) if digest else None
 
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            plans = batch.column("shared").to_pylist() if "shared" in batch.schema.names else [None] * len(texts)
-            for low in range(0, len(texts), TOGETHER):
-                done = [one(*x) for x in zip(texts[low : low + TOGETHER], plans[low : low + TOGETHER], strict=True)]
-                column = batch.column("doc_id").slice(low, len(done))
-                if not digest:
-                    yield pa.RecordBatch.from_arrays([column, pa.array([i for i, _ in done], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        column,
-                        pa.array([len(i) for i, _ in done], pa.int64()),
-                        pa.array([hashlib.sha256(",".join([shown[x] for x in i]).encode()).hexdigest() for i, _ in done]),
-                        pa.array([hashlib.sha256(back.encode()).hexdigest() for _, back in done]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for batch, low in ((b, low) for b in batches for low in range(0, b.num_rows, TOGETHER)):
+            part = batch.slice(low, TOGETHER)  # plans hold more than their texts, so few at once
+            plans = part.column("shared").to_pylist() if "shared" in batch.schema.names else [None] * part.num_rows
+            done = [one(*x) for x in zip(part.column("text").to_pylist(), plans, strict=True)]
+            column = part.column("doc_id")
+            if not digest:
+                yield pa.RecordBatch.from_arrays([column, pa.array([i for i, _ in done], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column,
+                    pa.array([len(i) for i, _ in done], pa.int64()),
+                    pa.array([hashlib.sha256(",".join([shown[x] for x in i]).encode()).hexdigest() for i, _ in done]),
+                    pa.array([hashlib.sha256(back.encode()).hexdigest() for _, back in done]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return run
 
@@ -265,13 +259,20 @@ def _decode(path: str | None):
 # ---------------------------------------------------------------- Spark
 
 
-def _shared_chunks(read: DataFrame, path: str | None) -> tuple[DataFrame, DataFrame]:
-    """(digests of chunks that occur more than once, their tokens), each stored."""
-    shared = cut(read.select("text").mapInArrow(_digests, "h binary").groupBy("h").count().where("count > 1").select("h"))
+def _chunk_places(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(where each text's chunks are, digests of the chunks that occur more than once), stored."""
+    places = store(keyed.select("k1", "k2", "text").mapInArrow(_places, "k1 bigint, k2 bigint, begin int, end int, h binary"))
+    return places, cut(places.groupBy("h").count().where("count > 1").select("h"))
+
+
+def _shared_tokens(read: DataFrame, shared: DataFrame, path: str | None) -> DataFrame:
+    """The tokens of each shared chunk, stored."""
     # of each shared chunk one body; equal bodies are combined in the map tasks
     bodies = read.select("text").mapInArrow(_bodies, "h binary, body string")
     once = bodies.join(small_side(shared), "h", "left_semi").dropDuplicates(["h"])
-    return shared, cut(once.mapInArrow(_encode_chunks(path), "h binary, ids binary, at binary, first binary"))
+    # dealt by count: a chunk is some 2 KB, but costs a thousand times what moving it does
+    tasks = max(1, shared.count() // CHUNKS_A_TASK)
+    return cut(once.repartition(tasks, "h").mapInArrow(_encode_chunks(path), "h binary, ids binary, at binary, first binary"))
 
 
 def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
@@ -279,10 +280,11 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
     read = docs.select("doc_id", text.alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    shared, tokens = _shared_chunks(read, path)
     keyed = read.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    # every text is cut once; the places name its chunks by digest
+    places, shared = _chunk_places(keyed)
+    tokens = _shared_tokens(read, shared, path)
     # places of shared chunks, once for equal texts
-    places = keyed.select("k1", "k2", "text").mapInArrow(_places, "k1 bigint, k2 bigint, begin int, end int, h binary")
     placed = places.join(small_side(shared), "h", "left_semi").distinct()
     plans = cut(
         placed.join(tokens, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "ids", "at", "first")).alias("shared"))

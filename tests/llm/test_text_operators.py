@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -193,8 +195,8 @@ def test_bpe_round_trip_and_shared_chunks(documents):
     back = rows(bpe.decode(bpe.encode(some)), "text")
     assert back == rows(some, "text")
     twice = some.unionAll(some).selectExpr("doc_id", "text")
-    shared, tokens = bpe._shared_chunks(twice, None)
-    assert 0 < tokens.count() == shared.count()
+    places, shared = bpe._chunk_places(twice.selectExpr("1L as k1", "2L as k2", "text"))
+    assert 0 < bpe._shared_tokens(twice, shared, None).count() == shared.count() == places.select("h").distinct().count()
 
 
 def test_toxicity_learns_and_ignores_ids_and_languages(spark, documents):
@@ -250,3 +252,12 @@ def test_poisson_table(spark):
     table = df.first()[0]
     want = np.cumsum([exp(-2.5) * 2.5**k / factorial(k) for k in range(20)])
     assert np.allclose(table[:20], want) and table[-1] == pytest.approx(1.0)
+
+
+def test_pieces_of_a_long_chunk_are_read_in_one_go():
+    """Its offsets are asked for once; asked for by piece, 12,000 tokens took over 7 s."""
+    e = bpe.tokenizer(None).encode("some words of a chunk, and more. " * 1_500, add_special_tokens=False)
+    begin = time.perf_counter()
+    at, first = bpe.pieces(e)
+    assert len(e.ids) > 12_000 and time.perf_counter() - begin < 0.5
+    assert [e.offsets[int(first[-1])][0]] == [int(at[-1])]
