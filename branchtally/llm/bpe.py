@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,10 +196,8 @@ def _encode_chunks(path: str | None):
             out = []
             for body in batch.column("body").to_pylist():
                 e = t.encode(body, add_special_tokens=False)
-                at, first = pieces(e)
-                out.append((np.array(e.ids, np.int32).tobytes(), at.tobytes(), first.tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("h"), *(pa.array(c, pa.binary()) for c in columns)], names=["h", "ids", "at", "first"])
+                out.append(pack_reading(e.ids, *pieces(e)))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(out, pa.binary())], names=["h", "reading"])
 
     return run
 
@@ -241,9 +240,21 @@ def _encode_texts(path: str | None, digest: bool):
     return run
 
 
+def pack_reading(ids: list[int], at: np.ndarray, first: np.ndarray) -> bytes:
+    """A chunk's ids and pieces, compressed: it moves once for every text that holds the chunk."""
+    steps = [np.diff(x, prepend=0).astype(np.int32) for x in (at, first)]
+    return zstandard.compress(np.concatenate([np.array([len(ids)], np.int32), np.array(ids, np.int32), *steps]).tobytes())
+
+
+def unpack_reading(packed: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.int32)
+    n = 1 + int(raw[0])
+    at, first = np.cumsum(raw[n:].reshape(2, -1), axis=1, dtype=np.int32)
+    return raw[1:n].tolist(), at, first
+
+
 def _taken(s: dict) -> tuple:
-    numbers = [np.frombuffer(s[c], np.int32) for c in ("ids", "at", "first")]
-    return s["begin"], s["end"], numbers[0].tolist(), numbers[1], numbers[2]
+    return s["begin"], s["end"], *unpack_reading(s["reading"])
 
 
 def _decode(path: str | None):
@@ -272,7 +283,7 @@ def _shared_tokens(read: DataFrame, shared: DataFrame, path: str | None) -> Data
     once = bodies.join(small_side(shared), "h", "left_semi").dropDuplicates(["h"])
     # dealt by count: a chunk is some 2 KB, but costs a thousand times what moving it does
     tasks = max(1, shared.count() // CHUNKS_A_TASK)
-    return cut(once.repartition(tasks, "h").mapInArrow(_encode_chunks(path), "h binary, ids binary, at binary, first binary"))
+    return cut(once.repartition(tasks, "h").mapInArrow(_encode_chunks(path), "h binary, reading binary"))
 
 
 def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
@@ -287,7 +298,7 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
     # places of shared chunks, once for equal texts
     placed = places.join(small_side(shared), "h", "left_semi").distinct()
     plans = cut(
-        placed.join(tokens, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "ids", "at", "first")).alias("shared"))
+        placed.join(tokens, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "reading")).alias("shared"))
     )  # one text's chunks in a row
     names = plans.select("k1", "k2")
     if names.count() <= BROADCAST_ROWS:
