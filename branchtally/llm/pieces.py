@@ -5,52 +5,51 @@ a marker behind another character, no merge crosses the place between a word and
 follows, so a text falls into marked words (markers, then characters up to the next marker) that
 are segmented apart from each other, and the ids of a text are the ids of its words in order.
 
-The distinct-chunk table: map tasks count their words before the exchange; each word that occurs
-more than once in the corpus is segmented once and stored with its ids. Ids are joined back by
-position in two parts:
-
-- the most frequent words, up to a fixed number and a fixed size together, go to every task as
-  one dictionary (words in a large share of all documents are always among them);
-- the other words of the table are joined by hash, one row for each text and word, and reach
-  their text as one list; equal texts share it.
-
-A text's task walks its words in order and takes their ids from the two; words that occur once
-in the corpus are segmented there and then, which is once as well. Decoding is the library's own
-``decode`` of all ids of a text.
+The distinct-chunk table is dealt by hash of the word. Map tasks gather texts into blocks of
+bounded size; a block sends each part of the table the words it holds of that part, once and in
+sorted order, packed. A part segments every distinct word once and answers each block in the
+order of its question, so that what travels back is ids alone. A block's texts then meet its
+answers, and ids are joined back by position: the texts are walked word by word. Decoding is the
+library's own ``decode`` of all ids of a text.
+
+Why packed blocks and not a row for each text and word: on invented prose nearly a fifth of all
+words lie outside any dictionary that could be broadcast, and such rows took four times the disk.
+Sorted words of a block take a few bytes each, its texts move compressed. No word is a hot key
+(a block names it once however often it stands there), and nothing is broadcast. Blocks are named
+by their content: should a task be run again with other rows in its blocks, words that were not
+answered are segmented in their block, so the ids are right in any case.
 
 A model whose pieces do cross markers, that folds characters or white space, or that has pieces
 of user symbols, is not split: its texts are encoded whole (``splits``; tests cover both).
 
 Defined cases: null texts are empty; empty texts have no ids; texts of spaces are one word of
-markers; markers in the text itself count as spaces, as they do in the library; very long texts
-and very long words are taken whole (memory some ten times one text); repeated rows come out
-repeated; null ids pass through; empty tables give an empty result; further columns are not read.
+markers; markers in the text itself count as spaces, as they do in the library; a text longer
+than a block is a block, and very long words are taken whole (memory some thirty times a block);
+repeated rows come out repeated; null ids pass through; empty tables give an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_side, store
-
 MARK = "▁"
-#: Words that go to every task, and the bytes that they and their ids may take together.
-HOT_WORDS, HOT_BYTES = 65_536, 8 << 20
-#: Distinct words that a map task holds before it gives their counts on.
-COUNTED = 400_000
-#: Texts that are given back in one batch.
-TOGETHER = 256
-#: Words that one task segments, and (text, word) rows of one task; tasks are dealt by count.
-WORDS_A_TASK = 50_000
+#: Characters of the texts that are gathered into one block; a longer text is a block of its own.
+BLOCK = 8_000_000
+#: Bytes of all texts for one part of the table (some 300,000 words of the blocks).
+PART_BYTES = 16 << 20
+#: Texts, and words, that the library is given at once.
+TOGETHER = 10_000
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -90,101 +89,198 @@ def marked_words(text: str) -> list[str]:
 def segment(sp, words: list[str]) -> list[list[int]]:
     """The ids of each marked word. The library puts the first marker there by itself."""
     alone = sp.piece_to_id(MARK)
-    found = sp.encode([w[1:] for w in words], num_threads=1)
+    found: list[list[int]] = []
+    for low in range(0, len(words), TOGETHER):
+        found += sp.encode([w[1:] for w in words[low : low + TOGETHER]], num_threads=1)
     return [ids if len(w) > 1 else [alone] for w, ids in zip(words, found, strict=True)]
 
 
-def name(word: str) -> bytes:
-    return xxhash.xxh3_128_digest(word.encode())
+# ---------------------------------------------------------------- packing
 
 
-# ---------------------------------------------------------------- Arrow functions
+def pack_words(words: list[str]) -> bytes:
+    """Words with their lengths, compressed."""
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return zstandard.compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + "".join(words).encode())
+
+
+def unpack_words(packed: bytes) -> list[str]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64).tolist()
+    text = raw[4 + 4 * n :].decode()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def pack_ids(lists: list[list[int]]) -> bytes:
+    """Lists of ids with their lengths, compressed."""
+    sizes = np.fromiter(map(len, lists), np.uint32, len(lists))
+    flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+    return zstandard.compress(np.uint32(len(lists)).tobytes() + sizes.tobytes() + flat.tobytes())
+
+
+def unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths of the lists, all ids in a row)."""
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint32)
+    return raw[1 : 1 + int(raw[0])], raw[1 + int(raw[0]) :]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush() -> pa.RecordBatch:
-        columns = [pa.array(map(name, counts), pa.binary()), pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["h", "word", "c"])
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, list[str]]]:
+    """(digest of the texts, ids, texts) of blocks of whole texts."""
+    ids, texts, held = [], [], 0
+
+    def block():
+        digest = xxhash.xxh3_128()
+        for text in texts:
+            raw = text.encode()
+            digest.update(len(raw).to_bytes(8, "little"))
+            digest.update(raw)
+        return digest.digest(), pa.concat_arrays(ids), texts
 
-    counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(marked_words(text))
-            if len(counts) >= COUNTED:
-                yield flush()
-                counts = Counter()
-    if counts:
-        yield flush()
+        column, begin = batch.column("doc_id"), 0
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            if texts and held + len(text) > BLOCK:
+                ids.append(column.slice(begin, i - begin))
+                yield block()
+                ids, texts, held, begin = [], [], 0, i
+            texts.append(text)
+            held += len(text)
+        ids.append(column.slice(begin))
+    if texts:
+        yield block()
+
+
+def coded(texts: list[str]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """(a number for each distinct marked word, the numbers of each text's words in order)."""
+    numbers: dict[str, int] = {}
+    codes = []
+    for text in texts:
+        words = marked_words(text)
+        codes.append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int32, len(words)))
+    return numbers, codes
+
+
+def by_part(distinct: Iterable[str], parts: int) -> list[list[str]]:
+    """Distinct words by part of the table, each part sorted."""
+    out: list[list[str]] = [[] for _ in range(parts)]
+    for word in sorted(distinct):
+        out[xxhash.xxh3_64_intdigest(word.encode()) % parts].append(word)
+    return out
 
 
-def _segment_words(path: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(path)
-        for batch in batches:
-            ids = [np.array(i, np.int32).tobytes() for i in segment(sp, batch.column("word").to_pylist())]
-            columns = [batch.column("h"), batch.column("word"), batch.column("c"), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "word", "c", "ids"])
+# ---------------------------------------------------------------- Arrow functions
 
-    return run
+
+def _binary(*columns) -> list[pa.Array]:
+    return [pa.array(c, pa.binary()) for c in columns]
 
 
-def _other_words(hot):
-    """(text, word) rows of the words that are not in the dictionary, by hash, once a text."""
+def _questions(parts: int):
+    """One row for each block and part: the block's words of that part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        for batch in batches:
-            k1, k2, rows = batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                rows += [(k1[i], k2[i], name(w)) for w in set(marked_words(text)) if w not in known]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k1", "k2", "h"]
-            )
+        for name, _, texts in blocks(batches):
+            distinct: set[str] = set()
+            for text in texts:
+                distinct.update(marked_words(text))
+            rows = [(p, pack_words(words)) for p, words in enumerate(by_part(distinct, parts)) if words]
+            if rows:
+                names, packed = _binary([name] * len(rows), [w for _, w in rows])
+                yield pa.RecordBatch.from_arrays([names, pa.array([p for p, _ in rows], pa.int32()), packed], names=["block", "part", "words"])
 
     return run
 
 
-def _encode_texts(path: str | None, hot, digest: bool):
-    """Per text its ids, or their count and the digests of ids and of the decoded text.
+def _answers(path: str | None):
+    """A part of the table: every distinct word segmented once, the blocks' words answered in order."""
 
-    ``hot`` is the dictionary of frequent words; without one, texts are encoded whole.
-    """
+    def run(part: pa.Table) -> pa.Table:
+        asked = [unpack_words(w) for w in part.column("words").to_pylist()]
+        distinct = list(set(itertools.chain.from_iterable(asked)))
+        table = dict(zip(distinct, segment(processor(path), distinct), strict=True))
+        packed = [pack_ids([table[w] for w in words]) for words in asked]
+        return pa.table([part.column("block"), part.column("part"), pa.chunked_array(_binary(packed))], names=["block", "part", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block: its documents as a compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for name, ids, texts in blocks(batches):
+        sink = pa.BufferOutputStream()
+        docs = pa.record_batch([ids, pa.array(texts, pa.large_string())], names=["doc_id", "text"])
+        with pa.ipc.new_stream(sink, docs.schema, options=options) as stream:
+            stream.write_batch(docs)
+        yield pa.RecordBatch.from_arrays(_binary([name], [sink.getvalue().to_pybytes()]), names=["block", "docs"])
+
+
+def word_ids(sp, numbers: dict[str, int], answers: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each numbered word's ids begin, how many they are, all ids), from a block's answers."""
+    begins, sizes = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    flat, held = [np.zeros(0, np.uint32)], 0
+    for p, words in enumerate(by_part(numbers, parts)):
+        if not words:
+            continue
+        counts, ids = unpack_ids(answers[p]) if p in answers else ((), None)
+        if len(counts) != len(words):  # not answered
+            counts, ids = unpack_ids(pack_ids(segment(sp, words)))
+        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        sizes[at] = counts
+        begins[at] = held + np.cumsum(counts, dtype=np.int64) - counts
+        flat.append(ids)
+        held += len(ids)
+    return begins, sizes, np.concatenate(flat)
+
+
+def ids_at(codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The ids of a text's words, one word after the other."""
+    n = sizes[codes]
+    before = np.cumsum(n) - n
+    return flat[np.arange(int(n.sum())) + np.repeat(begins[codes] - before, n)]
+
+
+def _joined(path: str | None, parts: int, digest: bool, schema: pa.Schema):
+    """A block's texts and its answers: ids joined back by position."""
+
+    def run(gathered: pa.Table, answered: pa.Table) -> pa.Table:
         sp = processor(path)
-        known = hot.value if hot else None
         shown = [str(i) for i in range(sp.get_piece_size())]
+        answers = dict(zip(answered.column("part").to_pylist(), answered.column("ids").to_pylist(), strict=True))
+        out = []
+        for packed in gathered.column("docs").to_pylist():
+            docs = pa.ipc.open_stream(packed).read_all().combine_chunks()
+            numbers, codes = coded(docs.column("text").to_pylist())
+            found = word_ids(sp, numbers, answers, parts)
+            rows = [ids_at(c, *found).tolist() for c in codes] if not digest else [_digest(sp, ids_at(c, *found).tolist(), shown) for c in codes]
+            out.append(_result(docs.column("doc_id"), rows, digest, schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
+def _digest(sp, ids: list[int], shown: list[str]) -> tuple[int, str, str]:
+    """How many ids, and the digests of the ids and of the text that they decode to."""
+    text = ",".join(map(shown.__getitem__, ids))
+    return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(sp.decode(ids, num_threads=1).encode()).hexdigest()
+
+
+def _result(doc_ids, rows: list, digest: bool, schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3 if digest else [rows]
+    return pa.table([doc_ids, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+
 
-        def one(text: str, taken: list | None) -> list[int]:
-            if known is None:
-                return sp.encode(text)
-            words = marked_words(text)
-            table = {s["h"]: np.frombuffer(s["ids"], np.int32).tolist() for s in taken or ()}
-            other = {w: table.get(name(w)) for w in words if w not in known}
-            alone = [w for w, ids in other.items() if ids is None]
-            if alone:
-                other.update(zip(alone, segment(sp, alone), strict=True))
-            return [i for w in words for i in (known.get(w) or other[w])]
+def _whole(path: str | None, digest: bool, schema: pa.Schema):
+    """Texts encoded whole, for models that are not split."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = processor(path)
+        shown = [str(i) for i in range(sp.get_piece_size())]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            plans = batch.column("taken").to_pylist() if "taken" in batch.schema.names else [None] * len(texts)
-            for low in range(0, len(texts), TOGETHER):
-                done = [one(*x) for x in zip(texts[low : low + TOGETHER], plans[low : low + TOGETHER], strict=True)]
-                column = batch.column("doc_id").slice(low, len(done))
-                if not digest:
-                    yield pa.RecordBatch.from_arrays([column, pa.array(done, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        column,
-                        pa.array(map(len, done), pa.int64()),
-                        pa.array([hashlib.sha256(",".join([shown[i] for i in ids]).encode()).hexdigest() for ids in done], pa.string()),
-                        pa.array([hashlib.sha256(back.encode()).hexdigest() for back in map(sp.decode, done)], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+            found = sp.encode(batch.column("text").to_pylist(), num_threads=1)
+            rows = [_digest(sp, ids, shown) for ids in found] if digest else found
+            yield from _result(batch.column("doc_id"), rows, digest, schema).to_batches()
 
     return run
 
@@ -202,61 +298,25 @@ def _decode(path: str | None):
 # ---------------------------------------------------------------- Spark
 
 
-def word_table(read: DataFrame, path: str | None) -> DataFrame:
-    """``h, word, c, ids`` of every marked word that occurs more than once, stored."""
-    counted = read.select("text").mapInArrow(_count_words, "h binary, word string, c bigint")
-    shared = store(counted.groupBy("h").agg(F.sum("c").alias("c"), F.first("word").alias("word")).where("c > 1"))
-    tasks = max(1, shared.count() // WORDS_A_TASK)
-    return store(shared.repartition(tasks, "h").mapInArrow(_segment_words(path), "h binary, word string, c bigint, ids binary"))
-
-
-def _most_frequent(table: DataFrame) -> list[tuple[bytes, str, bytes]]:
-    """The dictionary for every task: by count, at most HOT_WORDS words and HOT_BYTES in all.
-
-    Sizes come first, so that nothing larger than the bound reaches the driver.
-    """
-    size = F.octet_length("word") + F.octet_length("ids")
-    first = table.select("h", "c", size.alias("size")).orderBy(F.desc("c"), "h").limit(HOT_WORDS).collect()
-    chosen, held = [], 0
-    for row in sorted(first, key=lambda r: (-r["c"], r["h"])):
-        if held + row["size"] <= HOT_BYTES:
-            chosen.append((bytes(row["h"]),))
-            held += row["size"]
-    if not chosen:
-        return []
-    names = table.sparkSession.createDataFrame(pa.table({"h": pa.array([h for h, in chosen], pa.binary())}))
-    return [tuple(r) for r in table.join(F.broadcast(names), "h").select("h", "word", "ids").collect()]
-
-
 def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
-    spark = docs.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
+
     read = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
+    id_type = docs.schema["doc_id"].dataType
+    results = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    results = results if digest else [("ids", "array<int>", pa.list_(pa.int32()))]
+    spark_schema = f"doc_id {id_type.simpleString()}, " + ", ".join(f"{n} {s}" for n, s, _ in results)
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), *((n, a) for n, _, a in results)])
     if not splits(path):
-        return read.mapInArrow(_encode_texts(path, None, digest), schema)
-    table = word_table(read, path)
-    frequent = _most_frequent(table)
-    hot = spark.sparkContext.broadcast({word: np.frombuffer(ids, np.int32).tolist() for _, word, ids in frequent})
-    run = _encode_texts(path, hot, digest)
-    if len(frequent) == table.count():
-        return read.mapInArrow(run, schema)
-
-    # the rest of the table, by hash; ``names`` holds all words whose ids come this way
-    given = spark.createDataFrame(pa.table({"h": pa.array([h for h, _, _ in frequent], pa.binary())}))
-    rest = store(table.join(F.broadcast(given), "h", "left_anti").select("h", "ids"))
-    keyed = read.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-    met = keyed.select("k1", "k2", "text").mapInArrow(_other_words(hot), "k1 bigint, k2 bigint, h binary")
-    once = met.join(small_side(rest.select("h")), "h", "left_semi").distinct()
-    plans = store(once.join(rest, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "ids")).alias("taken")))
-    texts = plans.select("k1", "k2")
-    if texts.count() <= BROADCAST_ROWS:
-        # texts of frequent and single words are encoded where they are
-        texts = F.broadcast(texts)
-        alone = keyed.join(texts, ["k1", "k2"], "left_anti").select("doc_id", "text")
-        parts = keyed.join(texts, ["k1", "k2"], "left_semi").join(plans, ["k1", "k2"]).select("doc_id", "text", "taken")
-        return alone.mapInArrow(run, schema).unionAll(parts.mapInArrow(run, schema))
-    return keyed.join(plans, ["k1", "k2"], "left").select("doc_id", "text", "taken").mapInArrow(run, schema)
+        return read.mapInArrow(_whole(path, digest, schema), spark_schema)
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // PART_BYTES
+    # dealt by count: packed words are few bytes for the work they make
+    asked = read.mapInArrow(_questions(parts), "block binary, part int, words binary").repartition(parts, "part")
+    answered = asked.groupBy("part").applyInArrow(_answers(path), "block binary, part int, ids binary")
+    gathered = read.mapInArrow(_gathered, "block binary, docs binary")
+    both = (df.repartition(parts, "block").groupBy("block") for df in (gathered, answered))
+    return next(both).cogroup(next(both)).applyInArrow(_joined(path, parts, digest, schema), spark_schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -166,23 +166,18 @@ def piece_digest(sp, text):
     return len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))
 
 
-@pytest.mark.parametrize("hot", [65_536, 50, 0])
-def test_pieces_match_the_library(spark, pairs, monkeypatch, hot):
-    """With all words in the dictionary, with some joined by hash, and with all joined."""
-    monkeypatch.setattr(pieces, "HOT_WORDS", hot)
+@pytest.mark.parametrize(("block", "part"), [(8_000_000, 1 << 24), (20_000, 50_000), (1, 1 << 24)])
+def test_pieces_match_the_library(spark, pairs, monkeypatch, block, part):
+    """In one block and part, in many, and with a block for each text."""
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    monkeypatch.setattr(pieces, "PART_BYTES", part)
     rows, df = pairs
+    rows, df = (rows, df) if block > 1 else (rows[:150], spark.createDataFrame(rows[:150], "doc_id bigint, text string"))
     sp = pieces.processor(None)
-    got = sorted(tuple(r) for r in pieces.digests(df.selectExpr("doc_id", "text", "1 as taken", "2 as k1")).collect())
+    got = sorted(tuple(r) for r in pieces.digests(df.selectExpr("doc_id", "text", "1 as block", "2 as part")).collect())
     assert got == sorted((i, *piece_digest(sp, t)) for i, t in rows)
 
 
-def test_pieces_without_a_broadcast_of_texts(spark, pairs, monkeypatch):
-    monkeypatch.setattr(pieces, "HOT_BYTES", 2_000)
-    monkeypatch.setattr(pieces, "BROADCAST_ROWS", -1)
-    sp = pieces.processor(None)
-    assert sorted(tuple(r) for r in pieces.digests(pairs[1]).collect()) == sorted((i, *piece_digest(sp, t)) for i, t in pairs[0])
-
-
 def test_pieces_encode_whole_where_words_are_not_apart(spark, pairs, monkeypatch):
     monkeypatch.setattr(pieces, "splits", lambda path: False)
     sp = pieces.processor(None)
@@ -203,15 +198,35 @@ def test_marked_words_are_segmented_apart(spark):
         assert [i for ids in pieces.segment(sp, pieces.marked_words(text)) for i in ids] == sp.encode(text)
 
 
-def test_each_shared_word_is_in_the_table_once(spark, documents):
-    table = pieces.word_table(documents.selectExpr("doc_id", "coalesce(text, '') as text"), None)
-    texts = [r["text"] or "" for r in documents.collect()]
-    counts: dict[str, int] = {}
-    for text in texts:
-        for w in pieces.marked_words(text):
-            counts[w] = counts.get(w, 0) + 1
-    assert {r["word"]: r["c"] for r in table.collect()} == {w: c for w, c in counts.items() if c > 1}
-    assert table.count() == sum(c > 1 for c in counts.values())
+def test_packed_words_and_ids_come_back():
+    words = ["▁", "▁▁", "▁a", "▁a\n\x00b", "▁" + "é" * 70_000, "▁😀"]
+    assert pieces.unpack_words(pieces.pack_words(words)) == words and pieces.unpack_words(pieces.pack_words([])) == []
+    ids = [[1], [2, 3], [], list(range(70_000))]
+    sizes, flat = pieces.unpack_ids(pieces.pack_ids(ids))
+    assert sizes.tolist() == [1, 2, 0, 70_000] and flat.tolist() == [i for part in ids for i in part]
+    assert [len(x) for x in pieces.unpack_ids(pieces.pack_ids([]))] == [0, 0]
+
+
+def test_each_distinct_word_is_segmented_once_and_unanswered_words_are_not_lost(documents, monkeypatch):
+    texts, parts, segmented = [r["text"] or "" for r in documents.collect()], 4, []
+    once = pieces.segment
+    monkeypatch.setattr(pieces, "segment", lambda sp, words: segmented.extend(words) or once(sp, words))
+    import pyarrow as pa
+
+    column = pa.array([i for i in range(len(texts))])
+    batch = pa.RecordBatch.from_arrays([column, pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(pieces, "BLOCK", 200_000)
+    asked = pa.Table.from_batches(pieces._questions(parts)(iter([batch])))
+    answers = [pieces._answers(None)(asked.filter(pa.compute.equal(asked["part"], p))) for p in range(parts)]
+    distinct = {w for t in texts for w in pieces.marked_words(t)}
+    assert len(set(asked["block"].to_pylist())) > 2 and sorted(segmented) == sorted(distinct)
+
+    sp, block = pieces.processor(None), next(pieces.blocks(iter([batch])))
+    mine = {r["part"]: r["ids"] for t in answers for r in t.to_pylist() if r["block"] == block[0]}
+    numbers, codes = pieces.coded(block[2])
+    for given in (mine, {}, {0: mine[1], 1: mine[1]}):
+        found = pieces.word_ids(sp, numbers, given, parts)
+        assert [pieces.ids_at(c, *found).tolist() for c in codes] == sp.encode(block[2])
 
 
 def test_new_queries_give_a_row_for_each_row(spark, documents):
