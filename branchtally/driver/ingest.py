@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..errors import EmptyInputError
 from ..functions import clean_cell, parse_number, strip_control_chars
 from ..sources import discover_titles, parse_lines, parse_table, pick_source
-from ..sources.lines import decode_lines
 from ..sources.local import local_frame
 from . import inputs
 from .register import registry
@@ -214,13 +213,28 @@ def ingest_metrics_midfile(spark, d):
 
 
 @query("""
-select d.doc_id, cast(u.i - 1 as bigint) as row, list_extract(string_split(d.text, chr(10)), cast(u.i as bigint)) as line
-from documents d, lateral (select unnest(generate_series(1, len(string_split(d.text, chr(10))))) as i) u
+select d.doc_id, cast(u.i - 1 as varchar) as "ID",
+  '<' || translate(list_extract(d.lines, cast(u.i as bigint)), '|"', '/^') || '>'
+    || case when not narrow then '' when lang = 'fr' then '€' when lang = 'es' then chr(129) else '' end as "SEGMEN"
+from (select doc_id, lang, string_split(text, chr(10)) as lines,
+        regexp_full_match(text, '[\\x00-\\x7F\\x{A0}-\\x{FF}]*') as narrow from documents) d,
+  lateral (select unnest(generate_series(1, len(d.lines))) as i) u
 """)
 def encoding_fallback(spark, d):
-    """Each file in the one encoding that reads all of it; text comes out unharmed."""
-    lines = decode_lines(inputs.document_lines(spark, d))
-    return lines.select(F.col("src").cast("long").alias("doc_id"), "row", "line")
+    """Each file in the one encoding that reads all of it; cells come out unharmed."""
+    extract = parse_lines(inputs.document_files(spark, d))
+    return extract.data.select(F.col("_ord.src").cast("long").alias("doc_id"), "ID", "SEGMEN")
+
+
+@query("""
+select cast(o_orderkey as varchar) as "ID", o_totalprice as "AMOUNT",
+       case o_orderpriority when '1-URGENT' then 'two' || chr(10) || chr(10) || '" lines|' when '2-HIGH' then 'a' || chr(10) || 'b'
+            when '5-LOW' then '5" pipe' else 'c|d' end as "SEGMEN"
+from orders
+""")
+def quoted_line_breaks(spark, d):
+    """Cells that hold line breaks are read as one record, across splits too."""
+    return parse_lines(inputs.broken_orders(spark, d), numeric_columns=["AMOUNT"]).data.drop("_ord")
 
 
 @query("""

@@ -101,16 +101,49 @@ def yearly_orders(spark, d) -> DataFrame:
     return lines.unionByName(titles)
 
 
-def document_lines(spark, d) -> DataFrame:
-    """Every document as a file of its own; French ones in bytes that are not UTF-8.
+def document_files(spark, d) -> DataFrame:
+    """Every document as an extract of its own, in one of three encodings.
 
-    ``line`` holds raw bytes, as the text reader delivers them.
+    ``line`` holds raw bytes, as the text reader delivers them. Lines of French files end in a
+    byte that only Windows-1252 gives a character of its own, Spanish ones in one that it does
+    not define.
     """
     docs = table(spark, d, "documents")
-    parts = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("row", "t"))
-    latin = (F.col("lang") == "fr") & F.col("t").rlike(r"^[\x00-\xFF]*$")
-    raw = F.when(latin, F.encode("t", "ISO-8859-1")).otherwise(F.encode("t", "UTF-8"))
-    return lines_from_table(parts, raw.cast("string"), F.col("row"), F.col("doc_id"))
+    narrow = F.col("text").rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    lang = F.when(narrow, F.col("lang"))
+    parts = docs.select("doc_id", lang.alias("lang"), F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
+    cell = F.concat(F.lit("<"), F.translate("t", '|"', "/^"), F.lit(">"))
+    bytes_of = lambda tail: F.concat(F.encode(cell, "ISO-8859-1"), F.unhex(F.lit(tail)))
+    raw = (
+        F.when(F.col("lang") == "fr", bytes_of("80"))
+        .when(F.col("lang") == "es", bytes_of("81"))
+        .otherwise(F.encode(cell, "UTF-8"))
+    )
+    line = F.concat(F.encode(F.concat(F.col("n").cast("string"), F.lit("|")), "UTF-8"), raw)
+    body = lines_from_table(parts, line.cast("string"), F.col("n") + 1, F.col("doc_id"))
+    titles = lines_from_table(docs, F.lit("ID|SEGMEN"), F.lit(0), F.col("doc_id"))
+    return titles.unionByName(body)
+
+
+def broken_orders(spark, d) -> DataFrame:
+    """Orders with quoted cells over several lines, some across splits, and quotes that mean nothing."""
+    orders = table(spark, d, "orders")
+    key, priority = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    amount = F.format_string("%.2f", F.col("o_totalprice"))
+    urgent = F.array(F.concat(key, F.lit('|"two')), F.lit(""), F.concat(F.lit('"" lines|"|'), amount))
+    high = F.array(F.concat(key, F.lit('|"a')), F.concat(F.lit('b"|'), amount))
+    stray = F.array(F.concat(key, F.lit('|5" pipe|'), amount))
+    plain = F.array(F.concat(key, F.lit('|"c|d"|'), amount))
+    parts = (
+        F.when(priority == "1-URGENT", urgent)
+        .when(priority == "2-HIGH", high)
+        .when(priority == "5-LOW", stray)
+        .otherwise(plain)
+    )
+    lines = orders.select("o_orderkey", F.posexplode(parts).alias("n", "line"))
+    # row numbers far apart, so that the table falls into many splits, at any line of an order
+    numbered = lines_from_table(lines, F.col("line"), (F.col("o_orderkey") * 3 + F.col("n")) * 999)
+    return with_lines(numbered, {-1: "ID|SEGMEN|AMOUNT"})
 
 
 # -- references, masters, registers ----------------------------------------------------

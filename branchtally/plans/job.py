@@ -58,26 +58,25 @@ def run_job(
     encoding: str | None = None,
     fmt: str = "parquet",
     staging_path: str | None = None,
-    multiline: bool = False,
 ) -> RunReport:
     """Run one report from text files and write summary, detail and metadata.
 
     Without a ``delimiter`` the report's own is used: a comma for balances, else a bar. With
     ``staging_path`` the cleaned rows are stored there once and every output reads the columns
     it needs from that table, instead of parsing the text again; all columns are checked
-    before. ``multiline`` lets quoted cells hold line breaks.
+    before.
     """
     try:
         return _run(
             spark, report_id, raw, output_path, reference, master, choice, delimiter, key,
-            encoding, fmt, staging_path, multiline,
+            encoding, fmt, staging_path,
         )
     except Exception as exc:  # the boundary: a run ends in a report, never in a trace
         return RunReport(False, output_path, error=f"{type(exc).__name__}: {exc}")
 
 
 def _run(spark, report_id, raw, output_path, reference, master, choice, delimiter, key,
-         encoding, fmt, staging_path, multiline) -> RunReport:
+         encoding, fmt, staging_path) -> RunReport:
     spec = get_report(report_id)
     balances = spec.kind == "balances"
     hints: Sequence[str] = (
@@ -90,7 +89,6 @@ def _run(spark, report_id, raw, output_path, reference, master, choice, delimite
         numeric_columns=spec.numeric_columns,
         title_hints=hints,
         encoding=encoding,
-        multiline=multiline,
     ).require_rows()
     malformed, header_row = extract.ingest()
     rows = extract.data

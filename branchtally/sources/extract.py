@@ -1,13 +1,18 @@
 """Delimited extracts: find the title row wherever it is, parse around it, clean cells.
 
-Two passes over the text. The first is one aggregate with a few values per file: which
-encoding reads the whole file, and where its title row is. The second parses. Neither
-sorts or shuffles lines.
+Two passes over the text. The first is one aggregate with a few values per file split: which
+encoding reads the whole file, where its title row is and how many lines are above it, and
+whether quoted cells hold line breaks. The second parses. Neither sorts or shuffles lines; only
+files with line breaks in cells are read as records first (``records``).
+
+Each source has a layout of its own: where in its rows each column of the whole extract stands.
+Layouts are data next to the lines, so any number of them parses like one.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -30,10 +35,11 @@ from ..functions import (
     text_list,
     unique_headers,
 )
-from ..operators.joins import left_lookup
+from ..operators.joins import fits_broadcast, left_lookup
 from ..session import ensure_checkpoint_dir
 from .local import local_frame
-from .lines import decode_line, file_encoding, from_latin, line_traits, read_lines
+from .lines import decode_line, file_encoding, line_traits, read_lines
+from .records import opens_quote, whole_records
 
 # Cells that mark a row as column titles (two exact hits are enough).
 TITLE_HINTS = (
@@ -51,12 +57,9 @@ MIN_FILLED_CELLS = 2
 # Cells read as empty when a row's filled cells are counted.
 EMPTY_LOOKALIKES = ("", "NAN", "NONE", "NAT", "<NA>", "NATYPE")
 
-# Up to this many files, per-file facts are held on the driver (one small row each).
+# Up to this many files, per-file facts are held on the driver (one small row each); the facts
+# of more are stored and joined. Both are made by the same functions.
 MAX_LOCAL_FILES = 10_000
-# Lines looked at before a pass over a whole file is worth it.
-HEAD_LINES = 1_000
-# Different column layouts in one read; more than this is not one extract.
-MAX_LAYOUTS = 500
 
 _END = "\x01"
 
@@ -90,10 +93,11 @@ class Extract:
     def metrics(self) -> DataFrame:
         """One row per source: rows kept and malformed, and the 1-based title row."""
         v = F.col("_verdict")
+        # lines above the titles were counted when the titles were found, however the file was
+        # split; only rows numbered by a table with gaps are counted here, by their numbers
         before = F.struct("blk", "row") < F.struct("_title_blk", "_title_row")
-        header_row = F.when(
-            F.max("_promoted"), F.count_if(before) + 1
-        ).otherwise(F.lit(1).cast("long"))
+        counted = F.coalesce(F.max("_header_row"), F.count_if(before) + 1)
+        header_row = F.when(F.max("_promoted"), counted).otherwise(F.lit(1).cast("long"))
         return self.tagged.groupBy("src").agg(
             F.count_if(v == "data").alias("total_rows"),
             F.count_if(v == "malformed").alias("malformed_rows"),
@@ -157,17 +161,7 @@ def discover_titles(
 
     The title row is the first whose cells hit two known titles, however deep; without
     one it is the first line that is not blank. ``hints`` extend the known titles.
-
-    With a declared ``encoding`` a single file whose titles are near its top costs no pass
-    over the text.
     """
-    files = lines.inputFiles() if encoding else []
-    if len(files) == 1:
-        head = _head(lines, files[0])
-        if head is not None:
-            found = discover_titles(head, delimiter, hints, encoding)
-            if found.where("matched").limit(1).count():
-                return found
     line, known = F.col("line"), hint_set(hints)
     is_title = title_score(_split(line, delimiter), known) >= TITLE_SCORE
     found = _discover(
@@ -177,58 +171,74 @@ def discover_titles(
         filled=strip(line) != "",
         traits=F.lit("ascii") if encoding else line_traits(line),
         encoding=encoding,
+        opens=opens_quote(line, delimiter),
     )
     return found.withColumn("title", decode_line(F.col("title"), F.col("encoding")))
 
 
-def _head(lines: DataFrame, path: str) -> DataFrame | None:
-    """The first lines of a single text file, or None where these are no such lines."""
-    raw = lines.withColumn("line", F.col("line").cast("binary"))
-    rows = raw.take(HEAD_LINES)
-    plain = lambda p: re.sub("^file:/+", "/", p)
-    found = [(plain(r["src"]), r["blk"], r["row"]) for r in rows]
-    if found != [(plain(path), 0, n) for n in range(len(rows))]:
-        return None
-    local = local_frame(lines.sparkSession, rows, raw.schema)
-    return local.withColumn("line", F.col("line").cast("string"))
-
-
-def _discover(frame, payload, scored, filled, traits, encoding=None) -> DataFrame:
+def _discover(frame, payload, scored, filled, traits, encoding=None, opens=None) -> DataFrame:
     place = F.struct("blk", "row")
     here = F.struct("blk", "row", "payload")
+    span = F.col("span").cast("long") if "span" in frame.columns else F.lit(1).cast("long")
     # A level of its own: each of these is computed once per line.
     facts = frame.select(
         "src",
         "blk",
         "row",
+        span.alias("span"),
         payload.alias("payload"),
         filled.alias("filled"),
         traits.alias("traits"),
         scored.alias("scored"),
+        (F.lit(False) if opens is None else opens).alias("opens"),
     )
     # collect_set sees at most five values; it also makes this an object-hash aggregate,
     # so lines are not sorted by source to find the first one.
-    found = facts.groupBy("src").agg(
+    splits = facts.groupBy("src", "blk").agg(
         F.collect_set("traits").alias("traits"),
         F.min_by(here, F.when(F.col("scored"), place)).alias("matched"),
         F.min_by(here, F.when(F.col("filled"), place)).alias("first_filled"),
-        F.min(place).alias("first"),
+        F.min("row").alias("first_row"),
+        (F.max(F.col("row") + F.col("span")) - F.min("row")).alias("extent"),
+        F.sum("span").alias("lines"),
+        F.count_if("opens").alias("opens"),
+    )
+    found = splits.groupBy("src").agg(
+        F.array_distinct(F.flatten(F.collect_set("traits"))).alias("traits"),
+        F.min_by("matched", F.col("matched.blk")).alias("matched"),
+        F.min_by("first_filled", F.col("first_filled.blk")).alias("first_filled"),
+        F.min(F.struct("blk", F.col("first_row").alias("row"))).alias("first"),
+        F.collect_list(F.struct("blk", "first_row", "extent", "lines")).alias("splits"),
+        F.sum("opens").alias("opens"),
     )
-    title = F.coalesce("matched", "first_filled")
+    # columns of their own: names in the last select must not hide what it reads
+    titled = found.withColumn("at", F.coalesce("matched", "first_filled")).where(F.col("at").isNotNull())
+    numbered = titled.withColumns({"line": _line_number(F.col("at"), F.col("splits")), "hit": F.col("matched").isNotNull()})
     enc = F.lit(encoding) if encoding else file_encoding(F.col("traits"))
-    return found.where(title.isNotNull()).select(
+    return numbered.select(
         "src",
         enc.alias("encoding"),
-        title["payload"].alias("title"),
-        title["blk"].alias("title_blk"),
-        title["row"].alias("title_row"),
-        F.col("matched").isNotNull().alias("matched"),
-        (F.col("matched").isNotNull() & (F.struct(title["blk"], title["row"]) > F.col("first"))).alias(
-            "promoted"
-        ),
+        F.col("at.payload").alias("title"),
+        F.col("at.blk").alias("title_blk"),
+        F.col("at.row").alias("title_row"),
+        F.col("hit").alias("matched"),
+        (F.col("hit") & (F.struct("at.blk", "at.row") > F.col("first"))).alias("promoted"),
+        F.col("line").alias("header_row"),
+        (F.col("opens") > 0).alias("line_breaks"),
     )
 
 
+def _line_number(place: Column, splits: Column) -> Column:
+    """The 1-based line of a place in its file, for any splits: lines of the splits above it, and its own.
+
+    In a split without gaps the row numbers count its lines; in one with gaps there is no number.
+    """
+    above = F.filter(splits, lambda s: s["blk"] < place["blk"])
+    lines = F.aggregate(above, F.lit(0).cast("long"), lambda total, s: total + s["lines"])
+    own = F.filter(splits, lambda s: s["blk"] == place["blk"])[0]
+    return F.when(own["extent"] == own["lines"], lines + place["row"] - own["first_row"] + 1)
+
+
 def _parse_cells(line: Column, delimiter: str, width: int) -> Column:
     """Fields of a line as an array. Only lines with a quote need the CSV parser.
 
@@ -265,8 +275,17 @@ def parse_lines(
 
     ``encoding`` skips the detection when the files are known to be in one encoding.
     """
-    titles = discover_titles(lines, delimiter, title_hints, encoding)
-    return _assemble(lines, titles, delimiter, numeric_columns, hint_set(title_hints))
+    hints = hint_set(title_hints)
+    settled = _settle_titles(discover_titles(lines, delimiter, title_hints, encoding), delimiter)
+    broken = settled.with_line_breaks()
+    if broken is not None:
+        side = F.broadcast(broken) if fits_broadcast(broken) else broken
+        records = whole_records(lines, delimiter, broken)
+        others = lines.join(side, "src", "left_anti").withColumn("span", F.lit(1))
+        again = discover_titles(records, delimiter, title_hints, encoding)
+        lines = others.unionByName(records)
+        settled = _settle_titles(settled.found.where("not line_breaks").unionByName(again), delimiter)
+    return _assemble(lines, settled, delimiter, numeric_columns, hints)
 
 
 def parse_table(
@@ -296,26 +315,33 @@ def parse_table(
         traits=F.lit("ascii"),
         encoding="utf-8",
     ).withColumn("promoted", F.lit(True))
-    return _assemble(rows, titles, None, numeric_columns, hint_set(title_hints))
+    return _assemble(rows, _settle_titles(titles, None), None, numeric_columns, hint_set(title_hints))
 
 
 @dataclass(frozen=True)
 class _Titles:
-    """Per-source title facts (``frame``), and the distinct layouts among them."""
+    """Per-source title facts, and the column titles of each layout among them.
 
-    frame: DataFrame
+    ``rows`` holds the facts on the driver where they are few, ``facts`` the ones of the lines.
+    """
+
+    found: DataFrame
     rows: list | None
-    layouts: list[list[str]]
+    layouts: list[tuple[str, ...]]
+    facts: DataFrame
+    columns: tuple[str, ...]
 
     @property
     def any_promoted(self) -> bool:
-        return self.rows is None or any(r[4] for r in self.rows)
+        return self.rows is None or any(r["promoted"] for r in self.rows)
 
-
-_FACTS = (
-    "src string, _encoding string, _title_blk long, _title_row long, _promoted boolean, "
-    "_width int, _layout int, _title string"
-)
+    def with_line_breaks(self) -> DataFrame | None:
+        """The sources (``src``) with line breaks in quoted cells, None without any."""
+        if self.rows is None:
+            broken = self.found.where("line_breaks").select("src")
+            return None if broken.isEmpty() else broken
+        names = [(r["src"],) for r in self.rows if r["line_breaks"]]
+        return local_frame(self.found.sparkSession, names, "src string") if names else None
 
 
 def _one_text(title) -> str:
@@ -334,79 +360,74 @@ def _title_fields(title, delimiter: str | None) -> list[str]:
         return [name or "" for name in title]
     if len(delimiter) > 1:
         return title.split(delimiter)
-    return next(csv.reader([title], delimiter=delimiter), [""])
+    csv.field_size_limit(max(csv.field_size_limit(), len(title) + 1))  # a title may be as long as it is
+    return next(csv.reader(io.StringIO(title, newline="\n"), delimiter=delimiter), [""])
 
 
 def _settle_titles(titles: DataFrame, delimiter: str | None) -> _Titles:
-    """Run the discovery once and keep its result: on the driver, or checkpointed."""
+    """Run the discovery once and keep its result: on the driver, or stored.
+
+    Every different title row becomes one layout, parsed here by one parser: how many fields
+    its rows may have and, for each column of the extract, which field it is.
+    """
     spark = titles.sparkSession
-    found = titles.limit(MAX_LOCAL_FILES + 1).collect()
-    local = len(found) <= MAX_LOCAL_FILES
-    if local:
-        names = [_title_fields(r["title"], delimiter) for r in found]
-        layouts = list(dict.fromkeys(tuple(n) for _, n in sorted(zip((r["src"] for r in found), names))))
-        facts = [
-            (r["src"], r["encoding"], r["title_blk"], r["title_row"], r["promoted"],
-             len(n), layouts.index(tuple(n)), _one_text(r["title"]))
-            for r, n in zip(found, names)
-        ]
-        return _Titles(local_frame(spark, facts, _FACTS), facts, [list(n) for n in layouts])
-
-    ensure_checkpoint_dir(spark)
-    titles = titles.checkpoint()
-    if delimiter is None:
-        named = titles.withColumn("names", F.col("title"))
+    rows = titles.limit(MAX_LOCAL_FILES + 1).collect()
+    if len(rows) <= MAX_LOCAL_FILES:
+        found = local_frame(spark, [tuple(r) for r in rows], titles.schema)
+        first = {}
+        for r in sorted(rows, key=lambda r: r["src"]):
+            first.setdefault(_one_text(r["title"]), r["title"])
     else:
-        widest = titles.select(F.max(F.size(_split(F.col("title"), delimiter)))).first()[0]
-        named = titles.withColumn("names", _parse_cells(F.col("title"), delimiter, widest))
-    per_layout = named.groupBy("names").agg(F.min("src").alias("s")).orderBy("s")
-    layouts = [list(r["names"]) for r in per_layout.limit(MAX_LAYOUTS + 1).collect()]
-    numbered = local_frame(
-        spark, [(names, i) for i, names in enumerate(layouts)], "names array<string>, _layout int"
-    )
-    facts = named.join(F.broadcast(numbered), "names").select(
+        rows = None
+        ensure_checkpoint_dir(spark)
+        found = titles.checkpoint()
+        text = _line_text(F.col("title"), delimiter)
+        kinds = found.groupBy(text.alias("text")).agg(F.min("src").alias("src"), F.first("title").alias("title"))
+        first = {r["text"]: r["title"] for r in kinds.orderBy("src").collect()}
+    layouts = {text: _title_fields(title, delimiter) for text, title in first.items()}
+    headers = {text: unique_headers(n or "" for n in names) for text, names in layouts.items()}
+    columns = tuple(dict.fromkeys(name for names in headers.values() for name in names))
+    places = {text: {name: i for i, name in reversed(list(enumerate(names)))} for text, names in headers.items()}
+    table = [(text, len(names), [places[text].get(c, -1) for c in columns]) for text, names in layouts.items()]
+    known = local_frame(spark, table, "_title string, _width int, _at array<int>")
+    described = found.select(
         "src",
         F.col("encoding").alias("_encoding"),
         F.col("title_blk").alias("_title_blk"),
         F.col("title_row").alias("_title_row"),
         F.col("promoted").alias("_promoted"),
-        F.size("names").alias("_width"),
-        "_layout",
+        F.col("header_row").alias("_header_row"),
         _line_text(F.col("title"), delimiter).alias("_title"),
     )
-    return _Titles(facts, None, layouts)
+    facts = left_lookup(described, known, "_title")
+    return _Titles(found, rows, [tuple(n) for n in layouts.values()], facts, columns)
 
 
 def _with_titles(lines: DataFrame, titles: _Titles) -> DataFrame:
-    """Put each source's title facts next to its lines.
+    """Put each source's title facts next to its lines; sources without any titles go.
 
     One source (the usual run) needs no join: its facts are literals. Many sources join
     on the source name, by broadcast when the facts were few enough for the driver. Beyond
     that the lookup decides, which keeps a source with a large share of the lines in place.
     """
     if titles.rows is None:
-        return left_lookup(lines, titles.frame, "src")
+        return left_lookup(lines, titles.facts, "src").where(F.col("_title").isNotNull())
     if len(titles.rows) > 1:
-        return lines.join(F.broadcast(titles.frame), "src")
-    kinds = titles.frame.schema
-    facts = dict(zip(kinds.names, titles.rows[0]))
-    return lines.withColumns(
-        {k: F.lit(v).cast(kinds[k].dataType) for k, v in facts.items() if k != "src"}
-    )
+        return lines.join(F.broadcast(titles.facts), "src")
+    (row,) = titles.facts.collect()
+    kinds = titles.facts.schema
+    facts = {name: F.lit(row[name]).cast(kinds[name].dataType) for name in kinds.names if name not in ("src", "_at")}
+    at = F.expr("array(" + ", ".join(f"{i}" for i in row["_at"]) + ")")
+    return lines.where(F.col("src") == row["src"]).withColumns(facts | {"_at": at})
 
 
-def _assemble(lines, titles, delimiter, numeric_columns, hints) -> Extract:
-    settled = _settle_titles(titles, delimiter)
-    layouts = settled.layouts
-    if not layouts:
+def _assemble(lines, settled, delimiter, numeric_columns, hints) -> Extract:
+    if not settled.layouts:
         raise EmptyInputError()
-    if len(layouts) > MAX_LAYOUTS:
-        raise ExtractError(f"more than {MAX_LAYOUTS} different column layouts in one extract")
-    if any(all(not header_form(n or "") for n in names) for names in layouts):
+    if any(all(not header_form(n or "") for n in names) for names in settled.layouts):
         raise ExtractError("the extract has no column titles")
-    headers = [unique_headers(n or "" for n in names) for names in layouts]
-    columns = list(dict.fromkeys(name for names in headers for name in names))
-    width = max(len(h) for h in headers)
+    columns = settled.columns
+    width = max(len(names) for names in settled.layouts)
 
     raw = decode_line(F.col("line"), F.col("_encoding")) if delimiter else F.col("line")
     cells = _parse_cells(F.col("_raw"), delimiter, width) if delimiter else F.col("_raw")
@@ -417,27 +438,25 @@ def _assemble(lines, titles, delimiter, numeric_columns, hints) -> Extract:
         .withColumns({"_cells": cells, "_plain": plain})
     )
     same = (_line_text(F.col("_raw"), delimiter) == F.col("_title")).alias("_same")
-    meta = ["src", "blk", "row", "_raw", "_title_blk", "_title_row", "_promoted", same]
-    values = [_value_of(name, headers).alias(name) for name in columns]
+    meta = ["src", "blk", "row", "_raw", "_title_blk", "_title_row", "_promoted", "_header_row", same]
+    values = [_value_of(j, settled).alias(name) for j, name in enumerate(columns)]
     trimmed = fields.select(*meta, (F.size("_cells") > F.col("_width")).alias("_long"), *values)
     clean = trimmed.withColumns({name: blank_missing(col(name)) for name in columns})
     return Extract(
         tagged=clean.withColumn("_verdict", _verdict(columns, hints, settled.any_promoted)),
-        columns=tuple(columns),
+        columns=columns,
         numeric_columns=tuple(c for c in map(header_form, numeric_columns) if c in columns),
-        titles=titles,
+        titles=settled.found,
     )
 
 
-def _value_of(name: str, headers: list[list[str]]) -> Column:
-    """The trimmed cell of a column, whatever position the row's layout has it at."""
-    spots = [(i, h.index(name)) for i, h in enumerate(headers) if name in h]
-    if len({p for _, p in spots}) == 1 and len(spots) == len(headers):
-        return _trimmed(F.get("_cells", F.lit(spots[0][1])))
-    value = F.lit("")
-    for i, p in spots:
-        value = F.when(F.col("_layout") == i, F.get("_cells", F.lit(p))).otherwise(value)
-    return _trimmed(value)
+def _value_of(j: int, settled: _Titles) -> Column:
+    """The trimmed cell of column ``j``, at the position that the row's own layout has it at."""
+    if len(settled.layouts) == 1:  # every column is there, in order
+        names = unique_headers(n or "" for n in settled.layouts[0])
+        return _trimmed(F.get("_cells", F.lit(names.index(settled.columns[j]))))
+    at = F.get("_at", F.lit(j))
+    return _trimmed(F.when(at >= 0, F.get("_cells", at)).otherwise(F.lit("")))
 
 
 def _trimmed(cell: Column) -> Column:
@@ -483,18 +502,13 @@ def read_extract(
     numeric_columns: Sequence[str] = (),
     title_hints: Sequence[str] = (),
     encoding: str | None = None,
-    multiline: bool = False,
 ) -> Extract:
     """Read delimited text files; each file's own title row is found and removed.
 
-    ``multiline`` lets quoted cells hold line breaks. Such a file cannot be split, so one
-    task reads it whole; leave it off unless the cells need it.
+    Quoted cells may hold line breaks; files with such cells are stored once as records.
     """
-    lines = read_lines(spark, paths)
-    if multiline:
-        return _parse_records(spark, paths, lines, delimiter, numeric_columns, title_hints, encoding)
     return parse_lines(
-        lines,
+        read_lines(spark, paths),
         delimiter=delimiter,
         numeric_columns=numeric_columns,
         title_hints=title_hints,
@@ -502,50 +516,6 @@ def read_extract(
     )
 
 
-def _parse_records(
-    spark, paths, lines, delimiter, numeric_columns, title_hints, encoding
-) -> Extract:
-    titles = discover_titles(lines, delimiter, title_hints, encoding)
-    widest = F.max(F.size(_split(F.col("title"), delimiter))).alias("width")
-    facts = titles.agg(widest, F.collect_set("encoding").alias("encodings")).first()
-    if not facts["encodings"]:
-        raise EmptyInputError()
-    if len(facts["encodings"]) > 1:
-        raise ExtractError(f"files in different encodings {facts['encodings']}: read them one by one")
-    charset = facts["encodings"][0]
-    names = [f"c{i}" for i in range(facts["width"] + 1)]
-    records = spark.read.csv(
-        paths,
-        schema=", ".join(f"{n} string" for n in names),
-        sep=delimiter,
-        quote='"',
-        escape='"',
-        multiLine=True,
-        encoding="UTF-8" if charset == "utf-8" else "ISO-8859-1",
-    )
-    # Cells up to the last one that is there; a row longer than its titles keeps one extra.
-    used = F.coalesce(
-        F.greatest(F.lit(0), *[F.when(F.col(n).isNotNull(), i + 1) for i, n in enumerate(names)]),
-        F.lit(0),
-    )
-    text = [from_latin(F.col(n), charset) for n in names]
-    rows = records.select(
-        F.col("_metadata.file_path").alias("src"),
-        F.lit(0).cast("long").alias("blk"),
-        F.monotonically_increasing_id().alias("row"),
-        F.slice(F.array(*text), F.lit(1), used).alias("line"),
-    )
-    found = _discover(
-        rows,
-        payload=F.col("line"),
-        scored=title_score(F.col("line"), hint_set(title_hints)) >= TITLE_SCORE,
-        filled=F.size("line") > 0,
-        traits=F.lit("ascii"),
-        encoding="utf-8",
-    )
-    return _assemble(rows, found, None, numeric_columns, hint_set(title_hints))
-
-
 def pick_source(
     candidates: Sequence[tuple[str, DataFrame]],
     *,

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import left_lookup
-
 LINE_COLUMNS = ("src", "blk", "row", "line")
+# Order values of a table that count as one split.
+TABLE_BLOCK = 1 << 20
 
 # The byte-to-character pairs in which Windows-1252 differs from
 # ISO-8859-1. Derived from the codec, not typed in.
@@ -37,11 +37,15 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def lines_from_table(df: DataFrame, line: Column, order_by: Column, src: Column | None = None) -> DataFrame:
-    """Lines held in a table column, ordered by a unique integer column."""
+    """Lines held in a table column, ordered by a unique integer column.
+
+    Ranges of ``TABLE_BLOCK`` order values stand for the splits of a file.
+    """
+    row = order_by.cast("long")
     return df.select(
         (src if src is not None else F.lit("table")).cast("string").alias("src"),
-        F.lit(0).cast("long").alias("blk"),
-        order_by.cast("long").alias("row"),
+        F.when(row >= 0, row - row % TABLE_BLOCK).otherwise(F.lit(0)).cast("long").alias("blk"),
+        row.alias("row"),
         line.alias("line"),
     )
 
@@ -92,20 +96,3 @@ def decode_line(line: Column, encoding: Column | str) -> Column:
         .when(encoding == "cp1252", as_cp1252)
         .otherwise(as_latin)
     )
-
-
-def detect_encodings(lines: DataFrame) -> DataFrame:
-    """One row per file: ``src, encoding``. The choice holds for the whole file."""
-    return lines.groupBy("src").agg(
-        file_encoding(F.collect_set(line_traits(F.col("line")))).alias("encoding")
-    )
-
-
-def decode_lines(lines: DataFrame) -> DataFrame:
-    """Lines as text, each file in its own encoding; ``encoding`` says which.
-
-    The encodings are one row per file. Beyond the broadcast bound the lookup keeps the
-    lines of a dominant file where they are.
-    """
-    known = left_lookup(lines, detect_encodings(lines), "src")
-    return known.withColumn("line", decode_line(F.col("line"), F.col("encoding")))

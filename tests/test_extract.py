@@ -1,10 +1,18 @@
 from __future__ import annotations
 
+import contextlib
+import csv
+import io
+import itertools
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from branchtally.errors import EmptyInputError, ExtractError
 from branchtally.sources import parse_table, pick_source, read_extract, read_lines
 from branchtally.sources import extract as extract_module
+from branchtally.sources import records
 from branchtally.sources.extract import header_note
 from branchtally.sources.local import local_frame
 
@@ -166,13 +174,63 @@ def test_source_pick_prefers_matched_titles(spark):
         pick_source([("b", empty)], order_by="n")
 
 
-def test_layout_limit(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(extract_module, "MAX_LAYOUTS", 1)
-    (tmp_path / "in").mkdir()
-    for n in range(2):
-        (tmp_path / "in" / f"{n}.txt").write_text(f"KODE_UKER|VOL|C{n}\n1|2|3\n")
-    with pytest.raises(ExtractError, match="layouts"):
-        read_extract(spark, str(tmp_path / "in"))
+def many_layouts(folder, n):
+    """Files with columns of their own in an order of their own; every fifth quotes its titles."""
+    folder.mkdir()
+    for i in range(n):
+        names = ["KODE_UKER", f"C{i % 600}", "VOL"]
+        turn = i % 3
+        names = names[turn:] + names[:turn]
+        cells = {"KODE_UKER": str(i), f"C{i % 600}": f"own {i}", "VOL": "1"}
+        titles = "|".join(f'"{c}"' if i % 5 == 0 else c for c in names)
+        (folder / f"{i:05d}.txt").write_text(f"{titles}\n" + "|".join(cells[c] for c in names) + "\n")
+
+
+@pytest.mark.parametrize("local", [10_000, 100])
+def test_any_number_of_layouts_parses_like_one(spark, tmp_path, monkeypatch, local):
+    """600 layouts; with their facts on the driver and, as with over 10,000 files, stored."""
+    monkeypatch.setattr(extract_module, "MAX_LOCAL_FILES", local)
+    many_layouts(tmp_path / "in", 600)
+    e = read_extract(spark, str(tmp_path / "in"), numeric_columns=["VOL"])
+    assert len(e.columns) == 602
+    got = e.data.selectExpr("KODE_UKER", "VOL", "C7", "C599", "C13").collect()
+    want = [(str(i), 1.0, *(f"own {i}" if i == c else "" for c in (7, 599, 13))) for i in range(600)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert e.ingest() == (0, 1)
+
+
+def test_layouts_are_data_not_plan(spark, tmp_path):
+    """The plan does not grow with the layouts: a cell is looked up by its row's own position."""
+    orders = list(itertools.permutations(["KODE_UKER", "VOL", "A", "B", "C"]))
+
+    def plan(n):
+        (tmp_path / str(n)).mkdir()
+        for i, names in enumerate(orders[:n]):
+            (tmp_path / str(n) / f"{i:03d}.txt").write_text("|".join(names) + "\n" + "|".join(c.lower() for c in names) + "\n")
+        e = read_extract(spark, str(tmp_path / str(n)))
+        assert set(map(tuple, e.data.select("VOL", "A", "KODE_UKER").collect())) == {("vol", "a", "kode_uker")}
+        return e.data.select("VOL")._jdf.queryExecution().optimizedPlan().toString()
+
+    assert len(plan(110)) < 1.1 * len(plan(3))
+
+
+def test_a_title_cell_of_any_length(spark, text_file):
+    long = "x" * 200_000
+    e = read_extract(spark, text_file(f'KODE_UKER|VOL|"{long}"\n1|2|3\n'))
+    assert e.columns[:2] == ("KODE_UKER", "VOL") and len(e.columns[2]) == 200_000 and e.data.count() == 1
+
+
+@pytest.mark.parametrize("local", [10_000, 1])
+def test_files_of_blank_lines_have_no_metrics_row(spark, tmp_path, monkeypatch, local):
+    """However many files have titles."""
+    monkeypatch.setattr(extract_module, "MAX_LOCAL_FILES", local)
+    for name, text in (("a", "KODE_UKER|VOL\n1|2\n"), ("b", "\n  \n")):
+        (tmp_path / f"{name}.txt").write_text(text)
+    e = read_extract(spark, str(tmp_path))
+    assert [r["total_rows"] for r in e.metrics().collect()] == [1] and e.ingest() == (0, 1)
+    (tmp_path / "c.txt").write_text("banner\nVOL|KODE_UKER\n1|2\n")
+    e = read_extract(spark, str(tmp_path))
+    assert sorted(tuple(r)[1:] for r in e.metrics().collect()) == [(1, 0, 1), (1, 0, 2)]
 
 
 def test_plan_has_no_python_and_no_shuffle(spark, text_file):
@@ -181,11 +239,10 @@ def test_plan_has_no_python_and_no_shuffle(spark, text_file):
     assert "Python" not in plan and "Exchange" not in plan
 
 
-def test_declared_encoding_reads_titles_from_the_top(spark, text_file):
+def test_declared_encoding(spark, text_file):
     path = text_file("caf\u00e9\nKODE_UKER|SEGMEN\n1|\u00e9\n", encoding="cp1252")
     e = read_extract(spark, path, encoding="cp1252")
     assert rows(e) == [("1", "\u00e9")] and one_metrics(e)["header_row"] == 2
-    assert "LocalTableScan" in e.titles._jdf.queryExecution().executedPlan().toString()
 
 
 def test_declared_encoding_with_deep_titles(spark, text_file):
@@ -194,16 +251,123 @@ def test_declared_encoding_with_deep_titles(spark, text_file):
     assert e.columns == ("KODE_UKER", "SEGMEN") and e.data.count() == 1500
 
 
+@contextlib.contextmanager
+def splits_of(spark, size):
+    """Text is read in splits of ``size`` bytes."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in kept:
+        spark.conf.set(k, size)
+    try:
+        yield
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("encoding, mark", [("utf-8", "\u00e9"), ("cp1252", "\u20ac")])
 def test_quoted_line_breaks(spark, text_file, encoding, mark):
     path = text_file(
         f'top\nKODE_UKER|SEGMEN|VOL\n1|"two\nlines {mark}"|5\n2|b\n3|c|d|e\n4|"x|y"|6\n', encoding=encoding
     )
-    e = read_extract(spark, path, numeric_columns=["VOL"], multiline=True)
+    e = read_extract(spark, path, numeric_columns=["VOL"])
     assert rows(e) == [("1", f"two\nlines {mark}", 5.0), ("2", "b", 0.0), ("4", "x|y", 6.0)]
     assert one_metrics(e) == {"total_rows": 3, "malformed_rows": 1, "header_row": 2}
 
 
+def cells_with_breaks(n):
+    """(text of a file, its rows): cells with line breaks, blank lines, doubled and stray quotes in them."""
+    rnd, lines, want = random.Random(n), ["ID|SEGMEN|VOL|KW"], []
+    for i in range(n):
+        cell = rnd.choice(["plain", f'a"b {i}', 'q "" q', "two\nlines", f'x\n\n{i} "y"|z\n', "|", "end\n" * 30, '"', "é\né"])
+        quoted = "\n" in cell or "|" in cell or cell.startswith('"') or rnd.random() < 0.3
+        other = rnd.choice(["k", "K 1", "a\nb"])
+        text = lambda c, q: '"' + c.replace('"', '""') + '"' if q else c
+        lines.append(f"{i}|{text(cell, quoted)}|{i % 5}|{text(other, chr(10) in other)}")
+        want.append((str(i), cell.strip(), float(i % 5), other))
+    return "\n".join(lines) + "\n", want
+
+
+@pytest.mark.parametrize("size", ["128m", "700", "64"])
+def test_records_cross_splits(spark, tmp_path, size):
+    """The same rows for any splits, several files and encodings; the csv module reads the same records."""
+    (tmp_path / "in").mkdir()
+    want = []
+    for n, encoding in ((150, "utf-8"), (90, "cp1252"), (40, "latin-1")):
+        text, expected = cells_with_breaks(n)
+        (tmp_path / "in" / f"{n}.txt").write_bytes((text + ("" if encoding != "latin-1" else "\x81||0|\n")).encode(encoding))
+        assert [tuple(c.strip() for c in r) for r in csv.reader(io.StringIO(text, newline=""), delimiter="|")][1:] == [
+            (a, b, str(int(c)), d.strip()) for a, b, c, d in expected
+        ]
+        want += [(f"{n}.txt", *r) for r in expected] + ([(f"{n}.txt", "\x81", "", 0.0, "")] if encoding == "latin-1" else [])
+    (tmp_path / "in" / "plain.txt").write_text("x|y\nID|SEGMEN|VOL|KW\n7|s|1|k\n")
+    want += [("plain.txt", "x", "y", 0.0, ""), ("plain.txt", "7", "s", 1.0, "k")]
+    with splits_of(spark, size):
+        assert size == "128m" or read_lines(spark, str(tmp_path / "in")).rdd.getNumPartitions() > 8
+        e = read_extract(spark, str(tmp_path / "in"), numeric_columns=["VOL"])
+        got = [(r[0].src.rsplit("/", 1)[1], *r[1:]) for r in e.data.select("_ord", "ID", "SEGMEN", "VOL", "KW").orderBy("_ord").collect()]
+        assert sorted(got) == sorted(want)
+        assert [r[1:] for r in got if r[0] == "150.txt"] == [r[1:] for r in want if r[0] == "150.txt"]
+        assert e.rejects.count() == 0
+
+
+def test_unclosed_quotes_swallow_nothing(spark, text_file):
+    path = text_file('ID|SEGMEN|VOL\n1|"a\nb"|5\n2|"open|6\n3|c|7\n4|"d|8\n')
+    e = read_extract(spark, path, numeric_columns=["VOL"])
+    assert [r for r in rows(e) if r[0] in ("1", "3")] == [("1", "a\nb", 5.0)]  # closed by the quote of row 4, as any CSV reader has it
+    path = text_file('ID|SEGMEN|VOL\n1|"a\nb"|5\n2|"open|6\n3|c|7\n', name="b.txt")
+    e = read_extract(spark, path, numeric_columns=["VOL"])
+    assert [r for r in rows(e) if r[0] != "2"] == [("1", "a\nb", 5.0), ("3", "c", 7.0)]
+
+
+def test_a_cell_that_never_seems_to_close_is_an_error(spark, text_file, monkeypatch):
+    monkeypatch.setattr(records, "RECORD_BYTES", 1_000)
+    path = text_file('ID|SEGMEN\n1|"open\n' + "2|x\n" * 400 + '3|"y"\n')
+    with pytest.raises(ExtractError, match="quoted cell"):
+        read_extract(spark, path)
+
+
+@pytest.mark.parametrize("delimiter", ["|", ",", "||"])
+def test_quote_effects_by_hand(spark, delimiter):
+    """Each line's effect on an open quote, against a character-by-character reading."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(['"', '"', delimiter, "a"]) for _ in range(rnd.randrange(9))) for _ in range(1500)]
+
+    def after(text, inside):
+        i, start = 0, not inside
+        while i < len(text):
+            if inside:
+                if text[i : i + 2] == '""':
+                    i += 1
+                elif text[i] == '"':
+                    inside, start = False, False
+            elif text.startswith(delimiter, i):
+                start, i = True, i + len(delimiter) - 1
+            elif start and text[i] == '"':
+                inside, start = True, False
+            else:
+                start = False
+            i += 1
+        return inside
+
+    df = local_frame(spark, [(t,) for t in texts], "line string")
+    got = df.select("line", *records.quote_effects(F.col("line"), delimiter)).collect()
+    assert [(r[0], r[1], r[2]) for r in got] == [(t, after(t, False), after(t, True)) for t in texts]
+
+
+def test_title_row_does_not_depend_on_splits(spark, tmp_path):
+    for n in range(2):
+        body = "\n".join(f"{i}|K{i % 7}|{i}" for i in range(1500 * (n + 1)))
+        (tmp_path / f"f{n}.txt").write_text(f"{body}\nID|KODE_UKER|VOLUME\n{body}\n")
+    found = set()
+    for size in ("128m", "5000", "801"):
+        with splits_of(spark, size):
+            e = read_extract(spark, str(tmp_path))
+            found.add(tuple(sorted(r["header_row"] for r in e.metrics().collect())))
+        # found under one way of splitting, counted under another
+        assert sorted(r["header_row"] for r in e.metrics().collect()) == [1501, 3001]
+    assert found == {(1501, 3001)}
+
+
 def test_titles_below_other_lines_survive_other_splits(spark, tmp_path):
     """A cluster may split the files differently for the second pass; titles are known by their text."""
     for n in range(3):
