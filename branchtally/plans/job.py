@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ReportValidationError
 from ..functions import ORD, unique_headers
 from ..operators.columns import ACCOUNT_ALIASES, BALANCE_ALIASES, ID_ALIASES, key_aliases
 from ..operators.columns import LOOKUP_KEY, MAIN_CODE, resolve_alias
 from ..operators.diagnostics import key_sample, miss_message
-from ..sources import Extract, read_extract, read_reference_csv, write_table
+from ..sources import Delivery, Extract, read_extract, read_reference_csv
 from ..sources.extract import header_note
 from .registry import get_report
-from .reports import Table, run_report
+from .reports import ReportResult, Table, run_report
 from .spec import FilterChoice
 
 
@@ -61,10 +62,11 @@ def run_job(
 ) -> RunReport:
     """Run one report from text files and write summary, detail and metadata.
 
-    Without a ``delimiter`` the report's own is used: a comma for balances, else a bar. With
-    ``staging_path`` the cleaned rows are stored there once and every output reads the columns
-    it needs from that table, instead of parsing the text again; all columns are checked
-    before.
+    Without a ``delimiter`` the report's own is used: a comma for balances, else a bar. The text
+    is read twice: to find the titles, and to parse it into a stage, from which every output
+    reads the columns it needs. The stage goes when the run ends, or is kept at
+    ``staging_path``. Outputs are written beside ``output_path`` and appear there together, with
+    a manifest, when all are done; a run that fails leaves nothing.
     """
     try:
         return _run(
@@ -89,31 +91,43 @@ def _run(spark, report_id, raw, output_path, reference, master, choice, delimite
         numeric_columns=spec.numeric_columns,
         title_hints=hints,
         encoding=encoding,
-    ).require_rows()
-    malformed, header_row = extract.ingest()
-    rows = extract.data
-    references, masters = load_table(spark, reference), load_table(spark, master)
-    result = run_report(spec, rows, references, masters, choice, key=key)
-    if staging_path:  # only after a plan over the same columns has been accepted
-        _ = result.summary.schema, result.detail.schema
-        rows = spark.read.parquet(write_table(rows, staging_path))
-        result = run_report(spec, rows, references, masters, choice, key=key)
-
-    measured = result.metrics.first().asDict()
-    unmapped = measured.get("unmapped_rows", measured.get("unmapped_ids", 0))
-    write_table(result.summary, f"{output_path}/summary", fmt)
-    if not balances:
-        write_table(result.detail, f"{output_path}/detail", fmt)
-        write_table(result.metadata, f"{output_path}/metadata", fmt)
-    return RunReport(
-        success=True,
-        output_path=output_path,
-        processed_rows=measured["processed_rows"],
-        unmapped_rows=unmapped,
-        malformed_rows=malformed,
-        miss_diagnostic=_diagnostic(spec, result, measured, unmapped, key),
-        note=header_note(header_row),
     )
+    references, masters = load_table(spark, reference), load_table(spark, master)
+
+    def report(rows: DataFrame) -> ReportResult:
+        return run_report(spec, rows, references, masters, choice, key=key)
+
+    with Delivery(spark, output_path) as delivery:
+        if not balances:  # columns and tables are refused before the text is parsed
+            try:
+                report(extract.data)
+            except ReportValidationError:
+                extract.require_rows()  # that a file is empty says more
+                raise
+        extract = extract.stored(delivery.scratch("stage")).require_rows()
+        malformed, header_row = extract.ingest()
+        result = report(extract.data)
+        measured = result.metrics.first().asDict()
+        unmapped = measured.get("unmapped_rows", measured.get("unmapped_ids", 0))
+        delivery.write("summary", result.summary, fmt)
+        if not balances:
+            delivery.write("detail", result.detail, fmt)
+            delivery.write("metadata", result.metadata, fmt)
+        done = RunReport(
+            success=True,
+            output_path=output_path,
+            processed_rows=measured["processed_rows"],
+            unmapped_rows=unmapped,
+            malformed_rows=malformed,
+            miss_diagnostic=_diagnostic(spec, result, measured, unmapped, key),
+            note=header_note(header_row),
+        )
+        delivery.commit(
+            {"report": spec.report_id, "processed_rows": done.processed_rows, "unmapped_rows": unmapped, "malformed_rows": malformed}
+        )
+        if staging_path:
+            delivery.keep("stage", staging_path)
+    return done
 
 
 def _diagnostic(spec, result, measured, unmapped, key) -> str | None:

@@ -3,9 +3,10 @@
 from .extract import Extract, discover_titles, parse_lines, parse_table, pick_source, read_extract
 from .lines import LINE_COLUMNS, lines_from_table, read_lines
 from .tables import read_reference_csv
-from .sinks import write_table
+from .sinks import Delivery, write_table
 
 __all__ = [
+    "Delivery",
     "Extract",
     "LINE_COLUMNS",
     "discover_titles",

@@ -15,10 +15,10 @@ import csv
 import io
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,7 @@ class Extract:
     columns: tuple[str, ...]
     numeric_columns: tuple[str, ...] = ()
     titles: DataFrame | None = field(default=None, repr=False)
+    counted: dict[str, int] | None = None
 
     @property
     def data(self) -> DataFrame:
@@ -92,6 +93,9 @@ class Extract:
 
     def metrics(self) -> DataFrame:
         """One row per source: rows kept and malformed, and the 1-based title row."""
+        return self._by_source().drop("titles")
+
+    def _by_source(self) -> DataFrame:
         v = F.col("_verdict")
         # lines above the titles were counted when the titles were found, however the file was
         # split; only rows numbered by a table with gaps are counted here, by their numbers
@@ -102,6 +106,7 @@ class Extract:
             F.count_if(v == "data").alias("total_rows"),
             F.count_if(v == "malformed").alias("malformed_rows"),
             header_row.alias("header_row"),
+            F.count_if(v == "title").alias("titles"),
         )
 
     def ingest(self) -> tuple[int, int]:
@@ -110,15 +115,35 @@ class Extract:
         Titles are found in one pass and met in the next. Should a source's lines have changed
         or been numbered otherwise in between, this fails instead of reading titles as data.
         """
-        titled = self.tagged.groupBy("src").agg(F.count_if(F.col("_verdict") == "title").alias("titles"))
-        lost = titled.where("titles = 0").agg(F.count("*")).first()[0]
-        if lost:
-            raise ExtractError(f"the title rows of {lost} sources were not met again")
-        found = self.metrics().agg(F.sum("malformed_rows").alias("m"), F.max("header_row").alias("h")).first()
+        found = self._by_source().agg(
+            F.count_if(F.col("titles") == 0).alias("lost"),
+            F.sum("malformed_rows").alias("m"),
+            F.max("header_row").alias("h"),
+        ).first()
+        if found["lost"]:
+            raise ExtractError(f"the title rows of {found['lost']} sources were not met again")
         return found["m"] or 0, found["h"] or 1
 
+    def stored(self, path: str) -> "Extract":
+        """The same extract, its lines parsed once and kept as parquet at ``path``.
+
+        What becomes of the lines is counted along with the write.
+        """
+        v = F.col("_verdict")
+        counts = {name: F.count_if(v == name).alias(name) for name in ("data", "malformed")}
+        watched = Observation()
+        raw = F.when(v == "malformed", F.col("_raw")).alias("_raw")  # only rejects are shown as they were read
+        kept = self.tagged.select(*[raw if c == "_raw" else col(c) for c in self.tagged.columns if c != "_same"])
+        kept.observe(watched, *counts.values()).write.parquet(path)
+        tagged = self.tagged.sparkSession.read.schema(kept.schema).parquet(path)
+        return replace(self, tagged=tagged, counted=watched.get)
+
     def require_rows(self) -> "Extract":
         """Refuse an extract without data rows, before anything is written."""
+        if self.counted is not None:
+            if not self.counted["data"]:
+                raise EmptyInputError()
+            return self
         if self.tagged.where(F.col("_verdict") == "data").isEmpty():
             raise EmptyInputError()
         return self

@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import json
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from branchtally.errors import ReportValidationError
 from branchtally.operators.activity import ACTIVE, INACTIVE
 from branchtally.plans import REPORTS, FilterChoice, get_report, run_job, run_report
 from branchtally.plans.spec import filter_options, resolve_filters
-from branchtally.sources import read_extract
+from branchtally.sources import Delivery, Extract, read_extract
 from branchtally.sources.local import local_frame
 
 ACCUMULATED = (
@@ -186,6 +191,89 @@ def test_job_from_files_to_files(spark, text_file, tmp_path, staged):
     assert spark.read.parquet(f"{out}/detail").count() == 4
 
 
+class Executions:
+    """The physical plans of the queries that run inside the block."""
+
+    def __init__(self, spark):
+        self.store = spark._jsparkSession.sharedState().statusStore()
+
+    def __enter__(self):
+        self.before = self.store.executionsCount()
+        return self
+
+    def __exit__(self, *failure):
+        time.sleep(0.5)  # the listener is told a little later
+        found = self.store.executionsList(int(self.before), 10_000)
+        self.plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+
+    def scans(self, file):
+        """How many executions read this file."""
+        return sum(bool(re.search(rf"InMemoryFileIndex[^\n]*/{file}\b", p)) for p in self.plans)
+
+
+@pytest.mark.parametrize("report", ["akumulasi", "timeseries-active-user-qlola"])
+def test_job_reads_the_text_twice(spark, text_file, tmp_path, report):
+    """Once to find the titles and once to parse, however many outputs and counts there are."""
+    ref = text_file("KODE_UKER,MAIN_CODE,MAIN_BRANCH\n0001,MC10,Jakarta\n0002,MC20,Surabaya\n", "ref.csv")
+    master = text_file("ID,MAIN_CODE\na,MC10\nb,MC20\n", "master.csv")
+    raw = ACCUMULATED if report == "akumulasi" else "ID|KODE_UKER|FREKUENSI|SOURCE\na|0001|3|x\na|0001|0|x\nc|0002|1|x\n"
+    with Executions(spark) as ran:
+        done = run_job(spark, report, text_file(raw), str(tmp_path / "out"), reference=ref, master=master)
+    assert done.error is None and done.processed_rows == raw.count("\n") - 1
+    assert ran.scans("raw.txt") == 2 and ran.scans("stage") > 2
+
+
+def test_outputs_come_with_a_manifest_and_nothing_else(spark, text_file, tmp_path):
+    ref = text_file("KODE_UKER,MAIN_CODE,MAIN_BRANCH\n0001,MC10,Jakarta\n", "ref.csv")
+    done = run_job(spark, "akumulasi", text_file(ACCUMULATED), str(tmp_path / "a" / "out"), reference=ref, staging_path=str(tmp_path / "stage"))
+    assert done.success and sorted(p.name for p in (tmp_path / "a").iterdir()) == ["out"]
+    manifest = json.loads((tmp_path / "a" / "out" / "_MANIFEST.json").read_text())
+    assert manifest["outputs"] == ["summary", "detail", "metadata"] and manifest["processed_rows"] == 4
+    assert spark.read.parquet(str(tmp_path / "stage")).where("_verdict = 'data'").count() == 4
+    again = run_job(spark, "akumulasi", text_file(ACCUMULATED), str(tmp_path / "a" / "out"), reference=ref)
+    assert not again.success and "exists already" in again.error
+    assert json.loads((tmp_path / "a" / "out" / "_MANIFEST.json").read_text()) == manifest
+
+
+@pytest.mark.parametrize("place", ["stage", "summary", "detail", "metadata", "commit"])
+def test_a_failure_anywhere_leaves_no_output(spark, text_file, tmp_path, monkeypatch, place):
+    ref = text_file("KODE_UKER,MAIN_CODE,MAIN_BRANCH\n0001,MC10,Jakarta\n", "ref.csv")
+    write, commit, stored = Delivery.write, Delivery.commit, Extract.stored
+
+    def failing(self, name, df, fmt="parquet"):
+        if name == place:  # part of the output is there when it fails
+            df = df.withColumn("broken", F.when(F.rand() >= 0, F.raise_error(F.lit("no disk"))))
+        return write(self, name, df, fmt)
+
+    def no_commit(self, facts):
+        if place == "commit":
+            raise OSError("no disk")
+        return commit(self, facts)
+
+    def no_stage(self, path):
+        if place == "stage":
+            raise OSError("no disk")
+        return stored(self, path)
+
+    monkeypatch.setattr(Delivery, "write", failing)
+    monkeypatch.setattr(Delivery, "commit", no_commit)
+    monkeypatch.setattr(Extract, "stored", no_stage)
+    out = tmp_path / "out"
+    out.mkdir()
+    done = run_job(spark, "akumulasi", text_file(ACCUMULATED), str(out / "o"), reference=ref, staging_path=str(out / "s"))
+    assert not done.success and "no disk" in done.error and list(out.iterdir()) == []
+
+
+def test_job_reads_quoted_line_breaks(spark, text_file, tmp_path):
+    ref = text_file("KODE_UKER,MAIN_CODE,MAIN_BRANCH\n0001,MC10,Jakarta\n", "ref.csv")
+    raw = text_file('KODE_UKER|SEGMEN|FBI|VOLUME_IN_IDR\n0001|"a\nb"|5|1\n0001|c|15|2\n')
+    done = run_job(spark, "akumulasi", raw, str(tmp_path / "o"), reference=ref)
+    assert done.success and (done.processed_rows, done.malformed_rows) == (2, 0)
+    summary = spark.read.parquet(str(tmp_path / "o" / "summary"))
+    assert table(summary.where("MAIN_CODE = 'MC10'"), "MAIN_CODE", "Sum of FBI") == [("MC10", 20)]
+    assert table(spark.read.parquet(str(tmp_path / "o" / "detail")).orderBy("FBI"), "SEGMEN") == [("a\nb",), ("c",)]
+
+
 def test_job_failure_writes_nothing(spark, text_file, tmp_path):
     out = tmp_path / "out"
     done = run_job(spark, "akumulasi", text_file("KODE_UKER|FBI|VOLUME_IN_IDR\n"), str(out))
