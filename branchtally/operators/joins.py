@@ -13,10 +13,14 @@ from ..functions import col
 
 @dataclass(frozen=True)
 class JoinPolicy:
-    """When a lookup side is broadcast, and what counts as a hot key beyond that."""
+    """When a lookup side is broadcast, what counts as a hot key beyond that, and over how many salts it is dealt."""
 
     broadcast_bytes: int = 64 << 20
     hot_share: float = 0.005
+    salts: int = 64
+
+
+_SALT = "_salt_of_key"
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -60,16 +64,21 @@ def left_lookup(
 ) -> DataFrame:
     """Left join to a side with unique keys; every left row stays, once.
 
-    A small right side is broadcast and the left side is not shuffled. With a large one,
-    rows of hot keys are joined to the few right rows they can meet, by broadcast, and
-    only the remaining rows are shuffled.
+    A small right side is broadcast and the left side is not shuffled. With a large one both
+    sides are shuffled by key and salt: rows of hot keys are dealt over the salts, and the few
+    right rows they can meet are copied once a salt. Every other key has one salt. The join is
+    one plan over one scan of the left side; before it, one pass over the key column alone finds
+    the hot keys.
     """
     if fits_broadcast(right, policy):
         return left.join(F.broadcast(right), key, "left")
     hot = hot_keys(left, key, policy.hot_share)
-    is_hot = F.coalesce(col(key), F.lit("")).isin(*hot) if hot else F.lit(False)
-    heavy = left.where(is_hot).join(F.broadcast(right.where(col(key).isin(*hot))), key, "left")
-    return heavy.unionByName(left.where(~is_hot).join(right, key, "left"))
+    is_hot = F.coalesce(col(key), F.lit("")).isin(*hot)
+    # whatever salt a row gets, its right row is there; so a task that is run again may deal anew
+    dealt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(policy.salts))).otherwise(F.lit(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(policy.salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = right.withColumn(_SALT, F.explode(copies))
+    return left.withColumn(_SALT, dealt.cast("int")).join(salted, [key, _SALT], "left").drop(_SALT)
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> list[str]:

@@ -14,7 +14,7 @@ from branchtally.operators.filters import (
     filter_values,
     fold_dimensions,
 )
-from branchtally.operators.joins import JoinPolicy, hot_keys
+from branchtally.operators.joins import JoinPolicy, hot_keys, left_lookup
 from branchtally.operators.lookup import (
     attach_branch,
     first_hit,
@@ -315,3 +315,27 @@ def test_write_back_adds_the_column_and_needs_accounts(frame):
         write_back(frame("X", ("1",)), monthly)
     with pytest.raises(ColumnResolutionError, match="KODE PRODUK"):
         monthly_balances(frame("KODE PRODUK,KETERANGAN", ("A", "B")))
+
+
+def test_a_large_lookup_scans_the_left_side_once_and_deals_hot_keys(spark, tmp_path):
+    """A third of the rows hold one key: they spread over tasks, and all rows come out once."""
+    left = spark.range(9_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else string(id % 500) end as K", "'pad' as P")
+    left.repartition(8).write.parquet(str(tmp_path / "left"))
+    spark.range(400).selectExpr("string(id) as K", "id as V").unionAll(spark.sql("select 'hot', 77777L")).write.parquet(str(tmp_path / "right"))
+    left, right = spark.read.parquet(str(tmp_path / "left")), spark.read.parquet(str(tmp_path / "right"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = left_lookup(left, right, "K", SHUFFLED)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        rows_ = sorted(map(str, found.select("id", "K", "V").collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert text.count("/left]") == 1 and text.count("Join") == 1 and "SortMergeJoin" in text
+    assert max(sizes) < 9_000 / 3 / 2  # the hot key alone has 3,000 rows
+    want = left.join(F.broadcast(right), "K", "left").select("id", "K", "V").collect()
+    assert rows_ == sorted(map(str, want)) and len(rows_) == 9_000 and found.columns == ["K", "id", "P", "V"]
