@@ -1,24 +1,31 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, and their groups.
 
-The join proper is a prefix tree. The sets of a block are ordered by one order of their
-shingles and stored in a trie whose nodes share common runs; a set meets the trie from the root,
-carrying the overlap counted so far for all sets below a node at once. A subtree is pruned when
-the overlap plus the shorter of the two remaining lengths cannot reach what the threshold asks,
-when its sizes cannot fit, or when everything in it is already in the set's own group.
-
-What meets in a block comes from an exact split. For sets of sizes up to m the threshold allows
+The join proper is a prefix tree. All shingles have one order, by their frequency over the whole
+table as far as a fixed number of counters tells it. The sets of a block are stored in that order
+in a trie whose nodes share common runs; a set meets the trie from the root, carrying the overlap
+counted so far for all sets below a node at once. A subtree is pruned when the overlap plus the
+shorter of the two remaining lengths cannot reach what the threshold asks, when its sizes cannot
+fit, or when everything in it is already in the set's own group.
+
+What meets in a block comes from an exact split. For sets of sizes up to m the threshold t allows
 at most H = 2m(1-t)/(1+t) differing shingles; cut by hash into more than H parts, two such sets
-agree in a part, so a hash of each part is a signature and no pair is lost. Map tasks combine
-equal signatures before the exchange, so a hot signature is one row a task. Connected signatures
-make clusters; a cluster above the block size is split, every block holds the same few leaders,
-and what the leaders do not join to the largest group meets all blocks in a second round.
+agree in a part, so a hash of each part is a signature. Where parts would hold fewer than five
+shingles (t under 0.82) the common order is used instead: two sets that overlap by the threshold
+have one of their first, rarest shingles in common, as many as may differ, and one. Either way no
+pair is lost; that counters are shared by many shingles costs time alone.
+Map tasks combine equal signatures before the exchange, so a hot signature is one entry a task,
+and send the rest sorted and packed. Connected signatures make clusters; a cluster above the block
+size is dealt into blocks by the least hash of a set, which similar sets mostly share. In a second
+round the sets of different groups that agree in a signature, and lie in different blocks, meet.
 
 Links inside a group need not all be found: the result is the groups, exactly.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and stay alone;
 a text shorter than a shingle is one shingle; equal texts (or texts with equal sets) form a
-group; null ids never represent a group unless nothing else is there; repeated rows come out
-repeated; empty tables give an empty result; further columns are not read by ``groups``.
+group; null ids never represent a group unless nothing else is there; ids of any ordered type
+keep it; ids that several texts share are each counted with the id; repeated rows come out
+repeated; very long texts are hashed in slices and are one set in one block; empty tables give an
+empty result; further columns, whatever their names, are not read by ``groups`` and pass ``keep_one``.
 Hashes have 64 bits; two different shingles of one comparison are equal with probability 1e-13.
 """
 
@@ -29,7 +36,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, store
@@ -39,10 +47,14 @@ from .textnp import NOT_SPACE, mix, shingles, whole, words_by_text
 BLOCK_SHINGLES = 1_500_000
 #: Sets of a split cluster that every block holds.
 LEADERS = 8
-#: Sets outside the largest group that meet a block at once.
-OUTSIDERS = 4_096
-#: Signature rows that a map task combines at once.
-COMBINE = 2_000_000
+#: Signatures that a map task combines at once, and bytes of texts for one part of the signatures.
+COMBINE, PART_BYTES = 2_000_000, 16 << 20
+#: Buckets in which shingles are counted for their common order, and rows that carry the counts.
+BUCKET_BITS, CHUNKS = 22, 64
+#: Shingles that a part holds at least where parts are used as signatures.
+PART_SHINGLES = 5
+#: Bits of a signature that are compared; sets that agree in them by chance are compared in vain, no more.
+SIGNATURE_BITS = 48
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -53,6 +65,60 @@ def set_key(items: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
 
 
+# ---------------------------------------------------------------- one order of all shingles
+
+
+def bucket(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def order_key(items: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Numbers that order shingles alike everywhere: rare ones first, by counts of the whole table."""
+    return (levels[bucket(items)].astype(np.uint64) << np.uint64(56)) | (items >> np.uint64(8))
+
+
+def _counts(k: int):
+    """How many sets of a map task hold shingles of each bucket, in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.uint64)
+        held, size = [], 0
+
+        def add() -> None:
+            np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint64), out=counts)
+
+        for batch in batches:
+            for words in words_by_text(batch.column("text"), NOT_SPACE):
+                held.append(bucket(shingle_set(words, k)))
+                size += len(held[-1])
+                if size >= COMBINE:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        chunks = counts.reshape(CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(map(pack_numbers, chunks), pa.binary())], names=["chunk", "counts"])
+
+    return run
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    total = np.zeros((1 << BUCKET_BITS) // CHUNKS, np.uint64)
+    for packed in rows.column("counts").to_pylist():
+        total += unpack_numbers(packed)
+    return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([pack_numbers(total)], pa.binary())})
+
+
+def levels_of(read: DataFrame, k: int) -> np.ndarray:
+    """The frequency of each bucket over all texts, on a scale of logarithms (one byte a bucket)."""
+    counts = read.select("text").mapInArrow(_counts(k), "chunk int, counts binary")
+    rows = counts.groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").collect()
+    total = np.zeros(1 << BUCKET_BITS, np.uint64).reshape(CHUNKS, -1)
+    for row in rows:
+        total[row["chunk"]] = unpack_numbers(row["counts"])
+    return np.minimum(4 * np.log2(1.0 + total.reshape(-1)), 255).astype(np.uint8)
+
+
 # ---------------------------------------------------------------- signatures
 
 
@@ -77,7 +143,7 @@ class Sizes:
         return most + 1 + spare, spare
 
 
-def signatures(items: np.ndarray, sizes: Sizes) -> np.ndarray:
+def part_signatures(items: np.ndarray, sizes: Sizes) -> np.ndarray:
     """One hash for each part of the sorted set, under its own size class and the next."""
     own = sizes.of(len(items))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items))])
@@ -93,45 +159,107 @@ def signatures(items: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def first_shingles(items: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in the common order, as many as a partner cannot miss them all.
+
+    Sets that overlap by the threshold share at least ``num / den`` of the shingles of each; if
+    they had none of their first shingles in common, more would be missing than that allows.
+    """
+    n = len(items)
+    wanted = n - -(-n * num // den) + 1
+    return items[np.argsort(order_key(items, levels), kind="stable")[:wanted]]
+
+
+class Signatures:
+    """What sets are brought together by, for a threshold of ``num / den``.
+
+    Parts where they hold five shingles or more, since so many agree by chance in few sets; below
+    that threshold the first shingles in the common order, which say more than small parts.
+    """
+
+    def __init__(self, num: int, den: int, levels: np.ndarray):
+        self.num, self.den, self.levels = num, den, levels
+        self.sizes = Sizes(num, den) if num + den >= 2 * PART_SHINGLES * (den - num) else None
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        if self.sizes is not None:
+            return part_signatures(items, self.sizes)
+        return first_shingles(items, self.levels, self.num, self.den)
+
+
 def _keys(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, least = [], [], []
             for words in words_by_text(batch.column("text"), NOT_SPACE):
                 items = shingle_set(words, k)
                 keys.append(set_key(items))
                 sizes.append(len(items))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["doc_id", "th", "key", "n"],
-            )
+                least.append(int(items[:1].view(np.int64)[0]) if len(items) else 0)
+            columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c, pa.int64()) for c in (keys, sizes, least))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "key", "n", "least_item"])
 
     return run
 
 
-def _combined(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """One row for each signature; the other keys under it become links to the first."""
+def pack_numbers(x: np.ndarray) -> bytes:
+    """64-bit numbers compressed byte plane by byte plane; planes of zeros cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+
+
+def _meetings(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures once, their least key; places of the pairs that share a signature, the least key there)."""
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    first = key[np.flatnonzero(new)][np.cumsum(new) - 1]
-    other = key != first
-    links = np.unique(np.stack([key[other], first[other]], axis=1), axis=0)
-    names = mix(mix(links[:, 0].view(np.uint64)) ^ links[:, 1].view(np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([sig[new].view(np.int64), names.view(np.int64)])),
-            pa.array(np.concatenate([key[new], links[:, 0]])),
-            pa.array(np.concatenate([np.zeros(int(new.sum()), np.int64), links[:, 1]]), mask=np.arange(int(new.sum()) + len(links)) < new.sum()),
-        ],
-        names=["sig", "key", "other"],
-    )
+    new = np.concatenate([[True], (sig[1:] != sig[:-1])])
+    run = np.cumsum(new) - 1
+    first = key[new]
+    several = (np.bincount(run) > 1)[run]
+    return sig[new], first, order[several], first[run[several]]
+
+
+def _packed(sig: np.ndarray, number: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows (part, signatures, sets, names of the sets) of sorted signatures; sets are numbered."""
+    part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending like the signatures
+    ends = np.searchsorted(part, np.arange(parts, dtype=np.uint64), side="right")
+    begin = 0
+    for p, end in enumerate(ends.tolist()):
+        if end > begin:
+            used, local = np.unique(number[begin:end], return_inverse=True)
+            steps = np.diff(sig[begin:end] >> np.uint64(64 - SIGNATURE_BITS), prepend=np.uint64(0))
+            yield p, pack_numbers(steps), pack_numbers(local.astype(np.uint64)), keys[used].tobytes()
+        begin = end
+
+
+_BLOCK_ROW = "part int, sigs binary, sets binary, names binary, sig bigint, key bigint, first bigint"
+
+
+def _signature_rows(k: int, num: int, den: int, parts: int, levels):
+    """By part of the signatures, packed: each signature of a map task with one of its sets.
+
+    Signatures that several sets of the task share come out here as (sig, key, first key), so
+    that a part gets a signature once a task, however many sets hold it.
+    """
 
+    def flush(sigs: list, numbers: list, keys: list) -> pa.RecordBatch:
+        sig, number, named = np.concatenate(sigs), np.concatenate(numbers), np.array(keys, np.int64)
+        once, first, at, least = _meetings(sig, number)
+        blocks = list(zip(*_packed(once, first, named, parts), strict=True))
+        n, m = len(blocks[0]), len(at)
+        short = (sig[at] >> np.uint64(64 - SIGNATURE_BITS)).view(np.int64)
+        columns = [pa.array([*c, *[None] * m], t) for c, t in zip(blocks, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+        mask = np.arange(n + m) < n
+        columns += [pa.array(np.concatenate([np.zeros(n, np.int64), c]), mask=mask) for c in (short, named[number[at]], named[least])]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "sigs", "sets", "names", "sig", "key", "first"])
 
-def _signature_rows(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, seen = Sizes(num, den), set()
-        sigs, keys, held = [], [], 0
+        seen, kind = set(), Signatures(num, den, levels.value)
+        sigs, numbers, keys, held = [], [], [], 0
         for batch in batches:
             for words in words_by_text(batch.column("text"), NOT_SPACE):
                 items = shingle_set(words, k)
@@ -139,19 +267,34 @@ def _signature_rows(k: int, num: int, den: int):
                 if not len(items) or key in seen:
                     continue
                 seen.add(key)
-                names = signatures(items, sizes)
+                names = kind.of(items)
                 sigs.append(names)
-                keys.append(np.full(len(names), key, np.int64))
+                numbers.append(np.full(len(names), len(keys), np.int64))
+                keys.append(key)
                 held += len(names)
                 if held >= COMBINE:
-                    yield _combined(np.concatenate(sigs), np.concatenate(keys))
-                    sigs, keys, held, seen = [], [], 0, set()
+                    yield flush(sigs, numbers, keys)
+                    sigs, numbers, keys, held, seen = [], [], [], 0, set()
         if held:
-            yield _combined(np.concatenate(sigs), np.concatenate(keys))
+            yield flush(sigs, numbers, keys)
 
     return run
 
 
+def _met_in_part(rows: pa.Table) -> pa.Table:
+    """(sig, key, first key) of the signatures that sets of several tasks hold."""
+    sigs = [np.cumsum(unpack_numbers(x), dtype=np.uint64) for x in rows.column("sigs").to_pylist()]
+    names = [np.frombuffer(x, np.int64) for x in rows.column("names").to_pylist()]
+    sets = [unpack_numbers(x).astype(np.int64) for x in rows.column("sets").to_pylist()]
+    keys = [n[s] for n, s in zip(names, sets, strict=True)]
+    sig, key = np.concatenate(sigs), np.concatenate(keys)
+    # a set that two tasks hold meets itself there
+    pairs = np.unique(np.stack([sig.view(np.int64), key]), axis=1)
+    sig, key = pairs[0].view(np.uint64), pairs[1]
+    _, _, at, first = _meetings(sig, key)
+    return pa.table({"sig": sig[at].view(np.int64), "key": key[at], "first": first})
+
+
 # ---------------------------------------------------------------- the trie
 
 
@@ -256,17 +399,17 @@ class Trie:
             node.group = -1
 
 
-def trie_groups(keys: list[int], sets: list[np.ndarray], known: list[int], stored: list[bool], asking: list[bool], num: int, den: int) -> list[tuple[int, int]]:
+def trie_groups(keys: list[int], sets: list[np.ndarray], known: list[int], stored: list[bool], asking: list[bool], num: int, den: int, levels: np.ndarray) -> list[tuple[int, int]]:
     """(key, key of its group's first set) of a block: each asking set meets the stored ones.
 
-    ``known`` names the group that a set is already in. Sets are ordered by how many of the
-    block's sets hold a shingle, most first, so that common runs are shared near the root.
+    ``known`` names the group that a set is already in. Sets are in the common order, frequent
+    shingles first, so that common runs are shared near the root.
     """
     if len(keys) < 2:
         return []
-    vocabulary, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    vocabulary, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(len(vocabulary), np.int64)
-    rank[np.lexsort((vocabulary, -counts))] = np.arange(len(vocabulary))
+    rank[np.argsort(order_key(vocabulary, levels), kind="stable")[::-1]] = np.arange(len(vocabulary))
     ranked = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
     ranked = [np.sort(r) for r in ranked]
     trie = Trie(num, den, len(vocabulary), len(keys))
@@ -281,14 +424,14 @@ def trie_groups(keys: list[int], sets: list[np.ndarray], known: list[int], store
     return [(keys[i], keys[trie.find(i)]) for i in range(len(keys)) if trie.find(i) != i]
 
 
-def _block_links(num: int, den: int):
+def _block_links(num: int, den: int, levels):
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by([("role", "descending"), ("key", "ascending")])
         keys = block.column("key").to_pylist()
         sets = [np.frombuffer(b, np.uint64) for b in block.column("items").to_pylist()]
         role = block.column("role").to_pylist()
         # role 2: stored and asking; 1: only stored; 0: only asking
-        links = trie_groups(keys, sets, block.column("known").to_pylist(), [r > 0 for r in role], [r != 1 for r in role], num, den)
+        links = trie_groups(keys, sets, block.column("known").to_pylist(), [r > 0 for r in role], [r != 1 for r in role], num, den, levels.value)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
@@ -335,88 +478,124 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _first_round(members: DataFrame) -> DataFrame:
-    """``key, block`` rows: small clusters whole, large ones split with the leaders in each block."""
-    clusters = members.groupBy("root").agg(F.sum("n").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK_SHINGLES)
-    sized = store(clusters.select("root", blocks.alias("blocks")))
-    placed = members.join(small_side(sized), "root").withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
-    # a thin slice by hash holds the leaders, so they are found without gathering a cluster
-    lead_order = Window.partitionBy("root").orderBy(F.xxhash64("key", F.lit(11)), "key")
-    slice_of = F.pmod(F.xxhash64("key", F.lit(11)), F.greatest(F.col("blocks") * 64, F.lit(1)))
+    """``root, key, block, own`` rows: small clusters whole, large ones in blocks of bounded size.
+
+    A large cluster is dealt by the least hash of a set, which similar sets mostly share, so that
+    most links lie within a block. Where one such cell is still too large it is dealt by key, and
+    each of its blocks holds the same few leaders.
+    """
+    clusters = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cells"))
+    in_cells = members.join(small_side(store(clusters)), "root").withColumn("cell", F.pmod(F.xxhash64("least_item"), F.col("cells")))
+    in_cells = store(in_cells.select("root", "key", "n", "cell"))
+    sized = in_cells.groupBy("root", "cell").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts"))
+    placed = in_cells.join(small_side(store(sized)), ["root", "cell"]).withColumn("part", own)
+    block = lambda part: (F.col("cell") * (1 << 24) + part).alias("block")
+    # a thin slice by hash holds the leaders, so they are found without gathering a cell
+    lead_order = Window.partitionBy("root", "cell").orderBy(F.xxhash64("key", F.lit(11)), "key")
+    slice_of = F.pmod(F.xxhash64("key", F.lit(11)), F.greatest(F.col("parts") * 64, F.lit(1)))
     leaders = (
-        placed.where((F.col("blocks") > 1) & (slice_of < LEADERS))
+        placed.where((F.col("parts") > 1) & (slice_of < LEADERS))
         .withColumn("nth", F.row_number().over(lead_order))
         .where(F.col("nth") <= LEADERS)
-        .select("root", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        .select("root", "key", "cell", F.col("part").alias("home"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+        .where("part <> home")
     )
-    return store(placed.select("root", "key", "block").unionAll(leaders).distinct())
+    here = placed.select("root", "key", block(F.col("part")), F.lit(True).alias("own"))
+    return store(here.unionAll(leaders.select("root", "key", block(F.col("part")), F.lit(False))))
 
 
-def _links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(placed: DataFrame, sets: DataFrame, num: int, den: int, levels) -> DataFrame:
     """The groups that the blocks' tries find, as edges; ``placed`` has root, block, key, known, role."""
     rows = placed.join(sets, "key").select("root", "block", "key", "known", "role", "items")
-    return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den), "a bigint, b bigint"))
+    return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den, levels), "a bigint, b bigint"))
+
 
+def _second_round(first: DataFrame, groups: DataFrame, met: DataFrame, members: DataFrame) -> DataFrame | None:
+    """Sets of split clusters meet what they could link to in other blocks and groups.
 
-def _second_round(first: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """What is outside the largest group of a split cluster meets all blocks of the cluster."""
-    split = store(first.groupBy("root").agg(F.max("block").alias("last")).where("last > 0"))
+    Sets that link agree in a signature. So only signatures that several groups hold matter, and
+    of these groups all but the largest ask: each of their sets asks the blocks where another group
+    holds the signature, and such a block stores its sets that have a signature of this kind.
+    """
+    blocks = first.groupBy("root").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    split = store(blocks.where("low <> high").select("root"))
     if split.isEmpty():
         return None
-    home = first.join(small_side(split), "root").join(groups, first["key"] == groups["node"], "left").select(
+    # leaders have met every set of their cell's blocks, so only own blocks count from here on
+    home = first.where("own").join(small_side(split), "root").join(groups, first["key"] == groups["node"], "left").select(
         first["root"], first["key"], "block", F.coalesce(groups["root"], first["key"]).alias("known")
     )
-    home = store(home)
-    sizes = home.groupBy("root", "known").agg(F.count_distinct("key").alias("c"))
-    largest = store(sizes.groupBy("root").agg(F.max_by("known", F.struct("c", "known")).alias("main")))
-    marked = home.join(small_side(largest), "root")
-    outside = store(marked.where("known <> main").select("root", "key", "known").distinct())
-    if outside.isEmpty():
+    home = store(home.join(members.select("key", "n"), "key"))
+    known = small_side(store(home.select("key", "known")))
+    held = met.select("sig", "key").join(known, "key")
+    several = held.groupBy("sig").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
+    several = store(several.select("sig"))
+    if several.isEmpty():
         return None
-    # outsiders in pieces of bounded number; every piece meets every block
-    count = store(outside.groupBy("root").agg(F.ceil(F.count("*") / OUTSIDERS).alias("pieces")))
-    pieces = outside.join(small_side(count), "root").withColumn("piece", F.pmod(F.xxhash64("key", F.lit(13)), F.col("pieces")))
-    blocks = store(home.select("root", "block").distinct())
-    asking = pieces.join(blocks, "root").select("root", "block", "piece", "key", "known", F.lit(0).alias("role"))
-    stored = home.join(small_side(count), "root").select(
+    sizes = store(home.groupBy("known").agg(F.count("*").alias("size")))
+    spanning = held.join(small_side(several), "sig", "left_semi").join(small_side(sizes), "known")
+    spanning = store(spanning.join(home.select("key", "root", "block"), "key").distinct())
+
+    largest = spanning.groupBy("sig").agg(F.max(F.struct("size", "known"))["known"].alias("main"))
+    places = spanning.groupBy("sig", "block").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    asker = spanning.join(small_side(store(largest)), "sig").where("known <> main").select("sig", "root", "key", "known", F.col("block").alias("mine"))
+    other = (F.col("block") != F.col("mine")) & ((F.col("low") != F.col("known")) | (F.col("high") != F.col("known")))
+    asking = asker.join(small_side(store(places)), "sig").where(other).select("root", "block", "key", "known").distinct()
+    asking = store(asking.join(members.select("key", "n"), "key"))
+    # askers of a block in pieces of bounded size; a piece meets the block at once
+    count = small_side(store(asking.groupBy("root", "block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("pieces"))))
+    piece = F.pmod(F.xxhash64("key", F.lit(13)), F.col("pieces"))
+    asks = asking.join(count, ["root", "block"]).select("root", "block", piece.alias("piece"), "key", "known", F.lit(0).alias("role"))
+    stored = spanning.select("root", "block", "key", "known").distinct().join(count, ["root", "block"]).select(
         "root", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), "key", "known", F.lit(1).alias("role")
     )
-    both = asking.unionAll(stored).groupBy("root", "block", "piece", "key", "known").agg(F.max("role").alias("role"), F.count("*").alias("c"))
-    # an outsider that lies in the block itself both asks and is stored
-    role = F.when(F.col("c") > 1, F.lit(2)).otherwise(F.col("role"))
-    return both.select("root", F.xxhash64("block", "piece").alias("block"), "key", "known", role.alias("role"))
+    return asks.unionAll(stored).select("root", F.xxhash64("block", "piece").alias("block"), "key", "known", "role")
 
 
-def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per document of ``doc_id, text``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    keyed = store(read.mapInArrow(_keys(k), "doc_id bigint, th bigint, key bigint, n bigint"))
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
 
-    rows = read.select("text").mapInArrow(_signature_rows(k, num, den), "sig bigint, key bigint, other bigint")
-    same = Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = rows.select("key", F.coalesce("other", F.first("key").over(same)).alias("b")).where("key <> b")
-    clusters = components(pairs.select(F.col("key").alias("a"), "b"))
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, th, key, n`` of each row: hashes of text and set, size; ``key, least, root`` of each set)."""
+    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash(F.col("text")).alias("th"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    keyed = store(read.mapInArrow(_keys(k), f"doc_id {id_type}, th bigint, key bigint, n bigint, least_item bigint"))
+
+    # parts by count: packed signatures are few bytes for the work they make
+    levels = read.sparkSession.sparkContext.broadcast(levels_of(read, k))
+    parts = 1 + (read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    rows = store(read.select("text").mapInArrow(_signature_rows(k, num, den, parts, levels), _BLOCK_ROW))
+    dealt = rows.where("part is not null").select("part", "sigs", "sets", "names").repartition(parts, "part")
+    across = dealt.groupBy("part").applyInArrow(_met_in_part, "sig bigint, key bigint, first bigint")
+    met = store(rows.where("sig is not null").select("sig", "key", "first").unionAll(across))
+    clusters = components(met.select(F.col("key").alias("a"), F.col("first").alias("b")))
 
     found = clusters.join(keyed, clusters["node"] == keyed["key"])
     members = store(
-        found.groupBy("key").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"))
+        found.groupBy("key").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("least_item").alias("least_item"), F.min(F.struct("doc_id", "th")).alias("rep"))
     )
     wanted = small_side(store(members.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.th").alias("w_th"))))
     chosen = read.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     sets = store(chosen.select("text").mapInArrow(_sets(k), "key bigint, items binary").dropDuplicates(["key"]))
 
     first = _first_round(members)
-    links = _links(first.select("root", "block", "key", F.col("key").alias("known"), F.lit(2).alias("role")), sets, num, den)
+    links = _links(first.select("root", "block", "key", F.col("key").alias("known"), F.lit(2).alias("role")), sets, num, den, levels)
     linked = components(links)
-    again = _second_round(first, linked)
+    again = _second_round(first, linked, met, members)
     if again is not None:
-        linked = components(links.unionAll(_links(again, sets, num, den)))
+        linked = components(links.unionAll(_links(again, sets, num, den, levels)))
 
     # smallest document of each set, then of each group of sets
     least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     by_set = least.join(linked, least["key"] == linked["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    by_set = store(by_set)
+    return keyed, store(by_set)
+
+
+def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per document of ``doc_id, text``."""
+    keyed, by_set = _grouped(docs, k, num, den)
     by_group = store(by_set.groupBy("root").agg(F.min("least").alias("component")))
     named = store(by_set.join(small_side(by_group), "root").select("key", "component"))
     return keyed.join(small_side(named), "key", "left").select(
@@ -427,21 +606,26 @@ def groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFr
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but one document of each group; documents without words stay.
 
-    The document with the group's smallest id stays, and of rows with that id one. Rows of a
-    group without any id keep one as well.
+    What is decided on is a document, its id and its text: the one with the group's smallest id
+    stays (of several texts with that id the one with the smallest hash, without any id as well),
+    and of rows equal in both one. A document that merely shares the id of a copy stays.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = groups(docs.select("doc_id", "text"), k, num, den)
-    # one row for each id: what it stands for, and whether it is first of its group
-    first = store(found.where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
-    gone = store(first.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
-    left = docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = store(left.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")))
+    keyed, by_set = _grouped(docs.select("doc_id", "text"), k, num, den)
+    worded = keyed.where("n > 0")
+    placed = store(worded.join(small_side(by_set.select("key", "root")), "key").select("doc_id", "th", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
+    several = store(placed.groupBy("root").agg(F.count("*").alias("c"), first.alias("kept")).where("c > 1"))
+    named = placed.join(small_side(several), "root")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th"))
+    gone = small_side(store(named.where(~is_kept).select("doc_id", "th").distinct()))
+    again = store(named.where(is_kept).groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].eqNullSafe(right["doc_id"]) & (text_hash(left["text"]) == right["th"])
+
+    left = docs.join(gone, same(docs, gone), "left_anti")
     if again.isEmpty():
         return left
     repeated = small_side(again)
-    single = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    several = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    worded = text.rlike("[^\\x20\\x09-\\x0D]")
-    one = several.where(worded).withColumn("_t", text).dropDuplicates(["doc_id", "_t"]).drop("_t")
-    return single.unionAll(one).unionAll(several.where(~worded))
+    once = left.join(repeated, same(left, repeated), "left_anti")
+    return once.unionAll(left.join(repeated, same(left, repeated), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -48,7 +48,6 @@ def test_groups_of_edited_texts(spark):
 
 def test_a_large_group_is_split_and_still_whole(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 3000)
-    monkeypatch.setattr(ngram_join, "OUTSIDERS", 7)
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(3000)]
     base = rng.choice(words, 100)
@@ -56,18 +55,38 @@ def test_a_large_group_is_split_and_still_whole(spark, monkeypatch):
     assert group_rows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == brute.jaccard_groups(rows)
 
 
-def test_signatures_lose_no_pair():
-    rng, sizes = np.random.default_rng(7), ngram_join.Sizes(85, 100)
+@pytest.mark.parametrize(("num", "parts"), [(85, True), (80, False), (70, False), (95, True)])
+def test_signatures_lose_no_pair(num, parts):
+    rng = np.random.default_rng(7)
+    levels = rng.integers(0, 40, 1 << ngram_join.BUCKET_BITS).astype(np.uint8)
+    kind = ngram_join.Signatures(num, 100, levels)
+    assert (kind.sizes is not None) == parts
     for n in (1, 3, 6, 7, 8, 13, 20, 50, 140, 700):
         for _ in range(30):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-            room = int(0.15 * len(a))
+            room = int((100 - num) / 100 * len(a))
             drop = int(rng.integers(0, room + 1))
             add = int(rng.integers(0, room + 1))
             b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
             shared = len(np.intersect1d(a, b))
-            if 100 * shared >= 85 * (len(a) + len(b) - shared) and len(b):
-                assert np.intersect1d(ngram_join.signatures(a, sizes), ngram_join.signatures(b, sizes)).size
+            if 100 * shared >= num * (len(a) + len(b) - shared) and len(b):
+                assert np.intersect1d(kind.of(a), kind.of(b)).size
+
+
+def test_groups_in_any_blocks_and_parts(spark, documents, monkeypatch):
+    """Small blocks, many parts of the signatures and many flushes change nothing."""
+    want = brute.jaccard_groups([tuple(r) for r in documents.select("doc_id", "text").collect()], 5, 80)
+    for block, part, combine in ((2_000, 20_000, 5_000), (500, 1 << 24, 500)):
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(ngram_join, "PART_BYTES", part)
+        monkeypatch.setattr(ngram_join, "COMBINE", combine)
+        assert group_rows(documents.repartition(5), k=5, num=80) == want
+
+
+def test_packed_numbers_come_back():
+    x = np.random.default_rng(3).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)
+    for part in (x, x[:1], x[:0], np.sort(x)):
+        assert (ngram_join.unpack_numbers(ngram_join.pack_numbers(part)) == part).all()
 
 
 def test_components(spark):
@@ -87,6 +106,26 @@ def test_one_of_each_group_stays(odd_docs):
     assert texts.count("repeat me") == 1 and texts.count("one") == 1 and None in texts and "" in texts
 
 
+def test_one_of_each_group_is_decided_by_id_and_text(spark):
+    """An unrelated text under the id of a copy stays; near copies without ids go; clashing names pass."""
+    base = [f"w{i}" for i in range(150)]
+    near = lambda i: " ".join([*base[:i], f"x{i}", *base[i:]])
+    rows = [
+        (1, near(3)), (2, near(9)), (2, "another text that is like nothing else here at all"), (None, near(20)), (None, near(30)),
+        (None, "quite alone without any id in this whole table"), (1, near(3)), (5, ""), (5, None), (6, "  "),
+    ]
+    names = ["doc_id", "text", "th", "root", "kept", "key", "n", "_gone", "_id", "count"]
+    df = spark.createDataFrame([(*r, *["z"] * 8) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names[2:])).repartition(3)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == names
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[5], *rows[7:]], key=str)
+    nameless = ngram_join.keep_one(df.where("doc_id is null"))
+    assert nameless.count() == 2
+    text_ids = df.selectExpr("'d' || doc_id as doc_id", "text")
+    assert {(r[0], r[2]) for r in ngram_join.groups(text_ids).collect()} >= {("d1", "d1"), ("d2", "d1")}
+    assert ngram_join.keep_one(text_ids).count() == kept.count()
+
+
 def top(rows, k=10):
     want = []
     v = {i: np.floor(1024 * np.array(x, float)).astype(int) for i, x in rows if x and all(c is not None and np.isfinite(c) for c in x)}
