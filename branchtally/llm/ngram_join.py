@@ -179,12 +179,15 @@ class Signatures:
 
     def __init__(self, num: int, den: int, levels: np.ndarray):
         self.num, self.den, self.levels = num, den, levels
-        self.sizes = Sizes(num, den) if num + den >= 2 * PART_SHINGLES * (den - num) else None
+        self.sizes, self.by_parts = Sizes(num, den), num + den >= 2 * PART_SHINGLES * (den - num)
 
     def of(self, items: np.ndarray) -> np.ndarray:
-        if self.sizes is not None:
+        if self.by_parts:
             return part_signatures(items, self.sizes)
-        return first_shingles(items, self.levels, self.num, self.den)
+        # under the set's own size class and the next, so that sets of other sizes do not meet
+        own = self.sizes.of(len(items))
+        first = first_shingles(items, self.levels, self.num, self.den)
+        return np.concatenate([mix(first + np.uint64((cls + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))) for cls in (own, own + 1)])
 
 
 def _keys(k: int):
@@ -511,7 +514,7 @@ def _links(placed: DataFrame, sets: DataFrame, num: int, den: int, levels) -> Da
     return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den, levels), "a bigint, b bigint"))
 
 
-def _second_round(first: DataFrame, groups: DataFrame, met: DataFrame, members: DataFrame) -> DataFrame | None:
+def _second_round(first: DataFrame, groups: DataFrame, met: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame | None:
     """Sets of split clusters meet what they could link to in other blocks and groups.
 
     Sets that link agree in a signature. So only signatures that several groups hold matter, and
@@ -535,12 +538,16 @@ def _second_round(first: DataFrame, groups: DataFrame, met: DataFrame, members:
         return None
     sizes = store(home.groupBy("known").agg(F.count("*").alias("size")))
     spanning = held.join(small_side(several), "sig", "left_semi").join(small_side(sizes), "known")
-    spanning = store(spanning.join(home.select("key", "root", "block"), "key").distinct())
+    spanning = store(spanning.join(home.select("key", "root", "block", "n"), "key").distinct())
 
     largest = spanning.groupBy("sig").agg(F.max(F.struct("size", "known"))["known"].alias("main"))
-    places = spanning.groupBy("sig", "block").agg(F.min("known").alias("low"), F.max("known").alias("high"))
-    asker = spanning.join(small_side(store(largest)), "sig").where("known <> main").select("sig", "root", "key", "known", F.col("block").alias("mine"))
+    places = spanning.groupBy("sig", "block").agg(
+        F.min("known").alias("low"), F.max("known").alias("high"), F.min("n").alias("shortest"), F.max("n").alias("longest")
+    )
+    asker = spanning.join(small_side(store(largest)), "sig").where("known <> main").select("sig", "root", "key", "known", "n", F.col("block").alias("mine"))
     other = (F.col("block") != F.col("mine")) & ((F.col("low") != F.col("known")) | (F.col("high") != F.col("known")))
+    # and some set there is of a size that could link
+    other &= (F.col("shortest") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("longest") * den)
     asking = asker.join(small_side(store(places)), "sig").where(other).select("root", "block", "key", "known").distinct()
     asking = store(asking.join(members.select("key", "n"), "key"))
     # askers of a block in pieces of bounded size; a piece meets the block at once
@@ -583,7 +590,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     first = _first_round(members)
     links = _links(first.select("root", "block", "key", F.col("key").alias("known"), F.lit(2).alias("role")), sets, num, den, levels)
     linked = components(links)
-    again = _second_round(first, linked, met, members)
+    again = _second_round(first, linked, met, members, num, den)
     if again is not None:
         linked = components(links.unionAll(_links(again, sets, num, den, levels)))
 

@@ -60,7 +60,7 @@ def test_signatures_lose_no_pair(num, parts):
     rng = np.random.default_rng(7)
     levels = rng.integers(0, 40, 1 << ngram_join.BUCKET_BITS).astype(np.uint8)
     kind = ngram_join.Signatures(num, 100, levels)
-    assert (kind.sizes is not None) == parts
+    assert kind.by_parts == parts
     for n in (1, 3, 6, 7, 8, 13, 20, 50, 140, 700):
         for _ in range(30):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
