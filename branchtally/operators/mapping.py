@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ColumnResolutionError
@@ -38,6 +38,8 @@ _ID_POINTS = {
 }
 _CODE_POINTS = {"MAIN_CODE": 40, "MAIN CODE": 35, "KODE INDUK": 30}
 OVERLAP_WEIGHT = 10_000
+# Candidates that share one whole number, a bit for each.
+_MASK_BITS = 62
 
 
 def pick_reference(tables: Tables, key: str = LOOKUP_KEY) -> tuple[str, DataFrame]:
@@ -119,37 +121,41 @@ def candidate_overlap(
 ) -> DataFrame:
     """``candidate, overlap``: how many distinct probe ids each candidate knows.
 
-    Each table is read once, whatever number of its columns are candidates. Ids are made
-    distinct before they are joined, so no id weighs more than one row.
+    Each table is read once, whatever number of its columns are candidates. Master and probe
+    rows meet in one aggregate by id, which keeps one bit for each candidate and one for the
+    probe, so an id is one row for each task and nothing is joined; a second aggregate counts bits.
     """
     by_table: dict[int, list[tuple[int, MappingCandidate]]] = {}
     for n, c in enumerate(candidates):
         by_table.setdefault(id(c.frame), []).append((n, c))
-    stacked = []
+    words = range(len(candidates) // _MASK_BITS + 1)
+
+    def masks(ns: Sequence[int], probed: bool = False) -> list[Column]:
+        bits = [sum(1 << n % _MASK_BITS for n in ns if n // _MASK_BITS == w) for w in words]
+        return [F.lit(b).cast("long").alias(f"w{w}") for w, b in enumerate(bits)] + [F.lit(int(probed)).alias("probed")]
+
+    ids = canonical_id(as_text(probe, probe_id))
+    stacked = [probe.select(ids.alias("id"), *masks((), True))]
     for group in by_table.values():
         frame = group[0][1].frame
         by_id: dict[str, list[int]] = {}
         for n, c in group:
             by_id.setdefault(c.id_column, []).append(n)
-        options = F.array(
-            *[
-                F.struct(
-                    canonical_id(as_text(frame, name)).alias("id"),
-                    F.array(*map(F.lit, ns)).alias("candidates"),
-                )
-                for name, ns in by_id.items()
-            ]
-        )
-        stacked.append(frame.select(F.explode(options).alias("o")).select("o.id", "o.candidates"))
-    known = reduce(DataFrame.unionByName, stacked).where(_usable(F.col("id"))).distinct()
-    ids = canonical_id(as_text(probe, probe_id))
-    probes = probe.select(ids.alias("id")).where(_usable(F.col("id"))).distinct()
-    met = known.join(probes, "id", "left_semi")
-    return (
-        met.select(F.explode("candidates").alias("candidate"))
-        .groupBy("candidate")
-        .agg(F.count(F.lit(1)).alias("overlap"))
+        options = [
+            F.struct(canonical_id(as_text(frame, name)).alias("id"), *masks(ns))
+            for name, ns in by_id.items()
+        ]
+        stacked.append(frame.select(F.inline(F.array(*options))))
+    known = reduce(DataFrame.unionAll, stacked).where(_usable(F.col("id")))
+    by_mask = known.groupBy("id").agg(
+        *[F.bit_or(f"w{w}").alias(f"w{w}") for w in words], F.max("probed").alias("probed")
     )
+    holds = [
+        F.count_if(F.col(f"w{n // _MASK_BITS}").bitwiseAND(F.lit(1 << n % _MASK_BITS)) != 0)
+        for n in range(len(candidates))
+    ]
+    counted = by_mask.where("probed = 1").agg(F.array(*holds).alias("counts"))
+    return counted.select(F.posexplode("counts").alias("candidate", "overlap")).where("overlap > 0")
 
 
 def best_mapping(

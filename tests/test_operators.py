@@ -22,7 +22,15 @@ from branchtally.operators.lookup import (
     unmapped_counts,
     unmapped_keys,
 )
-from branchtally.operators.mapping import best_mapping, id_mapping, lookup_id, mapping_candidates, pick_reference
+from branchtally.operators.mapping import (
+    MappingCandidate,
+    best_mapping,
+    candidate_overlap,
+    id_mapping,
+    lookup_id,
+    mapping_candidates,
+    pick_reference,
+)
 from branchtally.operators.ordering import sort_for_dashboard
 from branchtally.operators.reconcile import monthly_balances, write_back
 from branchtally.operators.summarize import report_rows, summarize, with_grand_total
@@ -234,6 +242,16 @@ def test_best_mapping_goes_by_overlap_then_preference(frame):
         mapping_candidates([("t", frame("ID,OTHER", ("1", "2")))])
 
 
+def test_overlap_counts_many_candidates_without_a_join(frame):
+    headers = [f"ID {n}" for n in range(70)]
+    first = frame("ID,MAIN_CODE", ("a", "1"), ("a", "2"), ("b", "3"), ("", "4"), (None, "5"))
+    found = [MappingCandidate(h, first.withColumnRenamed("ID", h), h, "MAIN_CODE") for h in headers]
+    found.append(MappingCandidate("none", frame("ID,MAIN_CODE", ("z", "1")), "ID", "MAIN_CODE"))
+    counted = candidate_overlap(found, frame("ID", ("a",), ("a",), ("c",), ("nan",), (None,)))
+    assert sorted(map(tuple, counted.collect())) == [(n, 1) for n in range(70)]
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_best_mapping_over_several_tables(frame):
     first = frame("ID,MAIN_CODE", ("a", "1"))
     second = frame("USER ID,KODE INDUK", ("a", "2"), ("b", "3"))
