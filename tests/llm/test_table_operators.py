@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from branchtally.llm import ngram_join, sharding, topk
 
@@ -83,6 +84,27 @@ def test_groups_in_any_blocks_and_parts(spark, documents, monkeypatch):
         assert group_rows(documents.repartition(5), k=5, num=80) == want
 
 
+def test_first_thresholds_leave_fewer_pairs_and_the_same_rows():
+    rng = np.random.default_rng(8)
+    centre = rng.integers(-900, 900, (12, 32))
+    x = (centre[rng.integers(0, 12, 4_000)] + rng.integers(-60, 60, (4_000, 32))).astype(np.int64)
+    xid, q = np.arange(4_000), x[::200]
+    qid = xid[::200]
+    plain, sieved = [], []
+    want = list(topk.best_of_block(qid, q, xid, x, 10, tally=plain))
+    first = topk.first_limits(qid, q, xid[::4], x[::4], 10)
+    got = list(topk.best_of_block(qid, q, xid, x, 10, first, sieved))
+    assert got == want and sum(sieved) < sum(plain) / 2
+    assert np.isinf(topk.first_limits(qid, q, xid[:10], x[:10], 10)[0])
+
+
+def test_candidates_are_dealt_evenly(spark):
+    assert topk.row_groups(20_000) == 32 and topk.row_groups(10**8) == 1_526
+    df = spark.range(20_000).selectExpr("id * 32 as id", "array(id, 1L) as v")
+    sizes = [r[0] for r in df.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(32))).count().select("count").collect()]
+    assert len(sizes) == 32 and max(sizes) < 1.2 * 625
+
+
 def test_packed_numbers_come_back():
     x = np.random.default_rng(3).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)
     for part in (x, x[:1], x[:0], np.sort(x)):
