@@ -2,15 +2,18 @@
 
 All runs of ``K`` words of every text are hashed and joined by Spark with the positions of the
 same runs in the templates. A hit at text position p and template position t votes for the
-diagonal p - t. Votes are summed by diagonal, diagonals that lie close together are merged (an
-inserted or a dropped word shifts the rest by one), and a merged span is verified by the share
-of the template's words that its hits cover.
+diagonal p - t. Votes are summed by diagonal and neighbouring diagonals are merged: n inserted or
+dropped words shift what follows by n, so the pieces of an edited notice follow one another on
+diagonals n apart. Neighbours are at most ``NEAR`` apart, and at most half of the template's length,
+so copies of a notice stay apart; any number of edits may follow one another. The union of the
+merged pieces is verified by the share of the template's words that its hits cover.
 
 Texts are named by two hashes of themselves, so copies of a text are voted on once and hits of a
 hot text are combined before they move. The template table is small and fixed.
 
 Defined cases: null and empty texts have no words; texts shorter than a run have only phrases;
-empty tables give an empty result; repeated rows come out repeated; further columns are not read.
+empty tables give an empty result; repeated rows come out repeated; further columns are not read;
+very long texts are hashed in slices, and their hits are counted by diagonal before they are merged.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 
 from .textnp import ALNUM, grouped, hash_words, shingles
 
-#: Words of a run, the distance of diagonals that are merged, the covered share that proves a text.
-K, NEAR, COVER = 4, 3, 0.6
+#: Words of a run, the most that neighbouring diagonals are apart, the covered share that proves a text.
+K, NEAR, COVER = 4, 32, 0.6
+#: Neighbours of the shortest templates, of which half is less.
+LEAST_NEAR = 3
 
 # The phrases of the contract with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Notices as their licenses word them.
+# Notices as their licenses word them, each clause of the longer ones by itself.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": (
@@ -44,14 +49,46 @@ TEMPLATES = {
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
     ),
+    "mit-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "gpl-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
     "gpl-terms": "under the terms of the GNU General Public License",
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
+    "bsd-conditions": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution."
+    ),
+    "bsd-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "bsd-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
@@ -134,7 +171,8 @@ def voted(runs: DataFrame, templates: DataFrame, k: int = K) -> DataFrame:
     )
     # a new span begins where a diagonal is far from the one before
     order = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
-    begins = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR).cast("int")
+    near = F.greatest(F.lit(LEAST_NEAR), F.least(F.lit(NEAR), F.floor(F.col("length") / 2)))
+    begins = (F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int")
     merged = (
         diagonals.withColumn("span", F.sum(F.coalesce(begins, F.lit(0))).over(order))
         .groupBy("k1", "k2", "template", "length", "span")
