@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_out, matches, matches_if, small_side, spans_text
+from .common import bound, cut, cut_out, disjoint, matches, matches_if, running, small_side, spans_text
 
 # The base patterns of the contract. ``\G`` is the end of the match before; a run
 # is entered only at its begin or there, and is possessive, so no text is read twice.
@@ -106,7 +106,8 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     names = cut(candidates.select("term").distinct())
     words = found.select(F.explode(_terms(F.col("_text"))).alias("term"))
     all_words = found.select(F.sum(F.size(_terms(F.col("_text")))).alias("n_all"))
-    totals = words.join(small_side(names), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted in the map tasks before the join; Spark filters first where the names are broadcast
+    totals = words.groupBy("term").agg(F.count("*").alias("n_t")).join(small_side(names), "term", "left_semi")
     scored = candidates.join(totals, "term").join(F.broadcast(all_words))
     share = F.col("n_c") / F.col("n_all")
     pmi = F.log2(F.col("n_tc") * F.col("n_all") / (F.col("n_t") * F.col("n_c")))
@@ -151,12 +152,13 @@ def _term_matches() -> Column:
     own = F.array_sort(F.transform("_terms", lambda t: t["term"]))
     pattern = F.concat(F.lit("(?<![\\p{L}\\p{N}])(?:"), F.array_join(own, "|"), F.lit(")(?![\\p{L}\\p{N}])"))
     lowered = _lowered(F.col("_text"))
-    base = F.concat(*KINDS)
-    inside = lambda m: F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    # blanks in the place of base matches keep all other places, and no term runs across one
+    spaces = lambda start, end, _: F.repeat(F.lit(" "), end - start)
     part = lambda m: F.filter("_terms", lambda t: t["term"] == m["hit"])[0]["disclosure"]
     # only a text of invalid bytes can still change its number of characters; it is searched as it is
     where = F.when(F.length(lowered) == F.length("_text"), lowered).otherwise(F.col("_text"))
-    free = F.filter(matches(where, pattern), lambda m: ~inside(m))
+    base = F.array_sort(F.transform(F.concat(*KINDS), lambda m: F.struct(m["start"], m["end"])))
+    free = bound(cut_out(where, disjoint(base, spaces)), lambda t: matches(t, pattern))
     return F.transform(
         free,
         lambda m: F.struct(m["start"], m["end"], m["hit"], F.when(part(m) >= REMOVE, F.lit("")).otherwise(_general(m["hit"])).alias("instead")),
@@ -181,10 +183,11 @@ def sanitised(scanned: DataFrame, text_col: str = "text") -> Column:
     named = lambda kind: F.transform(kind, lambda m: F.struct(m["start"], m["end"], F.lit(f"<{kind}>").alias("instead")))
     entity = map(named, KINDS)
     term = F.transform("term", lambda m: F.struct(m["start"], m["end"], m["instead"]))
-    none = F.array().cast("array<struct<start:int,end:int,instead:string>>")
-    step = lambda acc, m: F.when(m["start"] < acc["end"], acc).otherwise(
-        F.struct(m["end"].alias("end"), F.concat(acc["out"], F.array(m)).alias("out"))
-    )
-    begin = F.struct(F.lit(0).alias("end"), none.alias("out"))
-    chosen = F.aggregate(F.array_sort(F.concat(*entity, term)), begin, step, lambda acc: acc["out"])
-    return cut_out(F.col(text_col), chosen)
+    every = F.array_sort(F.concat(*entity, term))
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        free = m["start"] >= at
+        none = F.array().cast("array<struct<start:int,end:int,instead:string>>")
+        return F.when(free, m["end"]).otherwise(at), F.when(free, F.array(m)).otherwise(none)
+
+    return cut_out(F.col(text_col), running(every, "struct<start:int,end:int,instead:string>", step))

@@ -5,15 +5,17 @@ models over characters are then trained: one on random strings (the values that
 patterns labelled), one on ordinary identifiers (the words of the same texts that no base match
 touches). A long token whose log-likelihood ratio a character exceeds a threshold is reported
 as ``markov``. Training reads a bounded sample of labelled texts (``SAMPLE_ROWS``, by hash);
-scanning reads every text whole.
+scanning reads every text whole. Where a base match covers a part of a token, the rest of it is
+judged as a token of its own.
 
 The model is one array of 128 x 128 ratios, a constant of the scoring projection, so a token is
 scored by array lookups in the engine. No Python code runs on the executors.
 
 Defined cases: null texts count as empty and have no spans; empty tables give an empty result;
 without labelled values the ratios are 0 and nothing is added; characters beyond ASCII
-never belong to a candidate token; repeated rows are scanned one by one; other columns pass
-through ``scan`` unchanged, and columns named like the added ones are replaced.
+never belong to a candidate token; repeated rows are scanned one by one; a very long text is read
+by one task in time near linear in its matches; other columns pass through ``scan`` unchanged, and
+columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_out, matches_if
+from .common import bound, cut_out, disjoint, matches, matches_if
 
 # The base patterns of the contract. Runs are possessive and begin where a run
 # begins, which finds the same matches without retrying inside a run.
@@ -81,7 +83,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     value = lambda m: F.coalesce(F.nullif(F.regexp_extract(m["hit"], ASSIGN_VALUE, 1), F.lit("")), m["hit"])
     hits = F.concat(found["assign"], found["access"], found["hex"])
     read = labelled.withColumn("hits", F.array_sort(hits))
-    bare = cut_out(F.col("t"), F.transform(_disjoint(F.col("hits")), lambda m: F.struct(m["start"], m["end"], F.lit(" ").alias("instead"))))
+    bare = cut_out(F.col("t"), disjoint(F.col("hits"), lambda start, end, first: F.when(first, F.lit(" ")).otherwise(F.lit(""))))
     tokens = read.select(
         F.lit(True).alias("random"), F.explode(F.array_distinct(F.transform("hits", value))).alias("token")
     ).unionAll(read.select(F.lit(False), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0))))))
@@ -117,24 +119,21 @@ def ratio(token: Column, model: list[float]) -> Column:
     return total / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def _disjoint(spans: Column) -> Column:
-    """Of spans sorted by start, those that begin at or after the end of all kept before."""
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    step = lambda acc, m: F.when(m["start"] < acc["end"], acc).otherwise(
-        F.struct(m["end"].alias("end"), F.concat(acc["out"], F.array(m)).alias("out"))
-    )
-    return F.aggregate(spans, F.struct(F.lit(0).alias("end"), none.alias("out")), step, lambda acc: acc["out"])
+def _blanked(text: Column, found: Column) -> Column:
+    """``text`` with blanks in the place of the spans ``found``; every other character keeps its place."""
+    spaces = lambda start, end, _: F.repeat(F.lit(" "), end - start)
+    return cut_out(text, disjoint(F.array_sort(found), spaces))
 
 
 def scan(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus ``assign, access, hex, markov``: arrays of (start, end, hit)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumns(base_spans(text))
-    known = F.concat("assign", "access", "hex")
-    tokens = matches_if(text, text.rlike("[A-Za-z0-9+/_=-]{20}"), TOKEN)
-    free = F.filter(tokens, lambda m: ~F.exists(F.col("_known"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    likely = F.filter(free, lambda m: ratio(m["hit"], model) >= threshold)
-    return base.withColumn("_known", known).withColumn("markov", likely).drop("_known")
+    # blanked texts hold the parts of tokens that no base match covers, in their own places
+    bare = F.when(F.size("assign") + F.size("access") + F.size("hex") > 0, _blanked(text, F.concat("assign", "access", "hex"))).otherwise(text)
+    # the sieve looks at the text as it is, so that the others are blanked and searched no further
+    tokens = F.when(text.rlike("[A-Za-z0-9+/_=-]{20}"), bound(bare, lambda t: matches(t, TOKEN))).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    return base.withColumn("markov", F.filter(tokens, lambda m: ratio(m["hit"], model) >= threshold))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -159,15 +158,6 @@ def report(scanned: DataFrame) -> DataFrame:
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Column:
     """The text with every reported span replaced; overlapping spans are joined first."""
-    none = F.array().cast("array<struct<start:int,end:int,instead:string>>")
     plain = F.array_sort(F.transform(F.concat(*KINDS), lambda m: F.struct(m["start"], m["end"])))
-
-    def join(acc: Column, m: Column) -> Column:
-        last = F.element_at(acc, -1)
-        mine = F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(mark).alias("instead")))
-        wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"), F.lit(mark).alias("instead")))
-        touching = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > m["start"])
-        return F.when(touching, F.concat(F.slice(acc, 1, F.size(acc) - 1), wider)).otherwise(F.concat(acc, mine))
-
-    merged = F.aggregate(plain, none, join)
-    return F.when(F.size(plain) > 0, cut_out(F.col(text_col), merged)).otherwise(F.col(text_col))
+    marked = lambda start, end, first: F.when(first, F.lit(mark)).otherwise(F.lit(""))
+    return cut_out(F.col(text_col), disjoint(plain, marked))

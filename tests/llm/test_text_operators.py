@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from branchtally.llm import bpe, licenses, mixing, pii, quality, secrets, textnp, toxicity
+from branchtally.llm import bpe, common, licenses, mixing, pii, quality, secrets, textnp, toxicity
 
 from . import brute
 
@@ -73,6 +73,34 @@ def test_secrets(pairs):
     assert got == {i: brute.secret(t) for i, t in want}
 
 
+def test_texts_with_very_many_matches(spark):
+    rng = np.random.default_rng(4)
+    value = lambda n: "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789"), n))
+    texts = [
+        " ".join(f"token={value(30)}" if i % 2 else value(30) for i in range(6_000)),
+        " ".join(f"u{i}@m{i % 7}.com é" for i in range(10_000)),
+        "x" + value(30) + "_AKIA" + "Z" * 20 + "_" + value(30),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = df.select("doc_id", F.size(common.matches(F.col("text"), pii.EMAIL)).alias("n"))
+    start = time.perf_counter()
+    assert rows(found, "n")[1] == (10_000,)
+    always = secrets.scan(df, [1.0] * 128 * 128)
+    got = rows(secrets.report(always), "n_assign", "n_access", "n_hex", "base_sha256", "n_markov", "spans")
+    assert time.perf_counter() - start < 60
+    assert {i: r[:4] for i, r in got.items()} == {i: brute.secret(t) for i, t in enumerate(texts)}
+    assert got[0][4] == 3_000
+    # what a base match leaves of a token is judged as a token of its own
+    assert got[2][5] == "markov:0:32,access:32:56,markov:56:87"
+    base = brute.personal(texts[1])
+    scanned = df.where("doc_id = 1").select("doc_id", "text", *[c.alias(k) for k, c in pii.base_spans(F.col("text")).items()])
+    scanned = scanned.withColumn("term", F.array().cast("array<struct<start:int,end:int,hit:string,instead:string>>"))
+    assert rows(pii.report(scanned), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")[1] == base
+    assert scanned.select(pii.sanitised(scanned)).first()[0] == " ".join(["<email> é"] * 10_000)
+    red = always.where("doc_id <> 1").select("doc_id", secrets.redact(always).alias("t")).collect()
+    assert {r[0]: r[1] for r in red} == {0: " ".join(["[SECRET]"] * 6_000), 2: "[SECRET]" * 3}
+
+
 def test_markov_models_tell_random_strings_from_identifiers(spark):
     rng = np.random.default_rng(1)
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -140,6 +168,24 @@ def test_license_phrases(pairs):
     assert got == {i: brute.phrases(t) for i, t in want}
 
 
+def test_clauses_are_found_and_pieces_of_edited_notices_are_joined(spark):
+    rng = np.random.default_rng(6)
+    noise = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+    mit = licenses.TEMPLATES["mit"].split()
+    cuts = [" ".join([*mit[: len(mit) // 2], *noise(n).split(), *mit[len(mit) // 2 :]]) for n in (4, 6, 10, 30)]
+    often = " ".join(" ".join([*mit[i : i + 18], noise(9)]) for i in range(0, len(mit), 18))
+    texts = [noise(20) + " " + t + " " + noise(20) for t in (*cuts, often)]
+    texts += [licenses.TEMPLATES[name] for name in ("mit-warranty", "bsd-warranty", "bsd-conditions", "isc", "gpl-warranty")]
+    texts += [" ".join(mit) + " " + noise(50) + " " + " ".join(mit), " ".join(mit[:30]), noise(400)]
+    got = rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")), "labels", "score", "voted_spans")
+    n = len(licenses._words(" ".join(mit)))
+    assert [got[i][0] for i in range(5)] == ["mit"] * 5
+    assert got[3][2] == f"mit:20:{20 + n + 30}"
+    assert [got[i][0] for i in range(5, 10)] == ["mit-warranty", "bsd-warranty", "bsd-conditions", "isc", "gpl,gpl-warranty"]
+    assert sorted(got[10][2].split(",")) == sorted([f"mit:0:{n}", f"mit:{n + 50}:{2 * n + 50}"])
+    assert got[11][:2] == ("", 0.0) and got[12][:2] == ("", 0.0)
+
+
 def test_licenses_are_voted_with_words_inserted_and_changed(spark):
     mit = licenses.TEMPLATES["mit"]
     broken = mit.replace("free of charge,", "free of any charge at all,").replace("merge", "fuse")
