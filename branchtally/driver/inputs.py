@@ -110,9 +110,11 @@ def document_files(spark, d) -> DataFrame:
     """
     docs = table(spark, d, "documents")
     narrow = F.col("text").rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
-    lang = F.when(narrow, F.col("lang"))
-    parts = docs.select("doc_id", lang.alias("lang"), F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
-    cell = F.concat(F.lit("<"), F.translate("t", '|"', "/^"), F.lit(">"))
+    # a level of its own: next to the explode each text would be matched once for each of its lines
+    known = docs.select("doc_id", F.when(narrow, F.col("lang")).alias("lang"), "text")
+    parts = known.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
+    plain = F.replace(F.replace("t", F.lit("|"), F.lit("/")), F.lit('"'), F.lit("^"))
+    cell = F.concat(F.lit("<"), plain, F.lit(">"))
     bytes_of = lambda tail: F.concat(F.encode(cell, "ISO-8859-1"), F.unhex(F.lit(tail)))
     raw = (
         F.when(F.col("lang") == "fr", bytes_of("80"))

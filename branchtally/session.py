@@ -26,6 +26,11 @@ def local_session(cores: int | str = 8, app: str = "branchtally") -> SparkSessio
     )
 
 
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    """Whether a checkpoint folder is set or named by the session's configuration."""
+    return bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only where none is configured.
 

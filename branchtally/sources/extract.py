@@ -36,10 +36,10 @@ from ..functions import (
     unique_headers,
 )
 from ..operators.joins import fits_broadcast, left_lookup
-from ..session import ensure_checkpoint_dir
+from ..session import has_checkpoint_dir
 from .local import local_frame
 from .lines import decode_line, file_encoding, line_traits, read_lines
-from .records import opens_quote, whole_records
+from .records import opens_quote, stored, whole_records
 
 # Cells that mark a row as column titles (two exact hits are enough).
 TITLE_HINTS = (
@@ -167,12 +167,12 @@ def title_score(cells: Column, hints: Sequence[str]) -> Column:
 def _may_be_title(line: Column, delimiter: str, hints: Sequence[str]) -> Column:
     """Cheap and never wrong in saying no: some cell of the line is a known title.
 
-    Counting cells one by one costs five times as much and is left for the few lines
-    that pass.
+    Looks only where a cell begins, so long cells cost little. Counting cells one by one is
+    left for the few lines that pass.
     """
-    blank = r"[\s\p{Z}\x1c-\x1f\x85]*"
-    cells = F.split(F.upper(strip(line)), blank + re.escape(delimiter) + blank)
-    return F.arrays_overlap(cells, F.expr(f"array({text_list(hints)})"))
+    blank = r"[\s\p{Z}\x1c-\x1f\x85]*+"
+    begin, titles = re.escape(delimiter), "|".join(map(re.escape, hints))
+    return F.rlike(F.upper(line), F.lit(rf"(?:^|{begin}){blank}(?:{titles}){blank}(?:{begin}|\z)"))
 
 
 def _split(line: Column, delimiter: str) -> Column:
@@ -396,6 +396,9 @@ def _settle_titles(titles: DataFrame, delimiter: str | None) -> _Titles:
     its rows may have and, for each column of the extract, which field it is.
     """
     spark = titles.sparkSession
+    kept = has_checkpoint_dir(spark)
+    if kept:  # the text is read once, however many files turn out to be there
+        titles = stored(titles, "titles")
     rows = titles.limit(MAX_LOCAL_FILES + 1).collect()
     if len(rows) <= MAX_LOCAL_FILES:
         found = local_frame(spark, [tuple(r) for r in rows], titles.schema)
@@ -404,8 +407,7 @@ def _settle_titles(titles: DataFrame, delimiter: str | None) -> _Titles:
             first.setdefault(_one_text(r["title"]), r["title"])
     else:
         rows = None
-        ensure_checkpoint_dir(spark)
-        found = titles.checkpoint()
+        found = titles if kept else stored(titles, "titles")
         text = _line_text(F.col("title"), delimiter)
         kinds = found.groupBy(text.alias("text")).agg(F.min("src").alias("src"), F.first("title").alias("title"))
         first = {r["text"]: r["title"] for r in kinds.orderBy("src").collect()}

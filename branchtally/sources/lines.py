@@ -57,7 +57,7 @@ def line_traits(line: Column) -> Column:
     """
     valid = F.is_valid_utf8(line)
     as_latin = F.decode(line.cast("binary"), "ISO-8859-1")
-    undefined = F.length(F.translate(as_latin, _UNDEFINED, "")) < F.length(as_latin)
+    undefined = F.rlike(as_latin, F.lit(f"[{_UNDEFINED}]"))
     return (
         F.when(valid & (F.octet_length(line) == F.length(line)), F.lit("ascii"))
         .when(valid, F.when(undefined, F.lit("utf-8 only")).otherwise(F.lit("utf-8")))

@@ -56,7 +56,7 @@ def whole_records(lines: DataFrame, delimiter: str, files: DataFrame) -> DataFra
     """
     side = F.broadcast(files) if fits_broadcast(files) else files
     mine = lines.join(side, "src", "left_semi")
-    members = _stored(_members(mine, delimiter))
+    members = stored(_members(mine, delimiter))
     longest = members.groupBy("src", "hblk", "hrow").agg(F.sum("size").alias("size")).agg(F.max_by(F.struct("src", "size"), "size").alias("r")).first()["r"]
     if longest is not None and longest["size"] > RECORD_BYTES:
         raise ExtractError(f"a quoted cell in {longest['src']} runs over {longest['size']} bytes; at most {RECORD_BYTES} are read as one record")
@@ -69,7 +69,7 @@ def whole_records(lines: DataFrame, delimiter: str, files: DataFrame) -> DataFra
         "src", F.col("hblk").alias("blk"), F.col("hrow").alias("row"),
         F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"), F.size("parts").alias("span"),
     )
-    records = _stored(alone.unionByName(together))
+    records = stored(alone.unionByName(together))
     joined = records.where("span > 1").agg(F.sum("span")).first()[0] or 0
     if joined != members.count():
         raise ExtractError("lines of quoted cells were not met again: the files changed while they were read")
@@ -90,7 +90,7 @@ def _members(lines: DataFrame, delimiter: str) -> DataFrame:
     fixed = F.when(F.col("run") > 0, F.first("o").over(run)).otherwise(0)
     after = runs.withColumns({"fixed": F.col("run") > 0, "after": ((fixed + turned) % 2).cast("int")}).drop("run", "o", "i")
     lined = after.withColumns({"before": F.lag("after", 1, 0).over(here), "known": F.lag("fixed", 1, False).over(here)})
-    lined = _stored(lined)
+    lined = stored(lined)
 
     # one row a split: its effect, and its last line that begins a record, for either beginning
     heads = {s: F.max(F.when(_state("before", "known", F.lit(s)) == 0, F.col("row"))) for s in (0, 1)}
@@ -126,8 +126,8 @@ def _state(relative: str, known: str, start: Column) -> Column:
     return F.when(F.col(known), F.col(relative)).otherwise((F.col(relative) + start) % 2)
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, kind: str = "records") -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that places in it hold from then on."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/records-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

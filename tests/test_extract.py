@@ -9,8 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from branchtally.driver import inputs
 from branchtally.errors import EmptyInputError, ExtractError
-from branchtally.sources import parse_table, pick_source, read_extract, read_lines
+from branchtally.sources import parse_lines, parse_table, pick_source, read_extract, read_lines
 from branchtally.sources import extract as extract_module
 from branchtally.sources import records
 from branchtally.sources.extract import header_note
@@ -385,3 +386,40 @@ def test_titles_below_other_lines_survive_other_splits(spark, tmp_path):
             spark.conf.set(k, v)
     assert len(rows) == 9003 and not [r for r in rows if r["ID"] == "ID"]
     assert sum(r["VOLUME"] for r in rows) == 3 * (2999 * 1500 + 1)
+
+
+def test_a_text_is_matched_once_however_many_lines_it_has(spark, tmp_path):
+    """The encoding rule of a document is asked below the explode into lines, not next to it."""
+    spark.createDataFrame([(1, "fr", "a|b\n\"c\"")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = inputs.document_files(spark, str(tmp_path))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("RLIKE")
+    assert sorted(r["line"] for r in lines.selectExpr("decode(cast(line as binary), 'ISO-8859-1') as line").collect()) == ["0|<a/b>\x80", "1|<^c^>\x80", "ID|SEGMEN"]
+
+
+def test_titles_of_many_files_are_found_in_one_pass(spark, tmp_path, monkeypatch):
+    """Whether the facts on the files fit on the driver or are stored, the text is read once for them."""
+    monkeypatch.setattr(extract_module, "MAX_LOCAL_FILES", 1)
+    monkeypatch.setattr(extract_module, "has_checkpoint_dir", lambda spark: True, raising=False)
+    read = tmp_path / "read"
+
+    def noted(batches):
+        for batch in batches:
+            with read.open("a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    rows = [(s, 0, n, line) for s in "abc" for n, line in enumerate(["ID|AMOUNT", "1|2"])]
+    lines = spark.createDataFrame(rows, "src string, blk long, row long, line string").mapInArrow(noted, "src string, blk long, row long, line string")
+    data = parse_lines(lines, numeric_columns=["AMOUNT"]).data
+    assert len(read.read_text()) == len(rows)
+    assert sorted((r["_ord"]["src"], r["ID"], r["AMOUNT"]) for r in data.collect()) == [(s, "1", 2.0) for s in "abc"]
+
+
+@pytest.mark.parametrize("line, titled", [
+    ("id  |x", True), ("x| amount", True), ("x|AMOUNT_IN_IDR\x1c|", True), ("", False),
+    ("identity|amounts", False), ("x id|y", False), ("a|i d", False), ("x|\nID", True), ("ID\n", True),
+])
+def test_a_line_may_be_titles_if_a_whole_cell_is_one(spark, line, titled):
+    may = extract_module._may_be_title(F.col("line"), "|", extract_module.hint_set())
+    assert spark.createDataFrame([(line,)], "line string").select(may).first()[0] is titled
