@@ -1,8 +1,8 @@
 """BPE encoding and decoding with content-defined reuse of chunks.
 
 A rolling hash over the bytes cuts every text where its content says so, so equal passages give
-equal chunks wherever they stand. Chunks that occur more than once in the corpus are encoded
-once. A text is then put together from the shared chunks' tokens and from its own stretches; at
+equal chunks wherever they stand. Chunks that occur more than once in the corpus's different
+texts are encoded once. A text is then put together from the shared chunks' tokens and from its own stretches; at
 each join the text is encoded again from a place before the join until its pieces agree with the
 chunk's own, and only then the chunk's tokens are taken over.
 
@@ -270,9 +270,14 @@ def _decode(path: str | None):
 # ---------------------------------------------------------------- Spark
 
 
-def _chunk_places(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(where each text's chunks are, digests of the chunks that occur more than once), stored."""
-    places = store(keyed.select("k1", "k2", "text").mapInArrow(_places, "k1 bigint, k2 bigint, begin int, end int, h binary"))
+def _chunk_places(keyed: DataFrame, copies: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(where each text's chunks are, digests of the chunks that occur more than once), stored.
+
+    Without ``copies`` the rows of a key count once: else every chunk of a repeated text would be
+    shared, and its reading moved, to save nothing but the encoding of one text.
+    """
+    places = keyed.select("k1", "k2", "text").mapInArrow(_places, "k1 bigint, k2 bigint, begin int, end int, h binary")
+    places = store(places if copies else places.distinct())
     return places, cut(places.groupBy("h").count().where("count > 1").select("h"))
 
 
@@ -293,10 +298,9 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
     schema = f"doc_id {id_type}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
     keyed = read.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     # every text is cut once; the places name its chunks by digest
-    places, shared = _chunk_places(keyed)
+    places, shared = _chunk_places(keyed, copies=False)
     tokens = _shared_tokens(read, shared, path)
-    # places of shared chunks, once for equal texts
-    placed = places.join(small_side(shared), "h", "left_semi").distinct()
+    placed = places.join(small_side(shared), "h", "left_semi")
     plans = cut(
         placed.join(tokens, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end", "reading")).alias("shared"))
     )  # one text's chunks in a row

@@ -245,6 +245,18 @@ def test_bpe_round_trip_and_shared_chunks(documents):
     assert 0 < bpe._shared_tokens(twice, shared, None).count() == shared.count() == places.select("h").distinct().count()
 
 
+def test_bpe_moves_no_readings_for_copies_of_a_text(documents, monkeypatch):
+    """Only chunks that different texts share are encoded apart; copies of one text are not."""
+    moved = []
+    tokens = bpe._shared_tokens
+    monkeypatch.setattr(bpe, "_shared_tokens", lambda read, shared, path: moved.append(shared.count()) or tokens(read, shared, path))
+    some = documents.where("length(text) > 500").limit(20).selectExpr("doc_id", "text").localCheckpoint()
+    mixed = some.unionAll(some).unionAll(some)
+    once, thrice = bpe.digests(some).collect(), bpe.digests(mixed).collect()
+    assert sorted(thrice) == sorted(3 * once)
+    assert moved[0] == moved[1]
+
+
 def test_toxicity_learns_and_ignores_ids_and_languages(spark, documents):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
