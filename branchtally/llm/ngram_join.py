@@ -31,7 +31,7 @@ Hashes have 64 bits; two different shingles of one comparison are equal with pro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ from .textnp import NOT_SPACE, mix, shingles, whole, words_by_text
 BLOCK_SHINGLES = 1_500_000
 #: Sets of a split cluster that every block holds.
 LEADERS = 8
+#: Signatures met in a map task that one row carries.
+MET_A_ROW = 100_000
 #: Signatures that a map task combines at once, and bytes of texts for one part of the signatures.
 COMBINE, PART_BYTES = 2_000_000, 16 << 20
 #: Buckets in which shingles are counted for their common order, and rows that carry the counts.
@@ -239,26 +241,28 @@ def _packed(sig: np.ndarray, number: np.ndarray, keys: np.ndarray, parts: int) -
         begin = end
 
 
-_BLOCK_ROW = "part int, sigs binary, sets binary, names binary, sig bigint, key bigint, first bigint"
+_BLOCK_ROW = "part int, sigs binary, sets binary, names binary, met boolean"
 
 
 def _signature_rows(k: int, num: int, den: int, parts: int, levels):
     """By part of the signatures, packed: each signature of a map task with one of its sets.
 
-    Signatures that several sets of the task share come out here as (sig, key, first key), so
-    that a part gets a signature once a task, however many sets hold it.
+    Signatures that several sets of the task share come out as ``met`` rows besides, which hold
+    (signature, key, first key), so that a part gets a signature once a task, however many sets
+    hold it.
     """
 
     def flush(sigs: list, numbers: list, keys: list) -> pa.RecordBatch:
         sig, number, named = np.concatenate(sigs), np.concatenate(numbers), np.array(keys, np.int64)
         once, first, at, least = _meetings(sig, number)
-        blocks = list(zip(*_packed(once, first, named, parts), strict=True))
-        n, m = len(blocks[0]), len(at)
-        short = (sig[at] >> np.uint64(64 - SIGNATURE_BITS)).view(np.int64)
-        columns = [pa.array([*c, *[None] * m], t) for c, t in zip(blocks, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
-        mask = np.arange(n + m) < n
-        columns += [pa.array(np.concatenate([np.zeros(n, np.int64), c]), mask=mask) for c in (short, named[number[at]], named[least])]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "sigs", "sets", "names", "sig", "key", "first"])
+        rows = [(*row, False) for row in _packed(once, first, named, parts)]
+        # which part carries what met here does not matter, so a set's hash deals it
+        for low in range(0, len(at), MET_A_ROW):
+            here = slice(low, low + MET_A_ROW)
+            sets = np.concatenate([number[at[here]], least[here]]).astype(np.uint64)
+            rows.append(((keys[0] + low // MET_A_ROW) % parts, pack_numbers(sig[at[here]] >> np.uint64(64 - SIGNATURE_BITS)), pack_numbers(sets), named.tobytes(), True))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "sigs", "sets", "names", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, kind = set(), Signatures(num, den, levels.value)
@@ -285,17 +289,24 @@ def _signature_rows(k: int, num: int, den: int, parts: int, levels):
 
 
 def _met_in_part(rows: pa.Table) -> pa.Table:
-    """(sig, key, first key) of the signatures that sets of several tasks hold."""
-    sigs = [np.cumsum(unpack_numbers(x), dtype=np.uint64) for x in rows.column("sigs").to_pylist()]
-    names = [np.frombuffer(x, np.int64) for x in rows.column("names").to_pylist()]
-    sets = [unpack_numbers(x).astype(np.int64) for x in rows.column("sets").to_pylist()]
-    keys = [n[s] for n, s in zip(names, sets, strict=True)]
-    sig, key = np.concatenate(sigs), np.concatenate(keys)
-    # a set that two tasks hold meets itself there
-    pairs = np.unique(np.stack([sig.view(np.int64), key]), axis=1)
-    sig, key = pairs[0].view(np.uint64), pairs[1]
-    _, _, at, first = _meetings(sig, key)
-    return pa.table({"sig": sig[at].view(np.int64), "key": key[at], "first": first})
+    """(sig, key, first key) of the signatures that sets of several tasks hold, and of those met in one task."""
+    met = [m or False for m in rows.column("met").to_pylist()]
+    columns = [rows.column(c).to_pylist() for c in ("sigs", "sets", "names")]
+    sigs, keys, out = [], [], []
+    for packed, sets, names, there in zip(*columns, met, strict=True):
+        named, number, own = np.frombuffer(names, np.int64), unpack_numbers(sets).astype(np.int64), unpack_numbers(packed)
+        if there:
+            out.append((own.view(np.int64), *np.split(named[number], 2)))
+        else:
+            sigs.append(np.cumsum(own, dtype=np.uint64))
+            keys.append(named[number])
+    if sigs:
+        # a set that two tasks hold meets itself there
+        pairs = np.unique(np.stack([np.concatenate(sigs).view(np.int64), np.concatenate(keys)]), axis=1)
+        sig, key = pairs[0].view(np.uint64), pairs[1]
+        _, _, at, first = _meetings(sig, key)
+        out.append((sig[at].view(np.int64), key[at], first))
+    return pa.table({name: np.concatenate(c) for name, c in zip(("sig", "key", "first"), zip(*out, strict=True), strict=True)})
 
 
 # ---------------------------------------------------------------- the trie
@@ -443,10 +454,8 @@ def _block_links(num: int, den: int, levels):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(words, k) for words in words_by_text(batch.column("text"), NOT_SPACE)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "items"]
-            )
+            sets = [shingle_set(words, k).tobytes() for words in words_by_text(batch.column("text"), NOT_SPACE)]
+            yield pa.RecordBatch.from_arrays([batch.column("places"), pa.array(sets, pa.binary())], names=["places", "items"])
 
     return run
 
@@ -508,9 +517,18 @@ def _first_round(members: DataFrame) -> DataFrame:
     return store(here.unionAll(leaders.select("root", "key", block(F.col("part")), F.lit(False))))
 
 
-def _links(placed: DataFrame, sets: DataFrame, num: int, den: int, levels) -> DataFrame:
-    """The groups that the blocks' tries find, as edges; ``placed`` has root, block, key, known, role."""
-    rows = placed.join(sets, "key").select("root", "block", "key", "known", "role", "items")
+_PLACE = "struct<root:bigint,block:bigint,key:bigint,known:bigint,role:int>"
+
+
+def _links(placed: DataFrame, chosen: Callable[[DataFrame], DataFrame], k: int, num: int, den: int, levels) -> DataFrame:
+    """The groups that the blocks' tries find, as edges; ``placed`` has root, block, key, known, role.
+
+    Where a set is needed goes to its text, and the set is made there: sets, several times the
+    size of the compressed texts, move once, to their blocks.
+    """
+    places = store(placed.groupBy("key").agg(F.collect_list(F.struct("root", "block", "key", "known", "role")).alias("places")))
+    made = chosen(places).mapInArrow(_sets(k), f"places array<{_PLACE}>, items binary")
+    rows = made.select(F.explode("places").alias("at"), "items").select("at.*", "items")
     return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den, levels), "a bigint, b bigint"))
 
 
@@ -573,26 +591,35 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     # parts by count: packed signatures are few bytes for the work they make
     levels = read.sparkSession.sparkContext.broadcast(levels_of(read, k))
     parts = 1 + (read.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
-    rows = store(read.select("text").mapInArrow(_signature_rows(k, num, den, parts, levels), _BLOCK_ROW))
-    dealt = rows.where("part is not null").select("part", "sigs", "sets", "names").repartition(parts, "part")
-    across = dealt.groupBy("part").applyInArrow(_met_in_part, "sig bigint, key bigint, first bigint")
-    met = store(rows.where("sig is not null").select("sig", "key", "first").unionAll(across))
+    dealt = read.select("text").mapInArrow(_signature_rows(k, num, den, parts, levels), _BLOCK_ROW).repartition(parts, "part")
+    met = store(dealt.groupBy("part").applyInArrow(_met_in_part, "sig bigint, key bigint, first bigint"))
     clusters = components(met.select(F.col("key").alias("a"), F.col("first").alias("b")))
 
     found = clusters.join(keyed, clusters["node"] == keyed["key"])
+    by_text = found.groupBy("key", "doc_id", "th").agg(
+        F.first("root").alias("root"), F.first("n").alias("n"), F.first("least_item").alias("least_item"), F.count("*").alias("copies")
+    )
     members = store(
-        found.groupBy("key").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("least_item").alias("least_item"), F.min(F.struct("doc_id", "th")).alias("rep"))
+        by_text.groupBy("key").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("least_item").alias("least_item"), F.min(F.struct("doc_id", "th", "copies")).alias("rep"))
     )
-    wanted = small_side(store(members.select(F.col("rep.doc_id").alias("w_id"), F.col("rep.th").alias("w_th"))))
-    chosen = read.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    sets = store(chosen.select("text").mapInArrow(_sets(k), "key bigint, items binary").dropDuplicates(["key"]))
+    reps = store(members.select("key", F.col("rep.doc_id").alias("w_id"), F.col("rep.th").alias("w_th"), (F.col("rep.copies") > 1).alias("again")))
+
+    def chosen(places: DataFrame) -> DataFrame:
+        """``text, places`` of one document for each key of ``places``."""
+        wanted = small_side(store(places.join(reps, "key")))
+        there = read.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "again", "text", "places")
+        if reps.where("again").isEmpty():
+            return there.select("text", "places")
+        # rows that repeat both id and text stand for one set
+        one = there.where("again").groupBy("key").agg(F.first("text").alias("text"), F.first("places").alias("places"))
+        return there.where("not again").select("text", "places").unionAll(one.select("text", "places"))
 
     first = _first_round(members)
-    links = _links(first.select("root", "block", "key", F.col("key").alias("known"), F.lit(2).alias("role")), sets, num, den, levels)
+    links = _links(first.select("root", "block", "key", F.col("key").alias("known"), F.lit(2).alias("role")), chosen, k, num, den, levels)
     linked = components(links)
     again = _second_round(first, linked, met, members, num, den)
     if again is not None:
-        linked = components(links.unionAll(_links(again, sets, num, den, levels)))
+        linked = components(links.unionAll(_links(again, chosen, k, num, den, levels)))
 
     # smallest document of each set, then of each group of sets
     least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))

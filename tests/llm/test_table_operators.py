@@ -223,3 +223,17 @@ def test_other_seeds_deal_otherwise(documents, seed):
     a = sharding.shard_rows(documents, seed=seed).where("shard = 0").select("doc_id").collect()
     b = sharding.shard_rows(documents, seed=seed + 2).where("shard = 0").select("doc_id").collect()
     assert {r[0] for r in a} != {r[0] for r in b}
+
+
+@pytest.mark.parametrize("block", [300, 1_500_000])
+def test_ngram_join_stores_neither_sets_nor_signatures(spark, monkeypatch, block):
+    """Signatures and sets move once, to their part or block; rows that repeat id and text count once there."""
+    rng, stored, store = np.random.default_rng(5), [], ngram_join.store
+    monkeypatch.setattr(ngram_join, "store", lambda df: stored.extend(t for _, t in df.dtypes) or store(df))
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 100)]
+    texts = [" ".join([*base[:-1], f"v{i}"]) for i in range(12)]  # all near copies of each other
+    docs = [(i, t) for i, t in enumerate(texts)] * 2 + [(50, "apart from all others"), (51, None)]
+    got = ngram_join.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted([(i, 0) for i in range(12)] * 2 + [(50, 50), (51, 51)])
+    assert stored and "binary" not in stored
