@@ -50,7 +50,7 @@ LEADERS = 8
 #: Signatures met in a map task that one row carries.
 MET_A_ROW = 100_000
 #: Signatures that a map task combines at once, and bytes of texts for one part of the signatures.
-COMBINE, PART_BYTES = 2_000_000, 16 << 20
+COMBINE, PART_BYTES = 1_000_000, 16 << 20
 #: Buckets in which shingles are counted for their common order, and rows that carry the counts.
 BUCKET_BITS, CHUNKS = 22, 64
 #: Shingles that a part holds at least where parts are used as signatures.
@@ -87,7 +87,7 @@ def _counts(k: int):
         held, size = [], 0
 
         def add() -> None:
-            np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint64), out=counts)
+            np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)).view(np.uint64), out=counts)
 
         for batch in batches:
             for words in words_by_text(batch.column("text"), NOT_SPACE):
@@ -532,6 +532,12 @@ def _links(placed: DataFrame, chosen: Callable[[DataFrame], DataFrame], k: int,
     return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den, levels), "a bigint, b bigint"))
 
 
+def _telling(held: DataFrame) -> DataFrame:
+    """``sig``: of the signatures that the same several sets hold, one; ``held`` has sig, key once."""
+    holders = [F.count("*").alias("c"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(17))).alias("y")]
+    return held.groupBy("sig").agg(*holders).where("c > 1").groupBy("c", "least", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+
+
 def _second_round(first: DataFrame, groups: DataFrame, met: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame | None:
     """Sets of split clusters meet what they could link to in other blocks and groups.
 
@@ -549,7 +555,9 @@ def _second_round(first: DataFrame, groups: DataFrame, met: DataFrame, members:
     )
     home = store(home.join(members.select("key", "n"), "key"))
     known = small_side(store(home.select("key", "known")))
-    held = met.select("sig", "key").join(known, "key")
+    # long texts share many signatures; those that the same sets hold ask for the same, so one is enough
+    met_here = store(met.select("sig", "key").join(known, "key", "left_semi").distinct())
+    held = store(met_here.join(small_side(store(_telling(met_here))), "sig", "left_semi").join(known, "key"))
     several = held.groupBy("sig").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
     several = store(several.select("sig"))
     if several.isEmpty():

@@ -56,6 +56,28 @@ def test_a_large_group_is_split_and_still_whole(spark, monkeypatch):
     assert group_rows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == brute.jaccard_groups(rows)
 
 
+def test_signatures_of_the_same_sets_count_once_in_the_second_round(spark, monkeypatch):
+    """Two long sets of different blocks share 500 signatures, a third shares others with the second."""
+    rows, store = [], ngram_join.store
+
+    def counted(df):
+        out = store(df)
+        if {"sig", "known"} <= set(df.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "store", counted)
+    first = spark.createDataFrame([(1, 1, 0, True), (1, 2, 1, True), (1, 3, 2, True)], "root long, key long, block long, own boolean")
+    pairs = [(s, k) for s in range(500) for k in (1, 2)] + [(s, k) for s in range(500, 900) for k in (2, 3)] * 2 + [(900, 3)]
+    met = spark.createDataFrame([(s, k, 1) for s, k in pairs], "sig long, key long, first long")
+    members = spark.createDataFrame([(1, 100), (2, 100), (3, 100)], "key long, n long")
+    placed = ngram_join._second_round(first, spark.createDataFrame([], "node long, root long"), met, members, 80, 100).collect()
+    # of each pair one asks the other's block, which stores the other
+    at = {k: {r["block"] for r in placed if (r["key"], r["role"]) == k} for k in {(r["key"], r["role"]) for r in placed}}
+    assert len(placed) == 4 and at[1, 0] == at[2, 1] != at[2, 0] == at[3, 1]
+    assert max(rows) == 4
+
+
 @pytest.mark.parametrize(("num", "parts"), [(85, True), (80, False), (70, False), (95, True)])
 def test_signatures_lose_no_pair(num, parts):
     rng = np.random.default_rng(7)
