@@ -7,12 +7,16 @@ counted so far for all sets below a node at once. A subtree is pruned when the o
 shorter of the two remaining lengths cannot reach what the threshold asks, when its sizes cannot
 fit, or when everything in it is already in the set's own group.
 
-What meets in a block comes from an exact split. For sets of sizes up to m the threshold t allows
-at most H = 2m(1-t)/(1+t) differing shingles; cut by hash into more than H parts, two such sets
-agree in a part, so a hash of each part is a signature. Where parts would hold fewer than five
-shingles (t under 0.82) the common order is used instead: two sets that overlap by the threshold
-have one of their first, rarest shingles in common, as many as may differ, and one. Either way no
-pair is lost; that counters are shared by many shingles costs time alone.
+What meets in a block comes from an exact split. For sets of sizes a and b the threshold t allows
+at most H = (a+b)(1-t)/(1+t) differing shingles; cut by hash into more than H parts, two such sets
+agree in all but H parts. So of each set the heaviest H + 1 parts are its signatures, in an order
+that says by how many and how rare shingles a part is unlikely to agree by chance: the heaviest of
+the parts that two sets agree in is among those of both. A few shared shingles, even rare ones, then
+bring no sets together, and the number of pairs that meet does not grow with the square of the
+table. Where parts would hold too few shingles (t under 0.77) the common order is used instead: two
+sets that overlap by the threshold have one of their first, rarest shingles in common, as many as
+may differ, and one. Either way no pair is lost; that counters are shared by many shingles costs
+time alone.
 Map tasks combine equal signatures before the exchange, so a hot signature is one entry a task,
 and send the rest sorted and packed. Connected signatures make clusters; a cluster above the block
 size is dealt into blocks by the least hash of a set, which similar sets mostly share. In a second
@@ -53,8 +57,8 @@ MET_A_ROW = 100_000
 COMBINE, PART_BYTES = 1_000_000, 16 << 20
 #: Buckets in which shingles are counted for their common order, and rows that carry the counts.
 BUCKET_BITS, CHUNKS = 22, 64
-#: Shingles that a part holds at least where parts are used as signatures.
-PART_SHINGLES = 5
+#: Where parts, one more than may differ, hold so many shingles, they are cut finer by this.
+PART_SHINGLES, FINER = 5, (4, 3)
 #: Bits of a signature that are compared; sets that agree in them by chance are compared in vain, no more.
 SIGNATURE_BITS = 48
 
@@ -130,34 +134,62 @@ class Sizes:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.bounds = num, den, [1]
 
+    def _grow(self) -> None:
+        # a partner's size is in the same class or the next; up to twice the size, as sets near a bound have two
+        low = self.bounds[-1]
+        high = low * self.den // self.num + 1
+        while high * self.den // self.num + 1 <= 2 * low:
+            high = high * self.den // self.num + 1
+        self.bounds.append(high)
+
     def of(self, n: int) -> int:
         """The class of size ``n``; a partner of at most n * den / num is in it or the next."""
         while self.bounds[-1] <= n:
-            self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
+            self._grow()
         return int(np.searchsorted(self.bounds, n, side="right")) - 1
 
-    def parts(self, cls: int) -> tuple[int, int]:
-        """(number of parts, parts that may be empty before empty ones count) of a class."""
+    def last(self, cls: int) -> int:
+        """The largest size of a class."""
         while len(self.bounds) <= cls + 1:
-            self.of(self.bounds[-1])
-        most = 2 * (self.bounds[cls + 1] - 1) * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + most // 32
-        return most + 1 + spare, spare
+            self._grow()
+        return self.bounds[cls + 1] - 1
+
+    def differ(self, both: int) -> int:
+        """The most shingles that only one of two linked sets has; ``both`` is the sum of their sizes."""
+        return both * (self.den - self.num) // (self.den + self.num)
+
+    def meets(self, n: int) -> list[tuple[int, int]]:
+        """(class, most differing shingles) for each class under which a set of size ``n`` meets partners."""
+        own, largest = self.of(n), n * self.den // self.num
+        until = self.last(own)
+        here = (own, self.differ(n + min(largest, until)))
+        return [here] if largest <= until else [here, (own + 1, self.differ(n + largest))]
 
+    def parts(self, cls: int) -> int:
+        """The number of parts of a class: more than may differ, so that light ones can be left out."""
+        return 1 + self.differ(2 * self.last(cls)) * FINER[0] // FINER[1]
 
-def part_signatures(items: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """One hash for each part of the sorted set, under its own size class and the next."""
-    own = sizes.of(len(items))
+
+def heaviest_parts(items: np.ndarray, sizes: Sizes, levels: np.ndarray, top: int) -> np.ndarray:
+    """Hashes of the heaviest parts of the sorted set, one more than may differ, by size class.
+
+    Two linked sets agree in all parts but those that differ. Each leaves out its lightest parts, one
+    less than they agree in, so the heaviest of the parts they agree in stays in both. A shingle weighs
+    more the rarer it is, and at least 1, so parts of several outweigh single ones; empty parts weigh nothing.
+    """
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items))])
+    weights = np.concatenate([[0], np.cumsum(top + 1 - levels[bucket(items)].astype(np.int64))])
     out = []
-    for cls in (own, own + 1):
-        parts, spare = sizes.parts(cls)
+    for cls, differ in sizes.meets(len(items)):
+        parts = sizes.parts(cls)
         part = ((items >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending like the items
         ends = np.searchsorted(part, np.arange(parts, dtype=np.uint64), side="right")
         begins = np.concatenate([[0], ends[:-1]])
         names = mix(sums[ends] - sums[begins] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((cls * 2 + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
-        filled = ends > begins
-        out.append(names if parts - filled.sum() > spare else names[filled])
+        # equal names have equal places in this order, and of places that are equal all stay or none
+        order = (np.minimum(weights[ends] - weights[begins], 0xFFFF).astype(np.uint64) << np.uint64(48)) | (names >> np.uint64(16))
+        least = parts - differ - 1
+        out.append(names[order >= np.partition(order, least)[least]])
     return np.concatenate(out)
 
 
@@ -175,21 +207,21 @@ def first_shingles(items: np.ndarray, levels: np.ndarray, num: int, den: int) ->
 class Signatures:
     """What sets are brought together by, for a threshold of ``num / den``.
 
-    Parts where they hold five shingles or more, since so many agree by chance in few sets; below
-    that threshold the first shingles in the common order, which say more than small parts.
+    The heaviest parts of a set; for thresholds under 0.77, where too few parts would hold two
+    shingles, its first shingles in the common order. ``by_parts`` says that parts would hold five
+    shingles or more even if they were not cut finer and none were left out.
     """
 
     def __init__(self, num: int, den: int, levels: np.ndarray):
-        self.num, self.den, self.levels = num, den, levels
+        self.num, self.den, self.levels, self.top = num, den, levels, int(levels.max(initial=0))
         self.sizes, self.by_parts = Sizes(num, den), num + den >= 2 * PART_SHINGLES * (den - num)
 
     def of(self, items: np.ndarray) -> np.ndarray:
-        if self.by_parts:
-            return part_signatures(items, self.sizes)
+        if 10 * (self.den - self.num) <= 3 * self.num:
+            return heaviest_parts(items, self.sizes, self.levels, self.top)
         # under the set's own size class and the next, so that sets of other sizes do not meet
-        own = self.sizes.of(len(items))
         first = first_shingles(items, self.levels, self.num, self.den)
-        return np.concatenate([mix(first + np.uint64((cls + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))) for cls in (own, own + 1)])
+        return np.concatenate([mix(first + np.uint64((cls + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))) for cls, _ in self.sizes.meets(len(items))])
 
 
 def _keys(k: int):

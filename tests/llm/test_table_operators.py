@@ -96,6 +96,33 @@ def test_signatures_lose_no_pair(num, parts):
                 assert np.intersect1d(kind.of(a), kind.of(b)).size
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_sets_that_share_some_rare_shingles_do_not_meet(num):
+    """Of 400 shingles 12 are shared and rarer than all others: far from a link, so hardly a signature is shared."""
+    rng = np.random.default_rng(12)
+    levels = np.full(1 << ngram_join.BUCKET_BITS, 34, np.uint8)
+    levels[0] = 70  # some shingle is in most sets
+    rare = rng.integers(0, 1 << 63, 12).astype(np.uint64) * np.uint64(2)
+    levels[ngram_join.bucket(rare)] = 30
+    kind = ngram_join.Signatures(num, 100, levels)
+    held = [kind.of(np.unique(np.concatenate([rare, rng.integers(0, 1 << 63, 388).astype(np.uint64) * np.uint64(2)]))) for _ in range(40)]
+    meet = sum(bool(np.intersect1d(a, b).size) for i, a in enumerate(held) for b in held[:i])
+    assert meet <= 8  # of 780 pairs
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (95, 100), (77, 100), (1, 1), (1, 2)])
+def test_linked_sizes_have_a_class_in_common(num, den):
+    sizes = ngram_join.Sizes(num, den)
+    for a in [*range(1, 300), *range(300, 30_000, 997)]:
+        largest = a * den // num
+        for b in {a, (a + largest) // 2, largest}:
+            both = dict(sizes.meets(a)).keys() & dict(sizes.meets(b)).keys()
+            assert both
+            for cls in both:
+                may = sizes.differ(a + b)
+                assert may <= dict(sizes.meets(a))[cls] < sizes.parts(cls) and may <= dict(sizes.meets(b))[cls] < sizes.parts(cls)
+
+
 def test_groups_in_any_blocks_and_parts(spark, documents, monkeypatch):
     """Small blocks, many parts of the signatures and many flushes change nothing."""
     want = brute.jaccard_groups([tuple(r) for r in documents.select("doc_id", "text").collect()], 5, 80)
