@@ -59,6 +59,8 @@ COMBINE, PART_BYTES = 1_000_000, 16 << 20
 BUCKET_BITS, CHUNKS = 22, 64
 #: Where parts, one more than may differ, hold so many shingles, they are cut finer by this.
 PART_SHINGLES, FINER = 5, (4, 3)
+#: Bits by which texts are told from those that nobody wants (a bitmap of 16 MB).
+WANTED_BITS = 27
 #: Bits of a signature that are compared; sets that agree in them by chance are compared in vain, no more.
 SIGNATURE_BITS = 48
 
@@ -564,6 +566,33 @@ def _links(placed: DataFrame, chosen: Callable[[DataFrame], DataFrame], k: int,
     return store(rows.groupBy("root", "block").applyInArrow(_block_links(num, den, levels), "a bigint, b bigint"))
 
 
+def wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the first bits of the text hashes ``w_th``."""
+    at = F.shiftrightunsigned("w_th", 64 - WANTED_BITS) + 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    size = len(rows[0]["bits"]) if rows else 1
+    out = np.zeros(max(1 << WANTED_BITS >> 3, size), np.uint8)
+    for row in rows:
+        out[(row["bucket"] - 1) * size : row["bucket"] * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _among(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("th").to_numpy().view(np.uint64) >> np.uint64(64 - WANTED_BITS)
+            there = bits.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            yield batch.filter(pa.array(there.astype(bool)))
+
+    return run
+
+
+def texts_among(read: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``read`` whose text hash ``th`` may be one of ``w_th``: all of those, and few others."""
+    bits = read.sparkSession.sparkContext.broadcast(wanted_bits(wanted))
+    return read.mapInArrow(_among(bits), read.schema)
+
+
 def _telling(held: DataFrame) -> DataFrame:
     """``sig``: of the signatures that the same several sets hold, one; ``held`` has sig, key once."""
     holders = [F.count("*").alias("c"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(17))).alias("y")]
@@ -646,8 +675,11 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
 
     def chosen(places: DataFrame) -> DataFrame:
         """``text, places`` of one document for each key of ``places``."""
-        wanted = small_side(store(places.join(reps, "key")))
-        there = read.join(wanted, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "again", "text", "places")
+        wanted = store(places.join(reps, "key"))
+        side = small_side(wanted)
+        # if they are too many for a broadcast, only texts that are wanted are shuffled to them
+        texts = texts_among(read, wanted) if side is wanted else read
+        there = texts.join(side, (F.col("th") == F.col("w_th")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("key", "again", "text", "places")
         if reps.where("again").isEmpty():
             return there.select("text", "places")
         # rows that repeat both id and text stand for one set

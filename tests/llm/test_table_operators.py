@@ -123,6 +123,24 @@ def test_linked_sizes_have_a_class_in_common(num, den):
                 assert may <= dict(sizes.meets(a))[cls] < sizes.parts(cls) and may <= dict(sizes.meets(b))[cls] < sizes.parts(cls)
 
 
+def test_only_wanted_texts_are_shuffled(spark, monkeypatch):
+    """Where places are too many for a broadcast, texts that nobody wants do not move; the groups are the same."""
+    rng, kept, among = np.random.default_rng(15), [], getattr(ngram_join, "texts_among", None)
+
+    def counted(read, wanted):
+        out = among(read, wanted)
+        kept.append((out.count(), out.join(wanted, out["th"] == wanted["w_th"], "left_semi").count(), wanted.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "texts_among", counted)
+    monkeypatch.setattr(ngram_join, "small_side", lambda df: df)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 100)]
+    texts = [" ".join([*base[:-1], f"v{i}"]) for i in range(12)] + [" ".join(f"u{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(400)]
+    got = group_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert [got[i][1] for i in range(412)] == [0] * 12 + list(range(12, 412))
+    assert kept and all(k < 30 and there == wanted == 12 for k, there, wanted in kept)
+
+
 def test_groups_in_any_blocks_and_parts(spark, documents, monkeypatch):
     """Small blocks, many parts of the signatures and many flushes change nothing."""
     want = brute.jaccard_groups([tuple(r) for r in documents.select("doc_id", "text").collect()], 5, 80)
