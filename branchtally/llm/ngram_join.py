@@ -35,6 +35,8 @@ Hashes have 64 bits; two different shingles of one comparison are equal with pro
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,6 +75,25 @@ def set_key(items: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers stay for later stages, which need room of their own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches that gives back memory at the end of a task."""
+
+    @functools.wraps(run)
+    def until_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return until_end
+
+
 # ---------------------------------------------------------------- one order of all shingles
 
 
@@ -107,7 +128,7 @@ def _counts(k: int):
         chunks = counts.reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(map(pack_numbers, chunks), pa.binary())], names=["chunk", "counts"])
 
-    return run
+    return lean(run)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -238,7 +259,7 @@ def _keys(k: int):
             columns = [batch.column("doc_id"), batch.column("th"), *(pa.array(c, pa.int64()) for c in (keys, sizes, least))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "key", "n", "least_item"])
 
-    return run
+    return lean(run)
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -319,7 +340,7 @@ def _signature_rows(k: int, num: int, den: int, parts: int, levels):
         if held:
             yield flush(sigs, numbers, keys)
 
-    return run
+    return lean(run)
 
 
 def _met_in_part(rows: pa.Table) -> pa.Table:
@@ -340,7 +361,10 @@ def _met_in_part(rows: pa.Table) -> pa.Table:
         sig, key = pairs[0].view(np.uint64), pairs[1]
         _, _, at, first = _meetings(sig, key)
         out.append((sig[at].view(np.int64), key[at], first))
-    return pa.table({name: np.concatenate(c) for name, c in zip(("sig", "key", "first"), zip(*out, strict=True), strict=True)})
+    found = pa.table({name: np.concatenate(c) for name, c in zip(("sig", "key", "first"), zip(*out, strict=True), strict=True)})
+    del columns, sigs, keys, out
+    give_back()
+    return found
 
 
 # ---------------------------------------------------------------- the trie
@@ -491,7 +515,7 @@ def _sets(k: int):
             sets = [shingle_set(words, k).tobytes() for words in words_by_text(batch.column("text"), NOT_SPACE)]
             yield pa.RecordBatch.from_arrays([batch.column("places"), pa.array(sets, pa.binary())], names=["places", "items"])
 
-    return run
+    return lean(run)
 
 
 # ---------------------------------------------------------------- Spark
@@ -584,7 +608,7 @@ def _among(bits):
             there = bits.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
             yield batch.filter(pa.array(there.astype(bool)))
 
-    return run
+    return lean(run)
 
 
 def texts_among(read: DataFrame, wanted: DataFrame) -> DataFrame:
